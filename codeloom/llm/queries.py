@@ -5,11 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
 from .near_dedup import near_duplicates
+from .quality import score_quality, train_quality
 from .token_count import count_tokens
+from .toxicity import score_toxicity, train_toxicity
+
+
+def held_out(mod: int, rest: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string")) % mod == rest
+
+
+def judged(scores: DataFrame, mod: int, rest: int) -> DataFrame:
+    return scores.select("doc_id", held_out(mod, rest).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return judged(score_toxicity(docs, train_toxicity(docs, labels.where(~held_out(4, 2)))), 4, 2)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return judged(score_quality(docs, train_quality(docs, labels.where(~held_out(5, 0)))), 5, 0)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +78,10 @@ FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
+    "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
 }
 ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op9_near_dedup": OP9_SQL}
