@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import contamination
 from .near_dedup import near_duplicates
 from .quality import score_quality, train_quality
+from .secrets import secret_report
 from .token_count import count_tokens
 from .toxicity import score_toxicity, train_toxicity
 
@@ -43,6 +44,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), (85, 100))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
+    "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
 }
