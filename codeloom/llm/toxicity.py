@@ -34,9 +34,19 @@ class ToxicityModel:
     document: np.ndarray
 
 
+def _latin_lower(buf: np.ndarray) -> np.ndarray:
+    """The bytes with U+00C0 to U+00DE in lower case; lengths stay as they are. (ASCII is folded when words are hashed.)"""
+    capital = np.zeros(len(buf), dtype=bool)
+    capital[1:] = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+    if not capital.any():
+        return buf
+    return np.where(capital, buf + np.uint8(0x20), buf).astype(np.uint8)
+
+
 def _tokens(texts: pa.Array) -> tuple[K.Words, np.ndarray, np.ndarray, np.ndarray]:
     """Words, their feature indices, chain starts, and byte offsets of texts."""
     buf, offs = K.text_buffers(texts)
+    buf = _latin_lower(buf)
     w = K.words(buf, offs, K.ALNUM)
     cols = [w.hash]
     for n in PREFIXES:
