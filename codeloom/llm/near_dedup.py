@@ -182,8 +182,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch], numerator: int, denominator: i
             yield _edges(ids, forest)
 
 
-def _in_blocks(rows: DataFrame, key: str, sizes: DataFrame, per_block: int, order: str) -> DataFrame:
-    """rows with their key's tasks (i, j): one for a key of one block, else one for each pair of its blocks.
+def _in_blocks(rows: DataFrame, per_block: int, order: str) -> DataFrame:
+    """rows, that have the number n_rows of their key, with the key's tasks (i, j): one for a key of one block, else one for each pair of its blocks.
 
     A row of a key with b blocks is copied to the b tasks of its own block, so hot keys are shared among tasks and no
     pair of rows is left out. `order` is what blocks are cut along.
@@ -191,12 +191,12 @@ def _in_blocks(rows: DataFrame, key: str, sizes: DataFrame, per_block: int, orde
     blocks = F.ceil(F.col("n_rows") / per_block).cast("int")
     mine = F.pmod(F.xxhash64(order), F.col("blocks")).cast("int")
     return (
-        rows.join(sizes.select(key, blocks.alias("blocks")), key)
+        rows.withColumn("blocks", blocks)
         .withColumn("block", mine)
         .withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
         .withColumn("i", F.least("block", "other"))
         .withColumn("j", F.greatest("block", "other"))
-        .drop("other", "blocks")
+        .drop("other", "blocks", "n_rows")
     )
 
 
@@ -225,9 +225,11 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), shi
     hashes = TREES * depth
     agree = share + (1 - share) / 256
     least_agree = math.floor(hashes * agree - 5 * math.sqrt(hashes * agree * (1 - agree)))
-    placed = saved(reps.select(F.col("doc_id").alias("rep"), "sig", F.explode("regions").alias("region")))
+    reps = saved(reps.select(F.col("doc_id").alias("rep"), "sig", "regions"))
+    placed = reps.select("rep", F.explode("regions").alias("region"))
     shared = placed.groupBy("region").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
-    tasks = _in_blocks(placed, "region", shared, REGION_BLOCK, "sig")
+    met = placed.join(shared, "region")  # only these rows carry a signature onwards
+    tasks = _in_blocks(met.join(reps.select("rep", "sig"), "rep"), REGION_BLOCK, "sig")
     near = tasks.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(partial(_candidates, least_agree=least_agree), "u long, v long")
     families = saved(connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("family")))
 
@@ -235,7 +237,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), shi
     sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, k=shingle), "doc_id long, shingles binary")
     sets = saved(sets.select(F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["rep"]).join(families, "rep"))
     size = families.groupBy("family").agg(F.count("*").alias("n_rows"))
-    tasks = _in_blocks(sets, "family", size, FAMILY_BLOCK, "rep")
+    tasks = _in_blocks(sets.join(size, "family"), FAMILY_BLOCK, "rep")
     links = tasks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(partial(_confirmed, numerator=top, denominator=bottom), "u long, v long")
     found = connected_components(links).select(F.col("node").alias("rep"), "component")
     out = member.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
