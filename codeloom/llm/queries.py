@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ann
+from .chunk_dedup import repeated_passages
 from .common import table
 from .decontaminate import contamination
 from .near_dedup import near_duplicates
+from .piece_codec import encode_checked
 from .quality import score_quality, train_quality
 from .secrets import secret_report
 from .token_count import count_tokens
@@ -44,6 +47,20 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_checked(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), 20, 20)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -86,8 +103,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
+    "op4_piece_codec": op4_piece_codec,
+    "op5_nearest": op5_nearest,
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op9_near_dedup": OP9_SQL}
