@@ -11,6 +11,7 @@ from . import ann
 from .chunk_dedup import repeated_passages
 from .common import table
 from .decontaminate import contamination
+from .licenses import scan_licenses
 from .near_dedup import near_duplicates
 from .piece_codec import encode_checked
 from .quality import score_quality, train_quality
@@ -61,6 +62,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_piece_codec": op4_piece_codec,
     "op5_nearest": op5_nearest,
+    "op6_licenses": op6_licenses,
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
