@@ -1 +1,23 @@
 """A PySpark-native engine for corpora of source code and text."""
+
+from importlib import import_module
+
+_HOME = {
+    "config": ["LANGUAGES", "by_extension", "load_languages"],
+    "functions.text": ["edit_similarity", "fingerprint_hash", "ngram_fingerprint", "ngrams", "tail_lines"],
+    "knowledgebase": ["KnowledgeBase"],
+    "operators.ingest": ["extract", "structure_fp", "syntax_ok"],
+    "operators.retrieve": ["references", "retrieve"],
+    "operators.scan": ["by_ids", "scan", "search", "stats"],
+    "operators.store": ["KnowledgeTable", "upsert"],
+    "schema": ["KNOWLEDGE", "check_columns"],
+}
+_AT = {name: module for module, names in _HOME.items() for name in names}
+__all__ = sorted(_AT)
+
+
+def __getattr__(name: str):
+    """Public names, imported when first used: Python workers load only what their function needs."""
+    if name in _AT:
+        return getattr(import_module(f"codeloom.{_AT[name]}"), name)
+    raise AttributeError(name)

@@ -19,6 +19,11 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: inside a lambda an expression would be computed at every step."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column | str) -> Column:
     return F.regexp_extract_all(as_column(text), F.lit(WORD), F.lit(0))
 
@@ -27,10 +32,13 @@ def ngrams(text: Column | str, n: int = 2) -> Column:
     """Space-joined windows of n words, repeats kept; fewer words give one gram of them all; none give NULL."""
     if n < 2:
         raise ValueError("n must be 2 or more")
-    w = words(text)
-    last = F.size(w) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) == 0, F.lit(None)).when(last < 1, F.array(F.array_join(w, " "))).otherwise(grams)
+
+    def windows(w: Column) -> Column:
+        last = F.size(w) - (n - 1)
+        grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) == 0, F.lit(None)).when(last < 1, F.array(F.array_join(w, " "))).otherwise(grams)
+
+    return let(words(text), windows)
 
 
 def fingerprint_hash(gram: Column | str) -> Column:
@@ -101,15 +109,15 @@ def lines(text: Column | str) -> Column:
 
 def tail_lines(text: Column | str, n: int) -> Column:
     """The last n lines joined by line feeds; NULL gives ''. n = 0 means all, as a slice from -0 does."""
-    found = lines(F.coalesce(as_column(text), F.lit("")))
-    size = F.size(found)
-    if n > 0:
-        cut = F.when(size > n, F.slice(found, size - n + 1, n)).otherwise(found)
-    elif n == 0:
-        cut = found
-    else:
-        cut = F.when(size > -n, F.slice(found, 1 - n, size + n)).otherwise(F.array().cast("array<string>"))
-    return F.array_join(cut, "\n")
+
+
+    def last(found: Column) -> Column:
+        size = F.size(found)
+        if n > 0:
+            return F.when(size > n, F.slice(found, size - n + 1, n)).otherwise(found)
+        return found if n == 0 else F.when(size > -n, F.slice(found, 1 - n, size + n)).otherwise(F.array().cast("array<string>"))
+
+    return F.array_join(let(lines(F.coalesce(as_column(text), F.lit(""))), last), "\n")
 
 
 def tail_lines_with_ends(text: Column | str, n: int) -> Column:
