@@ -10,9 +10,11 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import ngram_fingerprint
 from ..parsing import structure_fingerprint, units_of
@@ -22,25 +24,33 @@ from ..schema import RECORD
 
 _UNIT = T.StructType([f for f in RECORD if f.name != "text_fingerprint"] + [T.StructField("position", T.IntegerType()), T.StructField("error", T.StringType())])
 RECURSION_LIMIT = 20_000
-ERROR_LENGTH = 80
+ERROR_LENGTH, ROWS_PER_BATCH = 80, 512
 
 
-def _units(batches: Iterator[pd.DataFrame], min_lines: int) -> Iterator[pd.DataFrame]:
+def _rows_of(file: dict, min_lines: int) -> list[tuple]:
+    place = (file["repository"], file["relative_path"], file["file_extension"], file["language"])
+    try:
+        rows = []
+        for k, u in enumerate(units_of(file["content"], file["language"], min_lines)):
+            shape = fold(u.node) if u.node is not None else structure_fingerprint(u.text, file["language"])
+            rows.append((*place, u.kind, u.node_type, u.symbol_name, u.qualified_name, u.parent_qualified_name, u.start_line, u.end_line, u.text, shape, k, None))
+        return rows
+    except Exception as e:  # one bad file is one row
+        return [(*place, *[None] * 10, str(e)[:ERROR_LENGTH])]
+
+
+def _units(batches: Iterator[pa.RecordBatch], min_lines: int) -> Iterator[pa.RecordBatch]:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), RECURSION_LIMIT))
-    names = _UNIT.names
+    schema = to_arrow_schema(_UNIT)
     for b in batches:
-        for f in b.itertuples(index=False):
-            rows: list[tuple] = []
-            place = (f.repository, f.relative_path, f.file_extension, f.language)
-            try:
-                for k, u in enumerate(units_of(f.content, f.language, min_lines)):
-                    shape = fold(u.node) if u.node is not None else structure_fingerprint(u.text, f.language)
-                    rows.append((*place, u.kind, u.node_type, u.symbol_name, u.qualified_name, u.parent_qualified_name, u.start_line, u.end_line, u.text, shape, k, None))
-            except Exception as e:  # one bad file is one row
-                rows = [(*place, *[None] * 9, None, str(e)[:ERROR_LENGTH])]
-            if rows:
-                out = pd.DataFrame(rows, columns=names)
-                yield out.astype({c: "Int32" for c in ("start_line", "end_line", "position")})
+        rows: list[tuple] = []
+        for file in b.to_pylist():
+            rows += _rows_of(file, min_lines)
+            if len(rows) >= ROWS_PER_BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def extract(sources: DataFrame, min_lines: int = 0, n: int = 2, partitions: int | None = None) -> DataFrame:
@@ -51,7 +61,7 @@ def extract(sources: DataFrame, min_lines: int = 0, n: int = 2, partitions: int
     rows = sources.where("content is not null").select("repository", "relative_path", "file_extension", "language", "content")
     if partitions:
         rows = rows.repartition(partitions)
-    units = rows.mapInPandas(lambda it: _units(it, min_lines), _UNIT)
+    units = rows.mapInArrow(lambda it: _units(it, min_lines), _UNIT)
     return units.withColumn("text_fingerprint", ngram_fingerprint("text", n))
 
 
