@@ -25,6 +25,7 @@ from .common import column, prepare
 from .token_count import Memo
 
 MARK = "▁"
+_SHIFT = 1 << 21
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
@@ -69,8 +70,14 @@ class PieceCodec:
         self.fallback = fallback and len(self.bytes) == 256
         self.longest = max(map(len, self.id), default=1)
         self.worst = min(self.score.values(), default=0.0) - 10.0
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._alone: dict[str, bool] = {}
+        self.pieces = [p for p, _, _ in pieces]
+        self._pairs: dict[int, bool] = {}
+        self._trie: dict = {}
+        for piece, i in self.id.items():
+            node = self._trie
+            for ch in piece:
+                node = node.setdefault(ch, {})
+            node[0] = i
 
     # forward scores
 
@@ -87,31 +94,62 @@ class PieceCodec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _stands(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) > 500_000:
-                self._pairs.clear()
-            known = self._pairs[key] = self._merged(before + piece) == [before, piece]
-        return known
+    def _text(self, i: int) -> str:
+        return self.pieces[i] if i >= 0 else chr(-2 - i)
 
-    def _whole(self, piece: str) -> bool:
-        known = self._alone.get(piece)
-        if known is None:
-            known = self._alone[piece] = self._merged(piece) == [piece]
+    def _stands(self, before: int, piece: int) -> bool:
+        """Whether merging leaves (before, piece) as it is; before is -1 at the front of a word."""
+        if len(self._pairs) > 500_000:
+            self._pairs.clear()
+        whole = [self._text(piece)] if before == -1 else [self._text(before), self._text(piece)]
+        known = self._pairs[before * _SHIFT + piece] = self._merged("".join(whole)) == whole
         return known
 
-    def _extend_bpe(self, word: str, last: list, n: int) -> None:
-        for size in range(min(n, self.longest), 0, -1):
-            piece = word[n - size : n]
-            if size > 1 and (piece not in self.id or not self._whole(piece)):
-                continue
-            before = last[n - size]
-            if before is None or self._stands(before, piece):
-                last.append(piece)
-                return
-        raise AssertionError("merging leaves some last piece at every position")
+    def _encode_bpe(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """By position of the current path: the last piece (a character outside the vocabulary as -2 - code), where it begins,
+        and the vocabulary's trie nodes that are reached from earlier positions."""
+        root, pairs = self._trie, self._pairs
+        last, origin, reached = [-1], [0], [[]]
+        out: dict[str, tuple[int, ...]] = {}
+        before = ""
+        for word in words:
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            del last[shared + 1 :], origin[shared + 1 :], reached[shared + 1 :]
+            for n in range(shared, len(word)):
+                ch = word[n]
+                nodes = [(s, x) for s, node in reached[n] if (x := node.get(ch)) is not None]
+                x = root.get(ch)
+                if x is not None:
+                    nodes.append((n, x))
+                reached.append(nodes)
+                for s, x in nodes:
+                    i = x.get(0)
+                    if i is not None:
+                        known = pairs.get(last[s] * _SHIFT + i)
+                        if known or known is None and self._stands(last[s], i):
+                            last.append(i)
+                            origin.append(s)
+                            break
+                else:
+                    last.append(-2 - ord(ch))
+                    origin.append(n)
+            ids: list[int] = []
+            n = len(word)
+            while n:
+                i = last[n]
+                if i >= 0:
+                    ids.append(i)
+                elif self.fallback:
+                    ids.extend(self.bytes[bytes([b])] for b in reversed(chr(-2 - i).encode()))
+                else:
+                    ids.append(self.unknown)
+                n = origin[n]
+            ids.reverse()
+            out[word] = tuple(ids)
+            before = word
+        return out
 
     def _extend_unigram(self, word: str, last: list, n: int) -> None:
         best, found = None, None
@@ -125,27 +163,23 @@ class PieceCodec:
                 best, found = v, piece
         last.append((best, found))
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each word, in the order given."""
-        bpe = self.kind == _BPE
-        extend = self._extend_bpe if bpe else self._extend_unigram
-        last: list = [None] if bpe else [(0.0, None)]
+    def _encode_unigram(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        last: list = [(0.0, None)]
         out: dict[str, tuple[int, ...]] = {}
         before = ""
-        for word in sorted(set(words)):
+        for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :]
             for n in range(shared + 1, len(word) + 1):
-                extend(word, last, n)
+                self._extend_unigram(word, last, n)
             ids: list[int] = []
             n = len(word)
             while n:
-                piece = last[n] if bpe else last[n][1]
-                i = self.id.get(piece)
-                if i is not None:
-                    ids.append(i)
+                piece = last[n][1]
+                if piece in self.id:
+                    ids.append(self.id[piece])
                 elif self.fallback:
                     ids.extend(self.bytes[bytes([b])] for b in reversed(piece.encode()))
                 else:
@@ -153,6 +187,12 @@ class PieceCodec:
                 n -= len(piece)
             out[word] = tuple(reversed(ids))
             before = word
+        return out
+
+    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each word, in the order given."""
+        distinct = sorted(set(words))
+        out = self._encode_bpe(distinct) if self.kind == _BPE else self._encode_unigram(distinct)
         return [out[w] for w in words]
 
     def words(self, text: str) -> list[str]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import column, prepare
 
 #: Pieces a generation of the memo holds, and bytes of pieces in one call of the encoder.
-MEMO, CALL_BYTES = 200_000, 1 << 18
+MEMO, CALL_BYTES = 300_000, 1 << 18
 
 
 class Memo:
