@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from .common import column, groups, prepare, saved
 
 #: Vectors the centroids may be fitted on; vectors a list should hold; the most lists.
-SAMPLE, PER_LIST, MAX_LISTS = 40_000, 160, 4096
+SAMPLE, PER_LIST, MAX_LISTS = 20_000, 160, 4096
 #: Copies of a boundary vector at most, and how much farther than the nearest list's centroid a further one may be (squared distances).
 COPIES, SPREAD = 4, 1.15
 #: Lists a query visits at least and at most, and the ratio of squared distances that prunes those between.
 LEAST_VISITS, VISITS, REACH = 8, 64, 1.6
 BLOCK, QUERY_BLOCK = 4096, 1024
+#: Found rows that a task holds before it cuts them to the best of each query.
+BUFFER = 400_000
 _LINKS, _BEAM = 16, 64
 
 
@@ -170,8 +172,30 @@ def _place(batches: Iterator[pa.RecordBatch], told, every: int) -> Iterator[pa.R
         )
 
 
+def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's first `top` by score and id, a vector that several lists hold counting once."""
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    once = np.ones(len(q), dtype=bool)
+    once[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+    q, ids, score = q[once], ids[once], score[once]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    keep = place < top
+    return q[keep], ids[keep], score[keep]
+
+
 def _search(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
-    """Rows (list, i, j, id, query, v) sorted by list, i, j -> each query's best of the block, exact scores."""
+    """Rows (list, i, j, id, query, v) sorted by list, i, j -> each query's best among the task's blocks, exact scores.
+
+    What blocks find is held and cut to the best of each query; it goes out early if the queries alone fill the buffer.
+    """
+    held_rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n_held = 0
+
+    def cut() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _best(*(np.concatenate(c) for c in zip(*held_rows)), top)
+
+    names = ["query_id", "vec_id", "score"]
     for _, t in groups(batches, ["list", "i", "j"]):
         q = t.column("query").to_numpy(zero_copy_only=False)
         ids = t.column("id").to_numpy()
@@ -179,7 +203,6 @@ def _search(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBa
         asks, held = np.flatnonzero(q), np.flatnonzero(~q)
         if not len(asks) or not len(held):
             continue
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rough = x[asks] @ x[held].T
         slack = 1e-9 * max(1.0, float(np.abs(rough).max()))
         rough[ids[asks][:, None] == ids[held][None, :]] = -np.inf
@@ -189,8 +212,16 @@ def _search(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBa
             some = held[row >= (least - slack if np.isfinite(least) else np.finfo(float).min)]
             score = (x[some] * x[a]).sum(axis=1)
             order = np.lexsort((ids[some], -score))[:top]
-            out.append((np.full(len(order), ids[a]), ids[some][order], score[order]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+            held_rows.append((np.full(len(order), ids[a]), ids[some][order], score[order]))
+            n_held += len(order)
+        if n_held > BUFFER:
+            held_rows = [cut()]
+            n_held = len(held_rows[0][0])
+            if n_held > BUFFER // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in held_rows[0]], names=names)
+                held_rows, n_held = [], 0
+    if held_rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cut()], names=names)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
