@@ -1,8 +1,8 @@
 """Toxicity: a linear-chain conditional random field over word tokens, with document scores from its marginals.
 
 Labels are given by document, so token labels for training are derived first: a feature (a whole word or a prefix) is toxic if
-the contexts it occurs in, counted once each so that copies of a document count once, lie mostly in toxic documents, with a
-bound on the odds; a token of a toxic document with a toxic feature is labelled 1, all others 0. The field is trained on the
+the words it stands beside, counted once each on either side so that copies of a document count about once, lie mostly in toxic
+documents, more surely than chance could have it; a token of a toxic document with a toxic feature is labelled 1, all others 0. The field is trained on the
 token chains of a bounded sample of labelled documents and then tags every token of every document. A document's score is a
 logistic function of its expected number of toxic tokens, its largest marginal and their share.
 """
@@ -22,9 +22,11 @@ from .common import column, prepare
 from .crf import Chain, logistic, marginals, sigmoid, train
 
 #: Labelled documents that the field may be fitted on, of each label, and the longest of them in characters.
-SAMPLE, SAMPLE_CHARS = 800, 100_000
+SAMPLE, SAMPLE_CHARS = 600, 50_000
 PREFIXES = (4, 5, 6, 7)
-BITS = 18
+#: A toxic feature's least log-odds, and least log-likelihood ratio against chance (11: about one in a million).
+MIN_ODDS, MIN_SURPRISE = 2.0, 11.0
+BITS = 20
 SIZE = 1 << BITS
 
 
@@ -71,24 +73,29 @@ def _document_features(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _toxic_features(features: np.ndarray, w: K.Words, toxic: np.ndarray) -> np.ndarray:
-    """By feature: whether its distinct contexts lie mostly in toxic documents, with a bound on the log-odds."""
+    """By feature: whether its distinct neighbours lie mostly, and surely, in toxic documents."""
     h = w.hash
-    before, after = np.r_[np.uint64(0), h[:-1]], np.r_[h[1:], np.uint64(0)]
-    context = K.mix(before * np.uint64(3) + K.mix(after) + h)
+    around = np.r_[np.uint64(0), h[:-1]], np.r_[h[1:], np.uint64(0)]
     flag = toxic[w.text_of]
     counts = []
     for side in (True, False):
         mine = np.flatnonzero(flag == side)
-        _, once = np.unique(context[mine], return_index=True)
         got = np.zeros(SIZE)
         for j in range(features.shape[1]):
-            got += np.bincount(features[mine[once], j], minlength=SIZE)
+            f = features[mine, j]
+            seen = []
+            for near in around:  # each neighbouring word counts once
+                _, once = np.unique(K.mix(near[mine]) + f.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
+                seen.append(np.bincount(f[once], minlength=SIZE))
+            got += np.minimum(*seen)
         counts.append(got)
     a, b = counts
     na, nb = max(1.0, a.sum()), max(1.0, b.sum())
     odds = np.log((a + 0.5) / na) - np.log((b + 0.5) / nb)
-    spread = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    return (a >= 4) & (odds - 1.64 * spread > 1.5)
+    share = na / (na + nb)
+    both = np.maximum(a + b, 1)
+    surprise = a * np.log(np.maximum(a, 1e-9) / (both * share)) + b * np.log(np.maximum(b, 1e-9) / (both * (1 - share)))
+    return (a >= 4) & (odds > MIN_ODDS) & (surprise > MIN_SURPRISE)
 
 
 def fit_toxicity(sample: list[tuple[str | None, int]], share: float | None = None) -> ToxicityModel:
