@@ -72,9 +72,9 @@ def records(extracted: DataFrame) -> DataFrame:
 
 def counts(sources: DataFrame, extracted: DataFrame) -> DataFrame:
     """By repository: files, entries before and after equal keys are joined, errors."""
-    files = sources.groupBy("repository").agg(F.count_if("content is not null").alias("files"), F.count_if("error is not null").alias("bad_archives"))
+    files = sources.groupBy("repository").agg(F.count_if(F.col("content").isNotNull()).alias("files"), F.count_if(F.col("error").isNotNull()).alias("bad_archives"))
     key = F.struct("relative_path", "kind", "qualified_name", "start_line", "end_line")
-    units = extracted.groupBy("repository").agg(F.count_if("error is null").alias("entries"), F.countDistinct(F.when(F.col("error").isNull(), key)).alias("distinct_entries"), F.count_if("error is not null").alias("errors"))
+    units = extracted.groupBy("repository").agg(F.count_if(F.col("error").isNull()).alias("entries"), F.countDistinct(F.when(F.col("error").isNull(), key)).alias("distinct_entries"), F.count_if(F.col("error").isNotNull()).alias("errors"))
     return files.join(units, "repository", "left").fillna(0)
 
 

@@ -17,7 +17,7 @@ def stream_ingest(spark: SparkSession, folder: str, table: KnowledgeTable, check
 
     A batch that runs again after a failure upserts the same keys, so the table ends the same.
     """
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
     root = folder.rstrip("/")
     relative = F.regexp_replace(F.element_at(F.split("path", F.concat(F.lit(r"\Q"), F.lit(root), F.lit(r"\E"))), -1), "^/+", "")
     rows = files.select(F.lit(repository).alias("repository"), relative.alias("relative_path"), F.decode("content", "UTF-8").alias("content"))
