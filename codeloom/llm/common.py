@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of a batch that goes to a Python worker; a longer text makes a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,10 @@ class Chain:
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
         """features: rows of feature indices, one row per position."""
-        return self.weights[features].sum(axis=1) + self.bias
+        total = np.full(len(features), self.bias)
+        for col in features.T:
+            total += self.weights[col]
+        return total
 
 
 def _steps(e: np.ndarray, first: np.ndarray, c: Chain) -> np.ndarray:
@@ -96,13 +99,12 @@ def train(features: np.ndarray, first: np.ndarray, label: np.ndarray, size: int,
     seen = np.zeros((2, 2))
     np.add.at(seen, (label[inner - 1], label[inner]), 1)
     began = np.bincount(label[first], minlength=2).astype(np.float64)
-    flat, repeat = features.ravel(), features.shape[1]
     squares = np.full(size, 1e-8), np.full((2, 2), 1e-8), np.full(2, 1e-8), np.full(1, 1e-8)
     for _ in range(rounds):
         p, pairs, starts = marginals(c.emissions(features), first, c, pairs=True)
         off = (y - p) * weight
         grads = (
-            np.bincount(flat, weights=np.repeat(off, repeat), minlength=size) / n - ridge * c.weights,
+            sum(np.bincount(col, weights=off, minlength=size) for col in features.T) / n - ridge * c.weights,
             (seen - pairs) / n - ridge * c.trans,
             (began - starts) / n - ridge * c.start,
             np.array([off.sum() / n]),

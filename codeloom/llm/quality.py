@@ -20,7 +20,7 @@ from .common import column, prepare
 from .crf import Chain, logistic, marginals, sigmoid, train
 from .toxicity import balance, labelled_sample
 
-SAMPLE = 1500
+SAMPLE = 1200
 _UPPER, _LETTER, _DIGIT, _SYMBOL, _MARK, _STOP = (np.zeros(256, dtype=bool) for _ in range(6))
 _UPPER[65:91] = True
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[0x80:] = True
