@@ -88,27 +88,32 @@ def _battery(token: Column, alphabet: Column) -> Column:
     plain = F.regexp_replace(token, "=+$", "")
     values = F.transform(F.split(plain, ""), lambda ch: F.instr(alphabet, ch).cast("double"))
 
-    def tests(v: Column) -> Column:
+    def measured(v: Column) -> Column:
+        """What the tests need of the values, each computed once: inside a lambda it would be computed at every step."""
         n = F.size(v).cast("double")
-        squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(v, lambda x: x == c)).cast("double"), 2))
+        pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.struct(
+            v.alias("v"), n.alias("n"), pairs.alias("pairs"), (F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n).alias("mean"), F.size(F.filter(v, lambda x: x > size / 2)).cast("double").alias("high")
+        )
+
+    def tests(c: Column) -> Column:
+        v, n, mean, high = c["v"], c["n"], c["mean"], c["high"]
+        squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda s, x: s + F.pow(F.size(F.filter(v, lambda y: y == x)).cast("double"), 2))
         chi = squares * size / n - n
         z_chi = (chi - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
-        high = F.size(F.filter(v, lambda x: x > size / 2)).cast("double")
         low = n - high
-        pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        runs = 1.0 + F.size(F.filter(pairs, lambda p: (p["a"] > size / 2) != (p["b"] > size / 2)))
+        runs = 1.0 + F.size(F.filter(c["pairs"], lambda p: (p["a"] > size / 2) != (p["b"] > size / 2)))
         expected = 1 + 2 * high * low / n
         spread = (expected - 1) * (expected - 2) / (n - 1)
         z_runs = F.when(spread > 0, (runs - expected) / F.sqrt(spread)).otherwise(F.sqrt(n))
-        mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
         square = F.aggregate(v, F.lit(0.0), lambda s, x: s + F.pow(x - mean, 2))
-        cross = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
+        cross = F.aggregate(c["pairs"], F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
         z_serial = F.when(square > 0, (cross / square + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
         # too even a spread of characters is as little random as too uneven a one, and so with the others
-        half = -(F.log(_two_sided(z_chi)) + F.log(_two_sided(z_runs)) + F.log(_two_sided(z_serial)))
-        return F.exp(-half) * (1 + half + half * half / 2)
+        half = F.least(F.lit(700.0), -(F.log(_two_sided(z_chi)) + F.log(_two_sided(z_runs)) + F.log(_two_sided(z_serial))))
+        return _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
 
-    return _let(values, tests)
+    return _let(_let(values, measured), tests)
 
 
 def _log_e(token: Column, alphabet: Column) -> Column:
