@@ -246,9 +246,11 @@ def search(vectors: DataFrame, top: int = 20, every: int = 20) -> DataFrame:
     x = saved(usable(vectors).dropDuplicates(["vec_id"]))
     square = F.aggregate("v", F.lit(0.0), lambda s, a: s + a * a)
     n, most = x.agg(F.count("*"), F.max(square)).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
     lists = max(1, min(MAX_LISTS, n // PER_LIST, len(sample) // 4))
-    told = spark.sparkContext.broadcast(fit_centroids(np.array([r.v for r in sample], dtype=np.float64).reshape(len(sample), -1), lists, most or 0.0))
+    told = spark.sparkContext.broadcast(fit_centroids(np.array([r.v for r in sample], dtype=np.float64).reshape(len(sample), -1), lists, most))
     rows = saved(x.mapInArrow(lambda it: _place(it, told, every), "list int, id long, query boolean, v array<double>"))
     index, asks = rows.where("not query"), rows.where("query")
     best = saved(_answers(index, asks, top))
