@@ -6,7 +6,7 @@ the boundaries near it and equal passages give equal chunks wherever they stand.
 those that several documents hold are confirmed on all 128 bits, and consecutive ones join to passages.
 A run of chunks loses the passage's parts outside its first and last boundary. So runs of `SEED_WORDS` and more are candidates, and
 those shorter than a passage are confirmed exactly: every window of `MIN_WORDS` words around such a run is hashed, and
-those that several documents hold give the passage with its true ends.
+those that several documents hold give the passage with its true ends. Longer runs are reported as far as their chunks reach.
 """
 
 from __future__ import annotations
