@@ -131,19 +131,23 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFram
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-int(total) // BLOCK_BYTES) or 1
+    kind = "long"
+    if blocks > 1:  # hits of several blocks meet by id and text, so repeated rows of one id keep their own
+        docs, kind = docs.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("doc_id"), "text"), "struct<doc_id: long, digest: long>"
+    schema = _SCHEMA.replace("doc_id long", f"doc_id {kind}")
     found = []
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         known = spark.sparkContext.broadcast(WindowSet([(r.item_id, r.text) for r in mine.toLocalIterator()], n))
-        found.append(docs.mapInArrow(lambda it, known=known: _scan(it, known), _SCHEMA))
+        found.append(docs.mapInArrow(lambda it, known=known: _scan(it, known), schema))
     if blocks == 1:
         return found[0]
-    return _merged(docs, found)
+    return _merged(docs, found, schema)
 
 
-def _merged(docs: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """Hits of several blocks as one row a document. Repeated rows of a doc_id are told apart by their text's digest."""
-    counts = docs.mapInArrow(lambda it: _scan(it, _Empty()), _SCHEMA).select("doc_id", "n_words")
+def _merged(docs: DataFrame, found: list[DataFrame], schema: str) -> DataFrame:
+    """Hits of several blocks as one row a document; doc_id is a struct of the id and its text's digest."""
+    counts = docs.mapInArrow(lambda it: _scan(it, _Empty()), schema).select("doc_id", "n_words")
     hits = found[0].where("size(spans) > 0")
     for f in found[1:]:
         hits = hits.unionByName(f.where("size(spans) > 0"))
@@ -168,7 +172,7 @@ def _merged(docs: DataFrame, found: list[DataFrame]) -> DataFrame:
     )
     none = F.expr("cast(array() as array<struct<first: int, last: int, start: int, end: int>>)")
     return counts.join(by_doc.select("doc_id", run.alias("spans"), "items"), "doc_id", "left").select(
-        "doc_id", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items")
+        "doc_id.doc_id", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items")
     )
 
 
