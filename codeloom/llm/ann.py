@@ -3,8 +3,9 @@
 Vectors get one more coordinate that makes all norms equal, so the largest inner product is the least distance. Centroids come
 from balanced clustering of a bounded sample (the cost of a cluster rises with its size) and stay in memory with a neighbour
 graph; a best-first walk of that graph finds the lists near a vector. Every vector is indexed: it goes to its nearest list and, if it
-lies on a boundary, to others at nearly the same distance that no chosen list hides. A query visits the lists whose
-centroids are within a ratio of the nearest one's distance. Lists larger than a block are cut into blocks, and so are the queries that
+lies on a boundary, to others at nearly the same distance that no chosen list hides. A query visits all lists whose
+centroids are within a ratio of the nearest one's distance, however many they are. Neighbouring lists share a cell, and a query goes once to each
+cell that holds a list it visits and meets all of it. Cells larger than a block are cut into blocks, and so are the queries that
 visit one, so a vector that occurs often costs more tasks and not a longer one. Scores are exact, in double precision.
 """
 
@@ -24,9 +25,11 @@ from .common import column, groups, prepare, saved
 SAMPLE, PER_LIST, MAX_LISTS = 20_000, 160, 4096
 #: Copies of a boundary vector at most, and how much farther than the nearest list's centroid a further one may be (squared distances).
 COPIES, SPREAD = 4, 1.15
-#: Lists a query visits at least and at most, and the ratio of squared distances that prunes those between.
-LEAST_VISITS, VISITS, REACH = 8, 64, 1.6
+#: Lists a query visits at least, and the ratio of squared distances that prunes the others; lists of a cell at most.
+LEAST_VISITS, REACH, CELL = 8, 1.6, 16
 BLOCK, QUERY_BLOCK = 4096, 1024
+#: Bytes of vectors in a batch of placed rows, and queries whose distances to all centroids are held at once.
+PLACED_BYTES, QUERY_ROWS = 8 << 20, 512
 #: Found rows that a task holds before it cuts them to the best of each query.
 BUFFER = 400_000
 _LINKS, _BEAM = 16, 64
@@ -34,12 +37,13 @@ _LINKS, _BEAM = 16, 64
 
 @dataclass
 class Centroids:
-    """points: (lists, d + 1); graph: the neighbours of each; top: the squared norm that all vectors are lifted to."""
+    """points: (lists, d + 1); graph: the neighbours of each; top: the squared norm that all vectors are lifted to; cell: each list's cell."""
 
     points: np.ndarray
     graph: np.ndarray
     entries: np.ndarray
     top: float
+    cell: np.ndarray
 
     def lift(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, self.top - (x * x).sum(axis=1)))
@@ -91,11 +95,44 @@ class Centroids:
         order = np.argsort(dist, axis=1, kind="stable")[:, :k]
         return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
 
+    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of each cell that holds a list within reach of a query, or one of the nearest few."""
+        n_cells = int(self.cell.max()) + 1
+        square = (self.points * self.points).sum(axis=1)
+        rows, cells = [], []
+        for a in range(0, len(x), QUERY_ROWS):
+            y = x[a : a + QUERY_ROWS]
+            d = np.maximum(0, (y * y).sum(axis=1)[:, None] + square - 2 * y @ self.points.T)
+            k = min(LEAST_VISITS, d.shape[1])
+            r, lists = np.nonzero(d <= np.maximum(REACH * d.min(axis=1), np.partition(d, k - 1, axis=1)[:, k - 1])[:, None])
+            seen = np.zeros((len(y), n_cells), dtype=bool)
+            seen[r, self.cell[lists]] = True
+            r, c = np.nonzero(seen)
+            rows.append(r + a)
+            cells.append(c)
+        return np.concatenate(rows), np.concatenate(cells)
+
+
+def _cells(points: np.ndarray) -> np.ndarray:
+    """The cell of each list: halves along the direction of the largest variance, down to CELL lists."""
+    cell = np.zeros(len(points), dtype=np.int64)
+    todo, n = [np.arange(len(points))], 0
+    while todo:
+        some = todo.pop()
+        if len(some) <= CELL:
+            cell[some] = n
+            n += 1
+            continue
+        y = points[some] - points[some].mean(axis=0)
+        order = some[np.argsort(y @ np.linalg.eigh(y.T @ y)[1][:, -1], kind="stable")]
+        todo += [order[: len(order) // 2], order[len(order) // 2 :]]
+    return cell
+
 
 def fit_centroids(x: np.ndarray, lists: int, top: float, seed: int = 5) -> Centroids:
     """Balanced clusters of the sample x (rows of d coordinates)."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    c = Centroids(np.zeros((0, 0)), np.zeros((0, 0), int), np.zeros(0, int), top)
+    c = Centroids(np.zeros((0, 0)), np.zeros((0, 0), int), np.zeros(0, int), top, np.zeros(0, int))
     y = np.unique(c.lift(x), axis=0) if len(x) else np.zeros((1, 1))
     lists = max(1, min(lists, len(y)))
     points = y[rng.permutation(len(y))[:lists]].copy()
@@ -127,7 +164,7 @@ def fit_centroids(x: np.ndarray, lists: int, top: float, seed: int = 5) -> Centr
         ring = np.empty(lists, dtype=np.int64)
         ring[far] = np.roll(far, 1)
         graph = np.column_stack([graph, np.roll(np.arange(lists), 1), ring])
-    return Centroids(points, graph, np.unique(np.linspace(0, lists - 1, min(8, lists)).astype(int)), top)
+    return Centroids(points, graph, np.unique(np.linspace(0, lists - 1, min(8, lists)).astype(int)), top, _cells(points))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -136,14 +173,13 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def _place(batches: Iterator[pa.RecordBatch], told, every: int) -> Iterator[pa.RecordBatch]:
-    """Rows (vec_id, v) -> (list, id, query): a vector's lists in the index and, if it's a query, those it visits."""
+    """Rows (vec_id, v) -> (cell, id, query, v): a vector's cells in the index and, if it's a query, those it visits."""
     c: Centroids = told.value
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         ids, x = column(batch, "vec_id").to_numpy(), _matrix(column(batch, "v"))
-        rows: list[tuple[np.ndarray, np.ndarray, bool]] = []
         lists, d = c.near(c.lift(x), COPIES * 2)
         taken = np.zeros(lists.shape, dtype=bool)
         taken[:, 0] = True
@@ -154,26 +190,23 @@ def _place(batches: Iterator[pa.RecordBatch], told, every: int) -> Iterator[pa.R
                 ok &= ~(taken[:, i] & (gap < 0.25 * d[:, j]))
             taken[:, j] = ok
         r, k = np.nonzero(taken)
-        rows.append((r, lists[r, k], False))
+        rows = [(*np.unique(np.stack([r, c.cell[lists[r, k]]]), axis=1), False)]
         asks = np.flatnonzero(ids % every == 0)
         if len(asks):
-            lists, d = c.near(c.lift(x[asks], query=True), VISITS)
-            r, k = np.nonzero((d <= REACH * d[:, :1]) | (np.arange(d.shape[1]) < LEAST_VISITS))
-            rows.append((asks[r], lists[r, k], True))
-        who = np.concatenate([r for r, _, _ in rows])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([k for _, k, _ in rows]).astype(np.int32)),
-                pa.array(ids[who]),
-                pa.array(np.concatenate([np.full(len(r), q) for r, _, q in rows])),
-                column(batch, "v").take(pa.array(who)),
-            ],
-            names=["list", "id", "query", "v"],
-        )
+            r, cells = c.visits(c.lift(x[asks], query=True))
+            rows.append((asks[r], cells, True))
+        step = max(1, PLACED_BYTES // (8 * x.shape[1]))
+        for who, cells, query in rows:
+            for a in range(0, len(who), step):
+                some = who[a : a + step]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cells[a : a + step].astype(np.int32)), pa.array(ids[some]), pa.array(np.full(len(some), query)), column(batch, "v").take(pa.array(some))],
+                    names=["cell", "id", "query", "v"],
+                )
 
 
 def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's first `top` by score and id, a vector that several lists hold counting once."""
+    """Each query's first `top` by score and id, a vector that several cells hold counting once."""
     order = np.lexsort((ids, -score, q))
     q, ids, score = q[order], ids[order], score[order]
     once = np.ones(len(q), dtype=bool)
@@ -185,7 +218,7 @@ def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, top: int) -> tuple[
 
 
 def _search(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
-    """Rows (list, i, j, id, query, v) sorted by list, i, j -> each query's best among the task's blocks, exact scores.
+    """Rows (cell, i, j, id, query, v) sorted by cell, i, j -> each query's best among the task's blocks, exact scores.
 
     What blocks find is held and cut to the best of each query; it goes out early if the queries alone fill the buffer.
     """
@@ -196,7 +229,7 @@ def _search(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBa
         return _best(*(np.concatenate(c) for c in zip(*held_rows)), top)
 
     names = ["query_id", "vec_id", "score"]
-    for _, t in groups(batches, ["list", "i", "j"]):
+    for _, t in groups(batches, ["cell", "i", "j"]):
         q = t.column("query").to_numpy(zero_copy_only=False)
         ids = t.column("id").to_numpy()
         x = _matrix(t.column("v").combine_chunks())
@@ -251,27 +284,27 @@ def search(vectors: DataFrame, top: int = 20, every: int = 20) -> DataFrame:
     sample = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
     lists = max(1, min(MAX_LISTS, n // PER_LIST, len(sample) // 4))
     told = spark.sparkContext.broadcast(fit_centroids(np.array([r.v for r in sample], dtype=np.float64).reshape(len(sample), -1), lists, most))
-    rows = saved(x.mapInArrow(lambda it: _place(it, told, every), "list int, id long, query boolean, v array<double>"))
+    rows = saved(x.mapInArrow(lambda it: _place(it, told, every), "cell int, id long, query boolean, v array<double>"))
     index, asks = rows.where("not query"), rows.where("query")
     best = saved(_answers(index, asks, top))
     few = asks.select("id").distinct().join(best.groupBy(F.col("query_id").alias("id")).count(), "id", "left").where(F.coalesce("count", F.lit(0)) < min(top, n - 1))
     short = saved(few.select("id"))
-    if not short.isEmpty():  # their lists held too little: they visit all
-        again = x.join(short, x.vec_id == short.id).select(F.explode(F.sequence(F.lit(0), F.lit(len(told.value.points) - 1))).alias("list"), "id", F.lit(True).alias("query"), "v")
+    if not short.isEmpty():  # their cells held too little: they visit all
+        again = x.join(short, x.vec_id == short.id).select(F.explode(F.sequence(F.lit(0), F.lit(int(told.value.cell.max())))).alias("cell"), "id", F.lit(True).alias("query"), "v")
         best = best.join(short, best.query_id == short.id, "left_anti").unionByName(_answers(index, again, top))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def _answers(index: DataFrame, asks: DataFrame, top: int) -> DataFrame:
-    """The best of every list that a query visits: each list in blocks, against its queries in blocks."""
+    """The best of every cell that a query visits: each cell in blocks, against its queries in blocks."""
     rows = index.unionByName(asks)
-    sizes = rows.groupBy("list").agg(F.ceil(F.count_if(~F.col("query")) / BLOCK).alias("held"), F.ceil(F.count_if("query") / QUERY_BLOCK).alias("asks")).where("held > 0 and asks > 0")
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count_if(~F.col("query")) / BLOCK).alias("held"), F.ceil(F.count_if("query") / QUERY_BLOCK).alias("asks")).where("held > 0 and asks > 0")
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     all_ = lambda n: F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
-    tasks = rows.join(sizes, "list").withColumn("other", F.explode(F.when(F.col("query"), all_("held")).otherwise(all_("asks"))))
+    tasks = rows.join(sizes, "cell").withColumn("other", F.explode(F.when(F.col("query"), all_("held")).otherwise(all_("asks"))))
     tasks = tasks.select(
-        "list", F.when(F.col("query"), F.col("other")).otherwise(mine("held")).alias("i"), F.when(F.col("query"), mine("asks")).otherwise(F.col("other")).alias("j"), "id", "query", "v"
+        "cell", F.when(F.col("query"), F.col("other")).otherwise(mine("held")).alias("i"), F.when(F.col("query"), mine("asks")).otherwise(F.col("other")).alias("j"), "id", "query", "v"
     )
-    found = tasks.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(lambda it: _search(it, top), "query_id long, vec_id long, score double")
+    found = tasks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(lambda it: _search(it, top), "query_id long, vec_id long, score double")
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -214,6 +214,24 @@ def test_nearest(spark):
     assert [tuple(r) for r in ann.search(few).collect()] == [(0, 1, 2, 3.0), (0, 2, 1, 2.0)]
 
 
+def test_nearest_without_clusters(spark, monkeypatch):
+    """Directions without clusters, where many more than 64 lists lie within reach of a query."""
+    monkeypatch.setattr(ann, "PER_LIST", 20)
+    rng = np.random.Generator(np.random.PCG64(7))
+    x = rng.normal(size=(16_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.search(df, every=400).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 400):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 40 and hits >= 0.9 * 20 * len(got)
+
+
 def test_licenses(spark, odd, empty):
     rows = [
         (1, "Some words.\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, "Licensed under the Apache License, Version 1.1."),
