@@ -5,8 +5,9 @@ the boundaries near it and equal passages give equal chunks wherever they stand.
 `MAX_BYTES` after the last boundary, repetitions of one word every eight words. Chunks are counted by 64 bits of their digest (combined before the shuffle); occurrences of
 those that several documents hold are confirmed on all 128 bits, and consecutive ones join to passages.
 A run of chunks loses the passage's parts outside its first and last boundary. So runs of `SEED_WORDS` and more are candidates, and
-those shorter than a passage are confirmed exactly: every window of `MIN_WORDS` words around such a run is hashed, and
-those that several documents hold give the passage with its true ends. Longer runs are reported as far as their chunks reach.
+those shorter than a passage are confirmed exactly: every window of `MIN_WORDS` words around such a run is hashed, and so is every
+window around a chunk of such a run where it stands in a longer run; those that several documents hold give the passage with its true ends. Longer runs are
+reported as far as their chunks reach.
 """
 
 from __future__ import annotations
@@ -97,47 +98,56 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _RUN = "struct<start: int, end: int, words: int, first_doc: long>"
+_PLACE = "struct<d: long, start: int, end: int>"
 
 
-def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, chunk, start, end, words, first_doc) sorted by doc_id, chunk -> each document's runs of chunks."""
+def _runs(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, d1, chunk, start, end, words, first_doc) sorted by doc_id, chunk -> each document's runs of chunks.
+
+    With the digests of the chunks in runs of fewer than `size` words, and digests and places of those in longer runs.
+    """
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("first_doc", pa.int64())]))
     for (doc,), t in groups(batches, ["doc_id"]):
-        chunk, start, end, words, home = (t.column(c).to_numpy() for c in ("chunk", "start", "end", "words", "first_doc"))
+        chunk, start, end, words, home, d = (t.column(c).to_numpy() for c in ("chunk", "start", "end", "words", "first_doc", "d1"))
         keep = np.r_[True, np.diff(chunk) != 0]  # repeated rows of one document give the same chunk twice
-        chunk, start, end, words, home = (x[keep] for x in (chunk, start, end, words, home))
+        chunk, start, end, words, home, d = (x[keep] for x in (chunk, start, end, words, home, d))
         at = np.flatnonzero(np.r_[True, np.diff(chunk) > 1])
         total = np.add.reduceat(words, at)
         till = np.r_[at[1:], len(chunk)] - 1
         low = np.minimum.reduceat(home, at)
         rows = [{"start": int(start[a]), "end": int(end[b]), "words": int(n), "first_doc": int(f)} for a, b, n, f in zip(at, till, total, low) if n >= least]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([doc], type=pa.int64()), pa.array([rows], type=kind)], names=["doc_id", "runs"])
+            of = np.repeat(total, till - at + 1)
+            few, many = (of >= least) & (of < size), of >= max(least, size)
+            places = pa.StructArray.from_arrays([pa.array(d[many]), pa.array(start[many]), pa.array(end[many])], names=["d", "start", "end"])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], type=pa.int32()), x) for x in (pa.array(d[few]), places)]
+            yield pa.RecordBatch.from_arrays([pa.array([doc], type=pa.int64()), pa.array([rows], type=kind), *lists], names=["doc_id", "runs", "few", "many"])
 
 
 def _around(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, runs) -> the windows of `size` words that hold a run of fewer words."""
+    """Rows (doc_id, text, runs, places) -> the windows of `size` words that hold a run of fewer words; run is -1 for those that hold one of `places`."""
     for batch in batches:
         buf, offs = K.text_buffers(column(batch, "text"))
         w = K.words(buf, offs, K.NOT_SPACE)
         h = K.window_hashes(w.hash, size)
         out: list[list] = [[], [], [], [], []]
-        for row, (doc, runs) in enumerate(zip(column(batch, "doc_id").to_pylist(), column(batch, "runs").to_pylist())):
+        for row, (doc, runs, places) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("doc_id", "runs", "places")))):
             low, high = int(w.bounds[row]), int(w.bounds[row + 1])
-            for r in runs:
-                if r["words"] >= size:
-                    continue
+            met = -1  # places come in order, and a window that holds two of them counts once
+            for r, run in [(r, r["start"]) for r in runs if r["words"] < size] + [(r, -1) for r in places]:
                 i = int(np.searchsorted(w.start, offs[row] + r["start"]))
                 j = int(np.searchsorted(w.end, offs[row] + r["end"])) + 1
                 a, b = max(low, j - size), min(i, high - size)
-                for k in range(a, b + 1):
-                    for o, v in zip(out, (doc, r["start"], h[k], w.start[k] - offs[row], w.end[k + size - 1] - offs[row])):
+                if run < 0:
+                    a, met = max(a, met + 1), max(met, b)
+                if a <= b:
+                    k = np.arange(a, b + 1)
+                    for o, v in zip(out, (np.full(len(k), doc), np.full(len(k), run), h[k], w.start[k] - offs[row], w.end[k + size - 1] - offs[row])):
                         o.append(v)
         if out[0]:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], type=pa.int64()), pa.array(out[1], type=pa.int32()), pa.array(np.array(out[2], dtype=np.uint64).view(np.int64))] + [pa.array(o, type=pa.int32()) for o in out[3:]],
-                names=["doc_id", "run", "h", "start", "end"],
-            )
+            kinds = (np.int64, np.int32, np.uint64, np.int32, np.int32)
+            cols = [np.concatenate(o).astype(x) for o, x in zip(out, kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], names=["doc_id", "run", "h", "start", "end"])
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -154,13 +164,18 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     several = chunks.groupBy("d1").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("d1")
     met = saved(chunks.join(several, "d1", "left_semi"))
     first = met.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("high")).where("first_doc < high").drop("high")
-    rows = met.join(first, ["d1", "d2"]).select("doc_id", "chunk", "start", "end", "words", "first_doc")
-    runs = saved(rows.repartition("doc_id").sortWithinPartitions("doc_id", "chunk").mapInArrow(lambda it: _runs(it, min(SEED_WORDS, min_words)), f"doc_id long, runs array<{_RUN}>"))
-
-    short = runs.where(F.exists("runs", lambda r: r["words"] < min_words))
+    rows = met.join(first, ["d1", "d2"]).select("doc_id", "d1", "chunk", "start", "end", "words", "first_doc")
+    dealt = rows.repartition("doc_id").sortWithinPartitions("doc_id", "chunk")
+    runs = saved(dealt.mapInArrow(lambda it: _runs(it, min(SEED_WORDS, min_words), min_words), f"doc_id long, runs array<{_RUN}>, few array<long>, many array<{_PLACE}>"))
+
+    # a passage may lie in a short run here and in a long one there: its chunks in long runs give windows to compare with
+    partners = runs.select("doc_id", F.explode("many").alias("p")).select("doc_id", "p.*").join(runs.select(F.explode("few").alias("d")).distinct(), "d", "left_semi")
+    places = partners.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("places"))
+    short = runs.where(F.exists("runs", lambda r: r["words"] < min_words)).select("doc_id", "runs").join(places, "doc_id", "full")
+    short = short.select("doc_id", *[F.coalesce(c, F.expr(f"cast(array() as array<{t}>)")).alias(c) for c, t in (("runs", _RUN), ("places", "struct<start: int, end: int>"))])
     windows = saved(docs.join(short, "doc_id").mapInArrow(lambda it: _around(it, min_words), "doc_id long, run int, h long, start int, end int"))
     shared = windows.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("high")).where("first_doc < high").drop("high")
-    sure = windows.join(shared, "h").groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("start").alias("n"), F.min("first_doc").alias("first_doc"))
+    sure = windows.where("run >= 0").join(shared, "h").groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("start").alias("n"), F.min("first_doc").alias("first_doc"))
     sure = sure.select("doc_id", F.struct("start", "end", (F.col("n") + min_words - 1).cast("int").alias("words"), "first_doc").alias("p"))
     long = runs.select("doc_id", F.explode(F.filter("runs", lambda r: r["words"] >= min_words)).alias("p"))
     found = sure.unionByName(long).groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("passages"))

@@ -287,6 +287,22 @@ def test_repeated_passages(spark, odd, empty):
     assert not any(same.values()) and chunk_dedup.repeated_passages(odd).count() == len(ODD) and chunk_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_short_here_and_in_a_long_run_there(spark):
+    """Document 3g shares 53 to 62 words with 3g + 1 and 3g + 2, which are copies of each other."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows, passages = [], []
+    for g in range(10):
+        passages.append(" ".join(fresh(53 + g)))
+        copy = " ".join(fresh(40) + [passages[-1]] + fresh(40))
+        rows += [(3 * g, " ".join(fresh(30) + [passages[-1]] + fresh(30))), (3 * g + 1, copy), (3 * g + 2, copy)]
+    got = {r.doc_id: r.passages for r in chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, p in got.items() if len(p) == 1} == set(range(30))
+    for g, passage in enumerate(passages):
+        p = got[3 * g][0]
+        assert rows[3 * g][1][p.start : p.end] in passage and p.words >= 51 and p.first_doc == 3 * g
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(6)
     text = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(400))
