@@ -2,13 +2,15 @@
 
 Lines that speak of licences or rights, with the lines between two such lines a few apart, are candidate blocks. Each block is
 compressed, in lower case, with every template as a zstandard raw dictionary; the template that shrinks it most, against the block compressed alone, ranks
-first. The first few are then compared word by word with the block, and the exact differences decide: enough of the template's
-words in order, and every number of the template (its version) present.
+first. Every template whose words the block holds is then compared word by word with it, around their longest common run (the first few with
+the whole block, too), and the exact differences decide: enough of the template's words in order, and every number of the template (its version)
+present. What lies before and after a confirmed notice is ranked and compared again.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -44,6 +46,7 @@ TEMPLATES: list[tuple[str, str]] = [
 HINT = r"(?i)licen[sc]e|rights reserved|permission|public domain|free software|redistribution|copyright|waived"
 #: Lines between two hints that one block may bridge; bytes of a block, longer ones being cut at lines; the least share of a template's words.
 BRIDGE, BLOCK_BYTES, SHARE = 2, 4096, 0.85
+#: Templates of the largest reduction that may be spread over the whole block.
 RANKED = 3
 _WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W_]+")
 _RESULT = "doc_id long, licenses array<struct<license: string, start: int, end: int, reduction: double, share: double, missing: string, extra: string>>"
@@ -77,37 +80,61 @@ class _Scanner:
         return out
 
     def judge(self, block: str) -> list[tuple[int, float, float, list[str], list[str], int, int]]:
-        """Confirmed templates of a block: index, reduction, share, missing and extra words, range in the block."""
+        """Confirmed templates of a block, one place each: index, reduction, share, missing and extra words, range in the block."""
         raw = block.lower().encode()
         base = len(self.alone.compress(raw))
         gains = sorted(((base - len(c.compress(raw))) / base, -k) for k, c in enumerate(self.with_template))[::-1]
         spans = [(m.start(), m.end()) for m in _WORD.finditer(block)]
         have = [block[a:b].lower() for a, b in spans]
+        counts = Counter(have)
         found = []
-        for gain, k in gains[:RANKED]:
+        for place, (gain, k) in enumerate(gains):
             want = self.words[-k]
-            if gain <= 0 or not have:
+            if sum((Counter(want) & counts).values()) < SHARE * len(want):
                 continue
-            pairs = [m for m in SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if m.size]
-            share = sum(m.size for m in pairs) / len(want)
-            missing = [w for i, w in enumerate(want) if not any(m.a <= i < m.a + m.size for m in pairs)]
-            if share < SHARE or any(w[0].isdigit() for w in missing):
-                continue
-            low, high = pairs[0].b, pairs[-1].b + pairs[-1].size
-            extra = [w for i, w in enumerate(have[low:high], low) if not any(m.b <= i < m.b + m.size for m in pairs)]
-            found.append((-k, gain, share, missing, extra, spans[low][0], spans[high - 1][1]))
+            near = SequenceMatcher(None, want, have, autojunk=False)
+            m = near.find_longest_match()
+            a, b = max(0, m.b - m.a - len(want)), min(len(have), m.b - m.a + 2 * len(want))
+            judged = self._differences(want, have, a, b)
+            if judged is None and place < RANKED and gain > 0:
+                judged = self._differences(want, have, 0, len(have))
+            if judged is not None:
+                share, missing, extra, low, high = judged
+                found.append((-k, gain, share, missing, extra, spans[low][0], spans[high - 1][1]))
         return found
 
+    @staticmethod
+    def _differences(want: list[str], have: list[str], a: int, b: int) -> tuple[float, list[str], list[str], int, int] | None:
+        """Share, missing and extra words and word range of a template in have[a:b]; None if they don't confirm it."""
+        pairs = [m for m in SequenceMatcher(None, want, have[a:b], autojunk=False).get_matching_blocks() if m.size]
+        share = sum(m.size for m in pairs) / len(want)
+        missing = [w for i, w in enumerate(want) if not any(m.a <= i < m.a + m.size for m in pairs)]
+        if share < SHARE or any(w[0].isdigit() for w in missing):
+            return None
+        low, high = a + pairs[0].b, a + pairs[-1].b + pairs[-1].size
+        extra = [w for i, w in enumerate(have[low:high], low - a) if not any(m.b <= i < m.b + m.size for m in pairs)]
+        return share, missing, extra, low, high
+
+    def notices(self, block: str) -> list[tuple[int, float, float, list[str], list[str], int, int]]:
+        """The block's notices: the best of those confirmed, then those of the text before and after it."""
+        out, todo = [], [(0, len(block))]
+        while todo:
+            a, b = todo.pop()
+            best = min(self.judge(block[a:b]), key=self.rank, default=None)
+            if best is not None:
+                low, high = a + best[5], a + best[6]
+                out.append((*best[:5], low, high))
+                todo += [(a, low), (high, b)]
+        return out
+
+    def rank(self, f: tuple) -> tuple[int, int, float]:
+        """Fewest differences first, then the longest wording, then the gain."""
+        return len(f[3]) + len(f[4]), -len(self.words[f[0]]), -f[1]
+
     def scan(self, text: str) -> list[dict]:
         out = []
         for a, b in self.blocks(text):
-            taken: list[tuple[int, int]] = []
-            # fewest differences first, then the longest wording, then the gain
-            best = sorted(self.judge(text[a:b]), key=lambda f: (len(f[3]) + len(f[4]), -len(self.words[f[0]]), -f[1]))
-            for k, gain, share, missing, extra, low, high in best:
-                if any(x < high and low < y for x, y in taken):
-                    continue
-                taken.append((low, high))
+            for k, gain, share, missing, extra, low, high in self.notices(text[a:b]):
                 out.append({"license": TEMPLATES[k][0], "start": a + low, "end": a + high, "reduction": gain, "share": share, "missing": " ".join(missing), "extra": " ".join(extra)})
         return sorted(out, key=lambda x: (x["start"], x["end"], x["license"]))
 

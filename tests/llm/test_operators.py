@@ -244,6 +244,15 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_licenses(odd).where("n_licenses > 0").count() == 0 and licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_several_notices_in_a_block():
+    scanner, wording = licenses._Scanner(), [t for _, t in licenses.TEMPLATES]
+    for first in wording[:-1]:
+        text = f"{first}\n{wording[-1]}"
+        assert [(x["license"], x["start"]) for x in scanner.scan(text)] == [(licenses.TEMPLATES[wording.index(first)][0], 0), ("proprietary", len(first) + 1)], first
+    several = [1, 4, 14, 1, 15, 6, 18]
+    assert [x["license"] for x in scanner.scan("\n".join(wording[k] for k in several))] == [licenses.TEMPLATES[k][0] for k in several]
+
+
 def base_spans(t):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
