@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-Lines that speak of licences or rights, with the lines between two such lines a few apart, are candidate blocks. Each block is
+Lines that speak of licences or rights, with the lines between two such lines a few apart, are candidate blocks. Longer ones are cut into windows
+that overlap by half, so a notice of up to half a window lies whole in one; windows without such a word are left out. Each block is
 compressed, in lower case, with every template as a zstandard raw dictionary; the template that shrinks it most, against the block compressed alone, ranks
 first. Every template whose words the block holds is then compared word by word with it, around their longest common run (the first few with
 the whole block, too), and the exact differences decide: enough of the template's words in order, and every number of the template (its version)
@@ -10,6 +11,7 @@ present. What lies before and after a confirmed notice is ranked and compared ag
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -44,8 +46,10 @@ TEMPLATES: list[tuple[str, str]] = [
     ("proprietary", "All rights reserved."),
 ]
 HINT = r"(?i)licen[sc]e|rights reserved|permission|public domain|free software|redistribution|copyright|waived"
-#: Lines between two hints that one block may bridge; bytes of a block, longer ones being cut at lines; the least share of a template's words.
-BRIDGE, BLOCK_BYTES, SHARE = 2, 4096, 0.85
+#: Lines between two hints that one block may bridge; code points of a block, longer ones being cut into windows; the least share of a template's words.
+BRIDGE, BLOCK_CHARS, SHARE = 2, 4096, 0.85
+#: Code points by which a window's edges may move out of a word.
+EDGE = 64
 #: Templates of the largest reduction that may be spread over the whole block.
 RANKED = 3
 _WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W_]+")
@@ -62,7 +66,7 @@ class _Scanner:
         self.hint = re.compile(HINT)
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
-        """Code point ranges of candidate blocks."""
+        """Code point ranges of candidate blocks, not cut."""
         lines, at = [], 0
         for line in text.split("\n"):
             lines.append((at, at + len(line)))
@@ -71,7 +75,7 @@ class _Scanner:
         out: list[tuple[int, int]] = []
         run: list[int] = []
         for i in hits:
-            if run and (i - run[-1] > BRIDGE + 1 or lines[i][1] - lines[run[0]][0] > BLOCK_BYTES):
+            if run and i - run[-1] > BRIDGE + 1:
                 out.append((lines[run[0]][0], lines[run[-1]][1]))
                 run = []
             run.append(i)
@@ -79,6 +83,25 @@ class _Scanner:
             out.append((lines[run[0]][0], lines[run[-1]][1]))
         return out
 
+    def windows(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
+        """A block of text as it is, or its windows around hints."""
+        if b - a <= BLOCK_CHARS:
+            return [(a, b)]
+        half, out, after = BLOCK_CHARS // 2, [], a
+        for hint in self.hint.finditer(text, a, b):
+            # all windows that hold the hint, from those not taken yet
+            first = max(after, a + max(0, -(-(hint.end() - a - BLOCK_CHARS) // half)) * half)
+            for low in range(first, hint.start() + 1, half):
+                high = min(b, low + BLOCK_CHARS)
+                after = low + half
+                low_, high_ = low, high
+                while low_ > max(a, low - EDGE) and text[low_ - 1].isalnum():
+                    low_ -= 1
+                while high_ < min(b, high + EDGE) and text[high_ : high_ + 1].isalnum():
+                    high_ += 1
+                out.append((low_, high_))
+        return out
+
     def judge(self, block: str) -> list[tuple[int, float, float, list[str], list[str], int, int]]:
         """Confirmed templates of a block, one place each: index, reduction, share, missing and extra words, range in the block."""
         raw = block.lower().encode()
@@ -131,11 +154,29 @@ class _Scanner:
         """Fewest differences first, then the longest wording, then the gain."""
         return len(f[3]) + len(f[4]), -len(self.words[f[0]]), -f[1]
 
+    def apart(self, found: list[tuple]) -> list[tuple]:
+        """The best of those that overlap."""
+        starts: list[int] = []
+        ends: list[int] = []
+        out = []
+        for f in sorted(found, key=self.rank):
+            i = bisect_right(starts, f[5])
+            if (i and ends[i - 1] > f[5]) or (i < len(starts) and starts[i] < f[6]):
+                continue
+            starts.insert(i, f[5])
+            ends.insert(i, f[6])
+            out.append(f)
+        return out
+
     def scan(self, text: str) -> list[dict]:
         out = []
         for a, b in self.blocks(text):
-            for k, gain, share, missing, extra, low, high in self.notices(text[a:b]):
-                out.append({"license": TEMPLATES[k][0], "start": a + low, "end": a + high, "reduction": gain, "share": share, "missing": " ".join(missing), "extra": " ".join(extra)})
+            pieces = self.windows(text, a, b)
+            found = [(*f[:5], low + f[5], low + f[6]) for low, high in pieces for f in self.notices(text[low:high])]
+            if len(pieces) > 1:  # two windows may hold one notice, or one of them a part of it
+                found = self.apart(found)
+            for k, gain, share, missing, extra, low, high in found:
+                out.append({"license": TEMPLATES[k][0], "start": low, "end": high, "reduction": gain, "share": share, "missing": " ".join(missing), "extra": " ".join(extra)})
         return sorted(out, key=lambda x: (x["start"], x["end"], x["license"]))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -253,6 +254,26 @@ def test_several_notices_in_a_block():
     assert [x["license"] for x in scanner.scan("\n".join(wording[k] for k in several))] == [licenses.TEMPLATES[k][0] for k in several]
 
 
+def test_notices_in_long_texts():
+    rng = random.Random(13)
+    fill = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    scanner = licenses._Scanner()
+    spans = lambda t: [(x["license"], x["start"], x["end"]) for x in scanner.scan(t)]
+    for name, wording in licenses.TEMPLATES:
+        front = fill(rng.randint(3000, 9000)) + " "
+        text = f"{front}{wording} {fill(5000)}"
+        words = [m.span() for m in re.finditer(r"\w+", wording)]
+        assert spans(text) == [(name, len(front) + words[0][0], len(front) + words[-1][1])], wording
+    wrapped = textwrap.fill(licenses.TEMPLATES[2][1], 120)
+    for size in range(3700, 4300, 50):  # the notice straddles 4096 code points of a run of lines
+        front = ("no license here at all ok\n" * 200)[:size] + "\n"
+        assert spans(front + wrapped) == [("MIT", len(front), len(front) + len(wrapped))], size
+    hints = fill(500) + "".join(f" license {fill(k % 700)}" for k in range(60))
+    for a, b in scanner.blocks(hints):
+        cut = scanner.windows(hints, a, b)
+        assert all(any(low <= m.start() and m.end() <= high for low, high in cut) for m in scanner.hint.finditer(hints, a, b)) and max(h - w for w, h in cut) <= 4096 + 128
+
+
 def base_spans(t):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
