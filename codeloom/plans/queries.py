@@ -97,22 +97,22 @@ def upsert_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "qualified_name", F.when(F.col("created_at").isNotNull(), F.col("text")).alias("new_text"))
 
 
-def edit_similarity_ascii(spark: SparkSession, sf: str) -> DataFrame:
-    t = turns(spark, sf).where("prediction_no_reference is not null")
+def edit_similarity_ascii(spark: SparkSession, sf: str, ascii_only: bool = True) -> DataFrame:
+    t = turns(spark, sf, ascii_only).where("prediction_no_reference is not null")
     return t.select("sample_index", X.edit_similarity(X.first_line("groundtruth"), X.first_line("prediction_no_reference")).alias("es"))
 
 
-def score_records(spark: SparkSession, sf: str) -> DataFrame:
+def score_records(spark: SparkSession, sf: str, ascii_only: bool = True) -> DataFrame:
     names = [f"{m}_{s}" for m in E.METRICS for s in (*E.SIDES, "improvement_abs")]
-    return _rounded(E.with_scores(turns(spark, sf)).select("sample_index", "normalized_groundtruth", *names))
+    return _rounded(E.with_scores(turns(spark, sf, ascii_only)).select("sample_index", "normalized_groundtruth", *names))
 
 
-def summary_overall(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(E.generation_summary(E.with_scores(turns(spark, sf))))
+def summary_overall(spark: SparkSession, sf: str, ascii_only: bool = True) -> DataFrame:
+    return _rounded(E.generation_summary(E.with_scores(turns(spark, sf, ascii_only))))
 
 
-def summary_by_repository(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(E.generation_by_repository(E.with_scores(turns(spark, sf))))
+def summary_by_repository(spark: SparkSession, sf: str, ascii_only: bool = True) -> DataFrame:
+    return _rounded(E.generation_by_repository(E.with_scores(turns(spark, sf, ascii_only))))
 
 
 def ppl_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,12 +127,32 @@ def ppl_shard_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(E.ppl_shard_summaries(E.ppl_improvement(perplexities(spark, sf))))
 
 
-def shard_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    t = turns(spark, sf).withColumn("shard_rank", (F.col("sample_index") % 4).cast("int"))
+def shard_summaries(spark: SparkSession, sf: str, ascii_only: bool = True) -> DataFrame:
+    t = turns(spark, sf, ascii_only).withColumn("shard_rank", (F.col("sample_index") % 4).cast("int"))
     t = t.withColumn("prompt_token_count_used_no_reference", (F.col("sample_index") % 30).cast("int")).withColumn("prompt_token_count_used_with_reference", (F.col("sample_index") % 20).cast("int"))
     return _rounded(E.shard_summaries(t))
 
 
+def edit_similarity_all_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return edit_similarity_ascii(spark, sf, ascii_only=False)
+
+
+def score_records_all_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return score_records(spark, sf, ascii_only=False)
+
+
+def summary_overall_all_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return summary_overall(spark, sf, ascii_only=False)
+
+
+def summary_by_repository_all_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return summary_by_repository(spark, sf, ascii_only=False)
+
+
+def shard_summaries_all_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return shard_summaries(spark, sf, ascii_only=False)
+
+
 def merge_shards(spark: SparkSession, sf: str) -> DataFrame:
     p = perplexities(spark, sf)
     whole = E.unique_tasks(E.merged([E.shard(p, 4, r) for r in range(4)]))
@@ -238,6 +258,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         text_fingerprint, search_substring, search_limit, scan_filtered_ordered, candidate_scan, lookup_ids, stats_grouping_sets, retrieve_prefilter_topk, retrieve_greedy,
         retrieve_unbounded, hit_rate, upsert_last_wins, edit_similarity_ascii, score_records, summary_overall, summary_by_repository, ppl_summary, ppl_by_repository, ppl_shard_summaries,
         shard_summaries, merge_shards, split_filter, resume_anti_join, duplicate_task_check, augment_join, calibration_rank, reference_packing, reference_segments, tail_line_queries,
-        log_ppl, extension_language, structure_fold, ingest_units, prompt_context,
+        log_ppl, extension_language, structure_fold, ingest_units, prompt_context, edit_similarity_all_turns, score_records_all_turns, summary_overall_all_turns, summary_by_repository_all_turns,
+        shard_summaries_all_turns,
     )
 }

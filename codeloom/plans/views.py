@@ -41,9 +41,13 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), ngram_fingerprint("text").alias("fingerprint"))
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASCII turns of conversations as scored samples: the turn before is the groundtruth of the next; flags follow from ids."""
-    c = table(spark, sf_dir, "conversations").where(F.octet_length("text") == F.length("text"))
+def turns(spark: SparkSession, sf_dir: str, ascii_only: bool = False) -> DataFrame:
+    """Turns of conversations as scored samples: the turn before is the groundtruth of the next; flags follow from ids.
+
+    ascii_only leaves out the turns with other characters, as the SQL does, whose levenshtein counts bytes.
+    """
+    c = table(spark, sf_dir, "conversations")
+    c = c.where(F.octet_length("text") == F.length("text")) if ascii_only else c
     a = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("groundtruth"))
     index = F.col("conv_id") * 100 + F.col("turn")
     j = c.join(a, ["conv_id", "turn"]).select(index.alias("sample_index"), "conv_id", "turn", "text", "groundtruth")

@@ -32,3 +32,33 @@ def test_matches_sql(spark, sf_dir, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_all_turns(spark, tmp_path):
+    """The queries without SQL run over every pair of turns; distances count code points."""
+    texts = ["plain", "pläin", "日本語 text", "日本 text", "🙂🙂", "", "Ünï\nsecond", "plain"]
+    turns = [(c, t, texts[(c + t) % len(texts)]) for c in range(20) for t in range(1, 5)]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    said = {(c, t): x for c, t, x in turns}
+    pairs = {c * 100 + t: (said[c, t - 1], x) for (c, t), x in said.items() if t > 1}
+    want = {}
+    for n, (a, b) in pairs.items():
+        a, b = a.split("\n")[0], b.split("\n")[0]
+        if n % 11:
+            want[n] = 1 - distance(a, b) / max(len(a), len(b), 1)
+    run = lambda name: entry.queries()[f"{name}_all_turns"](spark, str(tmp_path)).collect()
+    got = {r.sample_index: r.es for r in run("edit_similarity")}
+    assert set(got) == set(want) and all(abs(got[n] - want[n]) < 1e-9 for n in want)
+    scored = {r.sample_index: r.strict_es_no_reference for r in run("score_records")}
+    assert set(scored) == set(pairs) and all(abs(scored[n] - want[n]) < 2e-9 for n in want)
+    assert [r.samples_total for r in run("summary_overall")] == [len(pairs)]
+    assert sum(r.samples for r in run("summary_by_repository")) == sum(r.samples_total for r in run("shard_summaries")) == len(pairs)
