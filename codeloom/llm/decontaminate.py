@@ -29,27 +29,30 @@ _SCHEMA = "doc_id long, n_words long, spans array<struct<first: int, last: int,
 class WindowSet:
     """Windows of test items: by length, sorted hashes with their words and the items they come from."""
 
-    def __init__(self, items: list[tuple[int, str | None]], n: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], n: int):
         texts = pa.array([t for _, t in items], type=pa.large_string())
-        ids = np.array([i for i, _ in items], dtype=np.int64)
         buf, offs = K.text_buffers(texts)
         w = K.words(buf, offs, K.ALNUM)
         folded = K.LOWER[buf]
-        found: dict[int, dict[int, dict[bytes, set[int]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
+        found: dict[int, dict[int, dict[bytes, set[int | None]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
         for k in range(len(items)):
             a, b = int(w.bounds[k]), int(w.bounds[k + 1])
             if b == a:
                 continue
             size = min(n, b - a)
             for j, h in enumerate(K.window_hashes(w.hash[a:b], size).tolist()):
-                found[size][h][words_at(folded, w, a + j, size)].add(int(ids[k]))
+                found[size][h][words_at(folded, w, a + j, size)].add(items[k][0])
         self.lengths = []
         for size, by_hash in sorted(found.items()):
             hashes = np.array(sorted(by_hash), dtype=np.uint64)
             bits = max(16, int(64 * len(hashes)).bit_length())
             seen = np.zeros(1 << bits, dtype=bool)
             seen[hashes >> np.uint64(64 - bits)] = True
-            self.lengths.append((size, hashes, bits, seen, [{k: sorted(v) for k, v in by_hash[h].items()} for h in hashes.tolist()]))
+            self.lengths.append((size, hashes, bits, seen, [{k: sorted(v, key=_id_order) for k, v in by_hash[h].items()} for h in hashes.tolist()]))
+
+
+def _id_order(i: int | None) -> tuple[bool, int]:
+    return i is None, i or 0
 
 
 def words_at(folded: np.ndarray, w: K.Words, at: int, size: int) -> bytes:
@@ -63,7 +66,7 @@ def _scan(batches: Iterator[pa.RecordBatch], windows) -> Iterator[pa.RecordBatch
         buf, offs = K.text_buffers(texts)
         w = K.words(buf, offs, K.ALNUM)
         folded = None
-        items: dict[int, set[int]] = defaultdict(set)
+        items: dict[int, set[int | None]] = defaultdict(set)
         marks = np.zeros(len(w.start) + 1, dtype=np.int32)
         text_of = w.text_of
         for size, hashes, bits, seen, told in known.lengths:
@@ -96,7 +99,7 @@ def _scan(batches: Iterator[pa.RecordBatch], windows) -> Iterator[pa.RecordBatch
                 column(batch, "doc_id"),
                 pa.array(np.diff(w.bounds).astype(np.int64)),
                 pa.ListArray.from_arrays(pa.array(bounds), spans),
-                pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], type=pa.list_(pa.int64())),
+                pa.array([sorted(items.get(i, ()), key=_id_order) for i in range(batch.num_rows)], type=pa.list_(pa.int64())),
             ],
             names=["doc_id", "n_words", "spans", "items"],
         )
@@ -122,13 +125,14 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFram
 
     spans are the runs of hit words: word positions [first, last) and byte offsets [start, end) of the text; items are the
     sorted ids of items with a window in the text. Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` with A-Z folded. Null
-    and empty texts have no words; items without words have no windows; repeated rows are scanned each; an empty benchmark hits
+    and empty texts have no words; items without words have no windows; items whose id is null or no number are found
+    like others and stand together as one null at the end of items (n_items counts it, the joined ids leave it out); repeated rows are scanned each; an empty benchmark hits
     nothing. Other columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    items = benchmark.select(F.col("item_id").try_cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-int(total) // BLOCK_BYTES) or 1
     kind = "long"

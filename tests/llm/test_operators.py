@@ -141,6 +141,24 @@ def test_contamination(spark, odd, empty, monkeypatch, block):
         assert {r.doc_id for r in decontaminate.decontaminate(df, items).collect()} == {i for i, *_, bad in contamination_model(rows, ITEMS) if not bad} - {20}
 
 
+@pytest.mark.parametrize("block", [8 << 20, 60])
+def test_contamination_by_items_without_id(spark, tmp_path, monkeypatch, block):
+    """The same as the SQL, for items whose id is null."""
+    import duckdb
+
+    from codeloom.llm.queries import OP3_SQL
+
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    items = spark.createDataFrame([(None, "a b c d e f g h i j k l"), (None, "alone"), (4, "a b c d e f g h i j"), (5, "four five")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "x alone y"), (2, "a b c d e f g h i j k"), (3, "four five alone"), (4, "none")], "doc_id long, text string")
+    db = duckdb.connect()
+    for name, t in (("documents", df), ("benchmark", items)):
+        t.write.parquet(f"{tmp_path}/{name}")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}/*.parquet')")
+    got = sorted(tuple(r) for r in decontaminate.contamination(df, items).collect())
+    assert got == sorted(db.execute(OP3_SQL).fetchall()) and [r[-1] for r in got] == [True, True, True, False]
+
+
 def test_token_counts(spark, odd, empty):
     from tokenizers import Tokenizer
 
