@@ -1,12 +1,12 @@
-"""MinHash near-deduplication by an LSH forest, with links confirmed on full shingle sets.
+"""MinHash near-deduplication by fixed-depth banding, with links confirmed on full shingle sets.
 
 1. Each text becomes its set of distinct word shingles. Texts with equal sets (by a 128-bit digest) are one class, with the
    least id as representative; only representatives go on.
-2. A forest of sorted signature orders: each tree orders representatives by a sequence of MinHash values of its own. A
-   *region* is a run that agrees on the first `depth` values. Within a region representatives are visited in
-   signature order: those with the longest common prefix, the neighbours, are tried first, then all others that no
-   chain of candidates joins yet. Where a region is larger than one block the depth adapts: blocks are cut
-   along the deeper order and met pairwise by separate tasks. A pair is a candidate if enough bytes of the signatures
+2. Bands: each of the trees has a sequence of MinHash values of its own, and a *region* is the rows that agree on the first
+   `depth` of them. Within a region representatives are visited in the order of their signatures, the same for all trees:
+   neighbours in it are tried first, then all others that no chain of candidates joins yet. The depth is fixed and doesn't adapt, as in an LSH
+   forest: going deeper would part pairs at the threshold. A region larger than one block is cut into blocks by a hash of the signature, which
+   separate tasks meet pairwise. A pair is a candidate if enough bytes of the signatures
    agree (five standard deviations below the threshold). Only a spanning forest of candidates leaves a task.
 3. Connected candidates are a family. Full sets meet within families, in blocks, and the exact intersection sizes of a
    block come from one matrix product; again only a spanning forest of confirmed links leaves a task.
