@@ -97,6 +97,17 @@ def upsert_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "qualified_name", F.when(F.col("created_at").isNotNull(), F.col("text")).alias("new_text"))
 
 
+def upsert_whole_table(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents are stored; then all come changed twice in one batch, each third under a new key, the later change winning."""
+    kb = knowledge(spark, sf, False)
+    stored = kb.select(*[F.col(f.name) if f.name in kb.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in KNOWLEDGE])
+    name = F.when(F.col("id") % 3 == 0, F.concat(F.lit("new_"), "qualified_name")).otherwise(F.col("qualified_name"))
+    batch = stored.withColumn("qualified_name", name).select(*[c for c in RECORD.names if c != "text"], F.explode(F.array(F.lit(0), F.lit(1))).alias("position"))
+    batch = batch.withColumn("text", F.concat(F.lit("change "), F.col("position").cast("string")))
+    out = upsert(stored, batch, "position", at="2024-01-01 00:00:00")
+    return out.select("id", "qualified_name", F.when(F.col("created_at").isNotNull(), F.col("text")).alias("new_text"))
+
+
 def edit_similarity_ascii(spark: SparkSession, sf: str, ascii_only: bool = True) -> DataFrame:
     t = turns(spark, sf, ascii_only).where("prediction_no_reference is not null")
     return t.select("sample_index", X.edit_similarity(X.first_line("groundtruth"), X.first_line("prediction_no_reference")).alias("es"))
@@ -259,6 +270,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         retrieve_unbounded, hit_rate, upsert_last_wins, edit_similarity_ascii, score_records, summary_overall, summary_by_repository, ppl_summary, ppl_by_repository, ppl_shard_summaries,
         shard_summaries, merge_shards, split_filter, resume_anti_join, duplicate_task_check, augment_join, calibration_rank, reference_packing, reference_segments, tail_line_queries,
         log_ppl, extension_language, structure_fold, ingest_units, prompt_context, edit_similarity_all_turns, score_records_all_turns, summary_overall_all_turns, summary_by_repository_all_turns,
-        shard_summaries_all_turns,
+        shard_summaries_all_turns, upsert_whole_table,
     )
 }

@@ -62,3 +62,10 @@ def test_all_turns(spark, tmp_path):
     assert set(scored) == set(pairs) and all(abs(scored[n] - want[n]) < 2e-9 for n in want)
     assert [r.samples_total for r in run("summary_overall")] == [len(pairs)]
     assert sum(r.samples for r in run("summary_by_repository")) == sum(r.samples_total for r in run("shard_summaries")) == len(pairs)
+
+
+def test_upsert_takes_every_document(spark, sf_dir, db):
+    ids = {i for (i,) in db.execute("SELECT doc_id FROM documents").fetchall()}
+    got = entry.queries()["upsert_whole_table"](spark, sf_dir).collect()
+    want = {(f"doc_{i}", None if i % 3 == 0 else "change 1") for i in ids} | {(f"new_doc_{i}", "change 1") for i in ids if i % 3 == 0}
+    assert {(r.qualified_name, r.new_text) for r in got} == want and len({r.id for r in got}) == len(got) == len(want)
