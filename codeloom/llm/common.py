@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of a batch that goes to a Python worker; a longer text makes a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 4096, 2 << 20
+#: A key is hot if it has more than both HOT_ROWS rows and one HOT_SHARE-th of all.
+HOT_ROWS, HOT_SHARE = 256, 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +29,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder of spark.checkpoint.dir. Where the session names none: one of our own if driver and executors share a machine, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
         spark.sparkContext.setCheckpointDir(at)
     return f"{at.rstrip('/')}/codeloom-{spark.sparkContext.applicationId}"
@@ -44,6 +48,22 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined with side, which has one row a key and in `count` how many rows have that key.
+
+    Keys with over a HOT_SHARE-th of all rows (and over HOT_ROWS) meet by broadcast: there are fewer than HOT_SHARE of them
+    whatever the data, so their size is bounded, and no other key can make a task of the shuffled join a long one.
+    rows are read twice, so they should be a saved table.
+    """
+    total, most = side.agg(F.sum(count), F.max(count)).first()
+    least = max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    if not most or most <= least:
+        return rows.join(side, keys, how)
+    few, others = side.where(F.col(count) > least), side.where(F.col(count) <= least)
+    told = F.broadcast(few)
+    return rows.join(told, keys).unionByName(rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(others, keys, how))
+
+
 _clearing: set[str] = set()
 
 

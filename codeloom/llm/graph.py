@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import join_hot, saved
 
 
 def _min_of_neighbours(e: DataFrame) -> DataFrame:
-    return e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     """Every node joins its larger neighbours to the least node it knows."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_min_of_neighbours(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return join_hot(both, _min_of_neighbours(both), ["u"], "degree").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Every node joins its smaller neighbours, and itself, to the least of them."""
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = _min_of_neighbours(down)
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = join_hot(down, least, ["u"], "degree").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -30,8 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges (u, v) of longs -> (node, component), the component being its least node.
 
     Alternates large-star and small-star steps until every edge is a leaf of a star. Minima are combined before they are
-    shuffled and the joins are plain equi-joins, so a hub splits; each round is written, so a lost executor costs one
-    round at most. Nodes without edges don't appear; self-links, repeats and nulls are left out.
+    shuffled and hubs meet their minimum by broadcast; each step is written, so a lost executor costs one step at most. Nodes without edges don't appear; self-links, repeats and nulls are left out.
     """
     e = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
@@ -40,7 +39,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             break
         mark = now
-        e = saved(_small_star(_large_star(e)).where("u <> v").distinct())
+        e = saved(_small_star(saved(_large_star(e).distinct())).where("u <> v").distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

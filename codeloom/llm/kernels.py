@@ -1,7 +1,8 @@
 """Vectorised text kernels over Arrow string buffers: word boundaries, word hashes and hashes of word windows.
 
-Hashes are 64-bit: a polynomial with random byte values inside a word, and odd multipliers across the words of a
-window, each ended by a mixing step. All constants come from one seeded generator, so every worker has the same.
+Hashes are 64-bit: inside a word each byte has a random value and each place a random multiplier of its own (not powers of one base,
+whose sums vanish for some pairs of words whatever the base), across the words of a window there are odd multipliers; both end in a
+mixing step. All constants come from one seeded generator, so every worker has the same.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import pyarrow.compute as pc
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_rng.integers(1, 2**62)) * 4 + 1
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
 _STEP = _rng.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SLICE = 1 << 20
+#: Places of a word whose multipliers are kept in a table.
+_PLACES = 1 << 16
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -39,14 +40,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _BASE_INVERSE):
-        p = np.full(n, base, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+@lru_cache(maxsize=1)
+def _multipliers() -> np.ndarray:
+    return _place_multipliers(np.arange(_PLACES, dtype=np.uint64))
+
+
+def _place_multipliers(at: np.ndarray) -> np.ndarray:
+    """The odd multiplier of each place in a word."""
+    return mix(mix(at + _STEP[-3]) ^ _STEP[-4]) | np.uint64(1)
 
 
 def text_buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +77,8 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def words(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray, fold: np.ndarray = LOWER) -> Words:
-    """inside: which bytes belong to words; fold: the byte each byte counts as."""
+def words(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray, fold: np.ndarray = LOWER, hashed: bool = True) -> Words:
+    """inside: which bytes belong to words; fold: the byte each byte counts as; hashed: whether hashes are wanted, too."""
     n = len(buf)
     if not n:
         none = np.zeros(0, dtype=np.int64)
@@ -92,22 +93,37 @@ def words(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray, fold: np.ndarra
     before = at[at > 0] - 1
     last[before] = m[before]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return Words(start, end, _word_hashes(buf, start, end, fold), np.searchsorted(start, offs))
+    return Words(start, end, _word_hashes(buf, start, end, fold) if hashed else np.zeros(0, dtype=np.uint64), np.searchsorted(start, offs))
 
 
 def _word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges [start, end), which are in order and don't overlap. Memory follows _SLICE, not the longest word."""
     values = _BYTE[fold]
+    table = _multipliers()
     out = np.empty(len(start), dtype=np.uint64)
     i = 0
     while i < len(start):
         a = int(start[i])
-        j = max(i + 1, int(np.searchsorted(end, a + _SLICE, "right")))
+        j = int(np.searchsorted(end, a + _SLICE, "right"))
+        if j <= i:  # a word longer than a slice
+            total = 0
+            for b in range(a, int(end[i]), _SLICE):
+                some = buf[b : min(b + _SLICE, int(end[i]))]
+                at = np.arange(b - a, b - a + len(some), dtype=np.uint64)
+                total += int(np.sum(values[some] * _place_multipliers(at), dtype=np.uint64))
+            out[i] = total % 2**64
+            i += 1
+            continue
         b = int(end[j - 1])
-        power, inverse = _powers(max(_SLICE, 1 << (b - a).bit_length()))
+        s = start[i:j] - a
+        place = np.arange(b - a) - np.repeat(s, np.diff(np.r_[s, b - a]))
+        far = place >= _PLACES
+        by = table[np.minimum(place, _PLACES - 1)]
+        if far.any():
+            by[far] = _place_multipliers(place[far].astype(np.uint64))
         total = np.zeros(b - a + 1, dtype=np.uint64)
-        np.cumsum(values[buf[a:b]] * power[: b - a], out=total[1:])
-        s, e = start[i:j] - a, end[i:j] - a
-        out[i:j] = (total[e] - total[s]) * inverse[s]
+        np.cumsum(values[buf[a:b]] * by, out=total[1:])
+        out[i:j] = total[end[i:j] - a] - total[s]
         i = j
     return mix(out ^ ((end - start).astype(np.uint64) * _STEP[-1]))
 

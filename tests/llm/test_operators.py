@@ -84,13 +84,87 @@ def test_near_duplicates(spark, odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def near(spark, rows, top=85):
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), (top, 100)).collect()
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got}
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """Regions and families far larger than a block, some joined into one component and some not."""
     monkeypatch.setattr(near_dedup, "REGION_BLOCK", 4)
     monkeypatch.setattr(near_dedup, "FAMILY_BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "DEPTHS", (1, 3))
     base = [f"w{i}" for i in range(80)]
     rows = [(i, " ".join([*base[: i % 78], f"e{i}", *base[i % 78 + 1 :]])) for i in range(40)]
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), (85, 100)).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == near_model(rows, 85)
+    rng = random.Random(8)
+    for i in range(40, 80):  # some more changes a text: links at and about the threshold
+        text = list(base)
+        for _ in range(rng.randint(1, 3)):
+            text[rng.randrange(80)] = f"e{i}"
+        rows.append((i, " ".join(text)))
+    assert near(spark, rows) == near_model(rows, 85)
+
+
+def test_equal_signatures_and_different_sets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FAMILY_BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "REGION_BLOCK", 5)
+    base = [f"w{i}" for i in range(1500)]
+    rows = [(i, " ".join([*base, f"tail{i}"])) for i in range(30)]
+    assert near(spark, rows) == near_model(rows, 85)
+
+
+def test_one_id_with_several_texts(spark):
+    texts = [" ".join(f"{a}{i}" for i in range(30)) for a in "abc"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[0]), (5, texts[0]), (7, texts[1]), (9, texts[2])]
+    got = near(spark, rows)
+    assert set(got) == {1, 5, 7, 9} and got[9] == (26, 9, True) and {got[5][1], got[7][1]} in ({1, 7}, {1, 5})
+
+
+def test_words_whose_polynomials_collide_modulo_two_to_the_64(spark):
+    """Thue-Morse words agree under every base of a polynomial hash modulo 2^64."""
+    for bits in (10, 11):
+        one = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+        two = one.translate(str.maketrans("ab", "ba"))
+        w = kernels.words(*kernels.text_buffers(pa.array([one, two])), kernels.NOT_SPACE)
+        assert w.hash[0] != w.hash[1]
+        assert near(spark, [(1, one), (2, two), (3, one)]) == {1: (1, 1, True), 2: (1, 2, True), 3: (1, 1, False)}
+
+
+def test_word_hashes_of_long_words(monkeypatch):
+    """The same whether a word lies in one slice or several, or beyond the table of places."""
+    texts = pa.array(["x" * 5000 + "y", "ab " + "x" * 5000 + "z", "x" * 5000 + "y ab"])
+    plain = kernels.words(*kernels.text_buffers(texts), kernels.NOT_SPACE).hash.tolist()
+    assert plain[0] == plain[3] != plain[2] and plain[1] == plain[4]
+    monkeypatch.setattr(kernels, "_SLICE", 700)
+    assert kernels.words(*kernels.text_buffers(texts), kernels.NOT_SPACE).hash.tolist() == plain
+    monkeypatch.setattr(kernels, "_SLICE", 1 << 20)
+    monkeypatch.setattr(kernels, "_PLACES", 100)
+    assert kernels.words(*kernels.text_buffers(texts), kernels.NOT_SPACE).hash.tolist() == plain
+
+
+def test_forest_compares_fewer_than_all_pairs():
+    """Near copies that neighbours in a tree's order join aren't compared again; the forest is that of all pairs."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    base = rng.integers(0, 256, (3, 120), dtype=np.uint8)
+    sig = base[np.repeat([0, 1, 2], 200)]
+    change = rng.random(sig.shape) < 0.03
+    sig = np.where(change, rng.integers(0, 256, sig.shape, dtype=np.uint8), sig)
+    sig = sig[np.lexsort(sig.T[::-1])]
+    ids, yes = np.arange(600), np.ones(600, dtype=bool)
+    edges, compared = near_dedup.forest_of(ids, ids, yes, yes, sig, 90)
+    up = list(range(600))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for x, y in edges:
+        assert np.count_nonzero(sig[x] == sig[y]) >= 90 and find(x) != find(y)
+        up[find(x)] = find(y)
+    alike = (sig[:, None] == sig[None]).sum(axis=2) >= 90
+    assert all(find(x) == find(y) for x, y in zip(*np.nonzero(alike))) and len({find(i) for i in range(600)}) == 3
+    assert compared < 0.75 * 600 * 599 / 2
 
 
 def test_components(spark):
