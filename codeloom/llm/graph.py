@@ -8,29 +8,39 @@ from pyspark.sql import functions as F
 from .common import join_hot, saved
 
 
+#: Edges up to which a join of them all is small, whatever the hubs.
+SPLIT = 500_000
+
+
 def _min_of_neighbours(e: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _with_least(e: DataFrame, split: bool) -> DataFrame:
+    """Edges with m, the least node their u knows; split: hubs meet theirs by broadcast."""
+    least = _min_of_neighbours(e)
+    return join_hot(e, least, ["u"], "degree") if split else e.join(least, "u")
+
+
+def _large_star(e: DataFrame, split: bool) -> DataFrame:
     """Every node joins its larger neighbours to the least node it knows."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return join_hot(both, _min_of_neighbours(both), ["u"], "degree").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, split).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, split: bool) -> DataFrame:
     """Every node joins its smaller neighbours, and itself, to the least of them."""
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _min_of_neighbours(down)
-    moved = join_hot(down, least, ["u"], "degree").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    moved = _with_least(down, split).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(_min_of_neighbours(down).select("u", F.col("m").alias("v")))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (u, v) of longs -> (node, component), the component being its least node.
 
     Alternates large-star and small-star steps until every edge is a leaf of a star. Minima are combined before they are
-    shuffled and hubs meet their minimum by broadcast; each step is written, so a lost executor costs one step at most. Nodes without edges don't appear; self-links, repeats and nulls are left out.
+    shuffled; beyond SPLIT edges hubs meet their minimum by broadcast and each step is written, below that each round. A lost executor costs one
+    step at most. Nodes without edges don't appear; self-links, repeats and nulls are left out.
     """
     e = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
@@ -39,7 +49,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             break
         mark = now
-        e = saved(_small_star(saved(_large_star(e).distinct())).where("u <> v").distinct())
+        split = now[0] > SPLIT
+        large = _large_star(e, split).distinct()
+        e = saved(_small_star(saved(large) if split else large, split).where("u <> v").distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -12,7 +12,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from codeloom.llm import ann, chunk_dedup, decontaminate, kernels, licenses, near_dedup, piece_codec, quality, secrets, token_count, toxicity  # noqa: E402
+from codeloom.llm import ann, chunk_dedup, common, decontaminate, graph, kernels, licenses, near_dedup, piece_codec, quality, secrets, token_count, toxicity  # noqa: E402
 from codeloom.llm.graph import connected_components  # noqa: E402
 
 BPE, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -167,10 +167,13 @@ def test_forest_compares_fewer_than_all_pairs():
     assert compared < 0.75 * 600 * 599 / 2
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(30)] + [(50, 40), (40, 60), (7, 7), (60, 50)]
+@pytest.mark.parametrize("split", [0, 500_000])
+def test_components(spark, monkeypatch, split):
+    monkeypatch.setattr(graph, "SPLIT", split)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(50)] + [(50, 40), (40, 60), (7, 7), (60, 50)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {**{i: 0 for i in range(31)}, 40: 40, 50: 40, 60: 40}
+    assert got == {**{i: 0 for i in range(31)}, 40: 40, 50: 40, 60: 40, **{100 + i: 100 for i in range(50)}}
 
 
 def contamination_model(rows, items, n=10):
