@@ -35,7 +35,7 @@ from .graph import connected_components
 
 TREES = 24
 #: Rows of a region, or of a family, that one task compares, and the shingles of the latter's sets; what is larger is parted.
-REGION_BLOCK, FAMILY_BLOCK, FAMILY_SHINGLES = 1024, 256, 4 << 20
+REGION_BLOCK, FAMILY_BLOCK, FAMILY_SHINGLES = 512, 256, 4 << 20
 #: Bytes of the signature, in a tree's order, by which parts of a region are told apart, round by round.
 DEPTHS = (2, 4, 8, 16, 32, 64, 256)
 _rng = np.random.Generator(np.random.PCG64(7))
