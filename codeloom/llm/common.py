@@ -92,6 +92,28 @@ def maybe_broadcast(df: DataFrame, rows: int, bytes_per_row: int = 16, most: int
     return F.broadcast(df) if rows * bytes_per_row <= most else df
 
 
+def digested(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with a digest of the text: id and digest tell rows apart where ids repeat."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("digest"))
+
+
+def same_row(docs: DataFrame, found: DataFrame):
+    """The condition that a row of docs and one of found (doc_id, digest) are of one id and one text; nulls are equal."""
+    return docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == found["digest"])
+
+
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without the rows of found (doc_id, digest), which is broadcast if counted small."""
+    found = saved(found.select("doc_id", "digest").distinct())
+    return docs.join(maybe_broadcast(found, found.count(), 32), same_row(docs, found), "left_anti")
+
+
+def but(batch: pa.RecordBatch, *names: str) -> tuple[list[pa.Array], list[str]]:
+    """Columns and names of a batch without those named."""
+    kept = [n for n in batch.schema.names if n not in names]
+    return [column(batch, n) for n in kept], kept
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

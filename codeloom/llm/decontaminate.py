@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import column, prepare
+from .common import column, digested, maybe_broadcast, prepare, same_row, saved, without
 
 #: Text of items in one broadcast block: its windows take about ten times as much.
 BLOCK_BYTES = 8 << 20
@@ -120,8 +120,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(k, "text", pa.array(out, type=pa.string()))
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """docs (doc_id, text), benchmark (item_id, text) -> doc_id, n_words, spans, items: one row per row of docs.
+def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = 10, digest: bool = False) -> DataFrame:
+    """docs (doc_id, text), benchmark (item_id, text) -> doc_id [, digest], n_words, spans, items: one row per row of docs.
 
     spans are the runs of hit words: word positions [first, last) and byte offsets [start, end) of the text; items are the
     sorted ids of items with a window in the text. Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` with A-Z folded. Null
@@ -131,22 +131,22 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFram
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = digested(docs)
     items = benchmark.select(F.col("item_id").try_cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-int(total) // BLOCK_BYTES) or 1
     kind = "long"
-    if blocks > 1:  # hits of several blocks meet by id and text, so repeated rows of one id keep their own
-        docs, kind = docs.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("doc_id"), "text"), "struct<doc_id: long, digest: long>"
+    if blocks > 1 or digest:  # hits of several blocks meet by id and text, so repeated rows of one id keep their own
+        docs, kind = docs.select(F.struct("doc_id", "digest").alias("doc_id"), "text"), "struct<doc_id: long, digest: long>"
     schema = _SCHEMA.replace("doc_id long", f"doc_id {kind}")
     found = []
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         known = spark.sparkContext.broadcast(WindowSet([(r.item_id, r.text) for r in mine.toLocalIterator()], n))
         found.append(docs.mapInArrow(lambda it, known=known: _scan(it, known), schema))
-    if blocks == 1:
-        return found[0]
-    return _merged(docs, found, schema)
+    out = found[0] if blocks == 1 else _merged(docs, found, schema)
+    told = ["doc_id.doc_id", "doc_id.digest"] if digest else ["doc_id.doc_id" if blocks > 1 else "doc_id"]
+    return out.select(*told, "n_words", "spans", "items")
 
 
 def _merged(docs: DataFrame, found: list[DataFrame], schema: str) -> DataFrame:
@@ -175,8 +175,9 @@ def _merged(docs: DataFrame, found: list[DataFrame], schema: str) -> DataFrame:
         ).otherwise(F.concat(done, F.array(s))),
     )
     none = F.expr("cast(array() as array<struct<first: int, last: int, start: int, end: int>>)")
-    return counts.join(by_doc.select("doc_id", run.alias("spans"), "items"), "doc_id", "left").select(
-        "doc_id.doc_id", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items")
+    by_doc = by_doc.select(F.col("doc_id").alias("at"), run.alias("spans"), "items")
+    return counts.join(by_doc, counts.doc_id.eqNullSafe(by_doc["at"]), "left").select(
+        "doc_id", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items")
     )
 
 
@@ -202,11 +203,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents") -> DataFrame:
     """docs without contaminated documents, or (remove="spans") with the hit words cut out of their texts.
 
-    Columns other than text stay as they are, whatever their names. Needs one row per doc_id.
+    Columns other than text stay as they are, whatever their names. Each row is judged by its own text, also where ids repeat or are null;
+    null and empty texts stay. An empty benchmark removes nothing.
     """
-    found = find_windows(docs, benchmark, n).where("size(spans) > 0").select("doc_id", "spans")
+    found = find_windows(docs, benchmark, n, digest=True).where("size(spans) > 0").select("doc_id", "digest", "spans")
     if remove == "documents":
-        return docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    held = docs.select(F.col("doc_id"), F.col("text"), F.struct(*docs.columns).alias("row")).join(found, "doc_id", "left")
+        return without(docs, found).select(*docs.columns)
+    found = saved(found.dropDuplicates(["doc_id", "digest"]))
+    told = maybe_broadcast(found, found.count(), 64)
+    held = docs.join(told, same_row(docs, found), "left").select(docs["text"].cast("string").alias("text"), found["spans"].alias("spans"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     cut = held.mapInArrow(_cut, held.schema)
     return cut.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

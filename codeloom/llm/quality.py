@@ -55,7 +55,7 @@ def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     buf, offs = K.text_buffers(texts)
     inside = np.ones(256, dtype=bool)
     inside[[10, 13]] = False
-    line = K.words(buf, offs, inside)
+    line = K.words(buf, offs, inside, hashed=False)
     w = K.words(buf, offs, K.NOT_SPACE)
     n = len(line.start)
     if not n:
@@ -137,7 +137,7 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 
 
 def train_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    """Fitted on a bounded sample of labelled documents."""
+    """Fitted on a bounded sample of labelled documents. Cases as in labelled_sample() and fit_quality()."""
     prepare(docs.sparkSession)
     return fit_quality(*labelled_sample(docs, labels, "quality", SAMPLE))
 
@@ -146,7 +146,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score (1: good), one row per row of docs, each whole text.
 
     Lines end at CR or LF; blank ones count by their length. Null and empty texts have no lines and get the model's score
-    for that. Only the text decides a score; other columns are ignored.
+    for that; repeated rows are scored each. Only the text decides a score; other columns are ignored.
     """
     prepare(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)

@@ -25,52 +25,64 @@ def held_out(mod: int, rest: int) -> F.Column:
 
 
 def judged(scores: DataFrame, mod: int, rest: int) -> DataFrame:
-    return scores.select("doc_id", held_out(mod, rest).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    """doc_id, held_out, score, predicted and what else scores have; one row per row of scores, whatever their ids and nulls."""
+    more = [c for c in scores.columns if c not in ("doc_id", "score")]
+    return scores.select("doc_id", F.coalesce(held_out(mod, rest), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), *more)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with the offending tokens' byte offsets. Cases as in score_toxicity()."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return judged(score_toxicity(docs, train_toxicity(docs, labels.where(~held_out(4, 2)))), 4, 2)
+    return judged(score_toxicity(docs, train_toxicity(docs, labels.where(~held_out(4, 2))), spans=True), 4, 2)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document. Cases as in score_quality()."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return judged(score_quality(docs, train_quality(docs, labels.where(~held_out(5, 0)))), 5, 0)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document. Cases as in count_tokens()."""
     import public_tokenizers
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document. Cases as in find_windows()."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document and their round trip. Cases as in encode_checked()."""
     import public_tokenizers
 
     return encode_checked(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id 20 divides. Cases as in ann.search()."""
     return ann.search(table(spark, sf_dir, "embeddings"), 20, 20)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that others hold too. Cases as in repeated_passages()."""
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document. Cases as in scan_licenses()."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document. Cases as in scan_secrets()."""
     return secret_report(table(spark, sf_dir, "documents"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicate documents. Cases as in near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "documents"), (85, 100))
 
 

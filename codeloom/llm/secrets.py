@@ -4,11 +4,12 @@ Base patterns give spans by the gaps between matches (split) and the matches the
 
 Battery: every run of 20 or more token characters gets an inferred encoding (decimal, hex, base 32, 36, 62, 64 ...). Chi-squared
 uniformity over that alphabet, a runs test about its middle and the lag-1 serial correlation give normal scores, which Fisher's rule
-combines; a token that the battery finds non-random (p < `REJECT`) is no secret. For the others the likelihood of the token under
-uniform drawing is set against the best of three models of ordinary wording (lower-case words, upper-case words, numbers).
-That ratio is an e-value, of mean at most 1 for ordinary wording, and it grows with length. The e-value form of Benjamini-Hochberg over all candidates of the
-corpus sets the cut, so the false discovery rate stays under `FDR` whatever dependence copies bring. The cut needs only a
-histogram of the log ratios in quarter steps, rounded down.
+combines to the p-value of "drawn evenly". Tokens fall into classes by length, each doubling in two steps, and false discovery is held within each class, twice:
+Benjamini-Hochberg on the battery's p-values finds the tokens that aren't random (of random ones at most the share `LOST` of these), which are no secrets. For the others the likelihood of the
+token under uniform drawing is set against the best of three models of ordinary wording (lower-case words, upper-case words, numbers).
+That ratio is an e-value, of mean at most 1 for ordinary wording, and it grows with length. The e-value form of Benjamini-Hochberg over the class
+sets the cut, so the false discovery rate stays under `FDR` whatever dependence copies bring. Both cuts need only
+histograms in quarter steps, rounded to the safe side.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-FDR, REJECT = 0.001, 0.001
+FDR, LOST = 0.001, 0.01
 _STEP, _LOW, _HIGH = 0.25, -200, 1200
+#: Length classes, and matches that are gathered at once: an array that grows match by match would be copied each time.
+_CLASSES, _RUN = 16, 256
 
 # The patterns of the base spans.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -68,8 +71,19 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
         more = span if keep is None else F.when(keep(x["group"]), span).otherwise(none)
         return F.when(x["hit"].isNull(), done).otherwise(F.struct(end.alias("at"), F.concat(done["out"], more).alias("out")))
 
-    found = F.aggregate(F.arrays_zip(*parts), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda done: done["out"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(text.rlike(pattern), _running(F.arrays_zip(*parts), none, step)).otherwise(none)
+
+
+def _running(items: Column, none: Column, step) -> Column:
+    """What step adds to `out` along items, with `at` carried on; gathered in runs of _RUN, so that the work grows in proportion."""
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(_RUN)), lambda i: F.slice(items, i + 1, _RUN))
+
+    def add(done: Column, run: Column) -> Column:
+        got = F.aggregate(run, F.struct(done["at"].alias("at"), none.alias("out")), step)
+        return _let(got, lambda g: F.struct(g["at"].alias("at"), F.concat(done["out"], F.array(g["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.slice(F.array(none), 1, 0).alias("out"))
+    return F.aggregate(runs, start, add, lambda done: F.flatten(done["out"]))
 
 
 def _count(token: Column, of: str) -> Column:
@@ -135,33 +149,77 @@ def _judged(token: Column) -> Column:
     alphabet = F.lit(_ENCODINGS[-1][1])
     for pattern, letters in reversed(_ENCODINGS[:-1]):
         alphabet = F.when(token.rlike(pattern), F.lit(letters)).otherwise(alphabet)
-    return _let(alphabet, lambda a: F.struct(_battery(token, a).alias("p"), F.floor(F.greatest(F.lit(_LOW), F.least(F.lit(_HIGH), _log_e(token, a) / _STEP))).cast("int").alias("bin")))
+    e = lambda a: F.greatest(F.lit(_LOW), F.least(F.lit(_HIGH), _log_e(token, a) / _STEP))
+    size = F.least(F.lit(_CLASSES - 1), F.floor(2 * F.log2(F.length(token) / 20.0))).cast("int")
+    return _let(
+        alphabet,
+        lambda a: _let(
+            _battery(token, a),
+            lambda p: F.struct(
+                size.alias("size"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(_HIGH)), -F.log(F.greatest(p, F.lit(1e-300))) / _STEP))).cast("int").alias("odd"), F.floor(e(a)).cast("int").alias("bin")
+            ),
+        ),
+    )
+
+
+def _held(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
+    """keep, base and tokens (span, told) of each row, as a saved table."""
+    long_enough = lambda group: F.length(group) >= 12
+    docs = docs.select(F.coalesce(text.cast("string"), F.lit("")).alias("text_"), *keep)
+    t = F.col("text_")
+    rest = [c for c in docs.columns if c != "text_"]
+    base = F.array_sort(F.concat(_spans(t, ASSIGN, 0, long_enough), _spans(t, ACCESS, 1), _spans(t, HEX, 2)))
+    base = F.filter(base, lambda s: (s["kind"] != 1) | (F.length(s["value"]) >= 18))
+    tokens = docs.select(*rest, base.alias("base"), _spans(t, CANDIDATE, 3).alias("tokens"))
+    free = F.filter("tokens", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return saved(tokens.select(*rest, "base", F.transform(free, lambda s: F.struct(s.alias("span"), _judged(s["value"]).alias("told"))).alias("tokens")))
+
+
+def _cuts(told: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """By length class: the step of -log p from which tokens aren't random, and the step of the log ratio from which random ones are secrets.
+
+    told (size, odd, bin). What is gathered has one row a class at most; classes without a cut are missing.
+    """
+    below = Window.partitionBy("size")
+
+    def cut(counts: DataFrame, step: str, level: float, evidence: Column) -> dict[int, int]:
+        """The least step with m / k times its bound within the level, k being the tokens from that step on."""
+        steps = counts.groupBy("size", step).agg(F.sum("n").alias("n"))
+        above = steps.withColumn("k", F.sum("n").over(below.orderBy(F.desc(step)))).join(F.broadcast(counts.groupBy("size").agg(F.max("m").alias("m"))), "size")
+        return {r["size"]: r["cut"] for r in above.where(F.log("m") - F.log("k") - evidence <= math.log(level)).groupBy("size").agg(F.min(step).alias("cut")).collect()}
+
+    counts = saved(told.groupBy("size", "odd", "bin").agg(F.count("*").alias("n")))  # at most classes x steps x steps
+    counts = counts.join(F.broadcast(counts.groupBy("size").agg(F.sum("n").alias("m"))), "size")
+    odd = cut(counts, "odd", LOST, F.col("odd") * _STEP)
+    return odd, cut(counts.where(~_at_least("size", "odd", odd)), "bin", FDR, F.col("bin") * _STEP)
+
+
+def _at_least(size: Column | str, step: Column | str, cuts: dict[int, int]) -> Column:
+    """Whether a token's step reaches the cut of its class."""
+    size, step = (F.col(c) if isinstance(c, str) else c for c in (size, step))
+    out = F.lit(False)
+    for k, low in cuts.items():
+        out = F.when(size == k, step >= low).otherwise(out)
+    return out
+
+
+def _random(held: DataFrame) -> Column:
+    """The spans of those tokens that both cuts leave."""
+    odd, sure = _cuts(held.select(F.explode("tokens").alias("x")).select("x.told.*"))
+    told = lambda x: x["told"]
+    chosen = F.filter("tokens", lambda x: ~_at_least(told(x)["size"], told(x)["odd"], odd) & _at_least(told(x)["size"], told(x)["bin"], sure))
+    return F.transform(chosen, lambda x: x["span"])
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, base, random: arrays of (start, kind, end, value), in code points; one row per row of docs.
 
     base holds the spans of the three patterns by start, random those that the battery adds: they meet no base span and pass the
-    corpus-wide cut. Null texts count as empty and have no spans. Copies count as often as they occur. Other columns are ignored. The result
+    cuts of their length class. Null texts count as empty and have no spans. Copies count as often as they occur. Other columns are ignored. The result
     rests on a table written to the shared folder: one pass over the texts, then one over its small rows.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    long_enough = lambda group: F.length(group) >= 12
-    t = F.col("text")
-    base = F.array_sort(F.concat(_spans(t, ASSIGN, 0, long_enough), _spans(t, ACCESS, 1), _spans(t, HEX, 2)))
-    base = F.filter(base, lambda s: (s["kind"] != 1) | (F.length(s["value"]) >= 18))
-    tokens = docs.select("doc_id", base.alias("base"), _spans(t, CANDIDATE, 3).alias("tokens"))
-    free = F.filter("tokens", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    held = tokens.select("doc_id", "base", F.transform(free, lambda s: F.struct(s.alias("span"), _judged(s["value"]).alias("told"))).alias("tokens"))
-    held = saved(held)
-    judged = held.select(F.explode("tokens").alias("x")).select("x.told.*")
-    steps = judged.where(F.col("p") >= REJECT).groupBy("bin").agg(F.count("*").alias("n"))
-    total = judged.agg(F.count("*").alias("m"))
-    above = steps.withColumn("k", F.sum("n").over(Window.orderBy(F.desc("bin")))).join(F.broadcast(total))
-    cut = above.where(F.log("m") - F.log("k") - math.log(FDR) <= F.col("bin") * _STEP).agg(F.min("bin")).first()[0]
-    chosen = F.filter("tokens", lambda x: (x["told"]["p"] >= REJECT) & (x["told"]["bin"] >= F.lit(cut))) if cut is not None else F.filter("tokens", lambda x: F.lit(False))
-    return held.select("doc_id", "base", F.transform(chosen, lambda x: x["span"]).alias("random"))
+    held = _held(docs, F.col("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    return held.select("doc_id", "base", _random(held).alias("random"))
 
 
 def _told(spans: Column) -> Column:
@@ -179,18 +237,22 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every found span replaced by a mark; overlapping spans become one. Other columns stay as they are.
+    """docs with every found span replaced by a mark; overlapping spans become one. Other columns stay as they are, whatever their names.
 
-    Needs one row per doc_id. Texts without spans, null ones too, come back unchanged.
+    Each row is cut by its own spans, which are saved beside it, so ids may repeat or be null. Texts without spans, null ones too, come back unchanged.
     """
-    found = scan_secrets(docs).select("doc_id", F.array_sort(F.concat("base", "random")).alias("found")).where("size(found) > 0")
-    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id")).join(found, "doc_id", "left")
-    text = F.col("row.text")
+    held = _held(docs, F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    held = held.select("row", F.array_sort(F.concat("base", _random(held))).alias("found"))
+    text = F.col("row.text").cast("string")
+    none = F.expr("cast(array() as array<struct<low: int, start: int, end: int>>)")
 
     def step(done: Column, s: Column) -> Column:
-        fresh = F.concat(done["out"], F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.lit(mark))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(s["start"] >= done["at"], fresh).otherwise(done["out"]).alias("out"))
-
-    cut = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    clean = F.when(F.col("found").isNull(), text).otherwise(cut)
+        """The gap before a span that doesn't begin inside one before."""
+        fresh = F.array(F.struct(done["at"].alias("low"), s["start"].alias("start"), s["end"].alias("end")))
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(s["start"] >= done["at"], F.concat(done["out"], fresh)).otherwise(done["out"]).alias("out"))
+
+    gaps = _running(F.col("found"), none, step)
+    last = F.array_max(F.transform("found", lambda s: s["end"]))
+    parts = F.concat(F.transform(gaps, lambda g: F.concat(F.substring(text, g["low"] + 1, g["start"] - g["low"]), F.lit(mark))), F.array(F.substring(text, last + 1, F.length(text))))
+    clean = F.when(F.size("found") == 0, text).otherwise(F.array_join(parts, ""))
     return held.select(*[(clean if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

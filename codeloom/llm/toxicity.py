@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import column, prepare
+from .common import but, column, digested, prepare, saved
 from .crf import Chain, logistic, marginals, sigmoid, train
 
 #: Labelled documents that the field may be fitted on, of each label, and the longest of them in characters.
@@ -120,8 +120,9 @@ def _score(batches: Iterator[pa.RecordBatch], model, spans: bool) -> Iterator[pa
         w, features, first, offs = _tokens(column(batch, "text"))
         p = marginals(m.chain.emissions(features), first, m.chain)
         x = _document_features(p, w.bounds)
-        cols = [column(batch, "doc_id"), pa.array(sigmoid(np.column_stack([x, np.ones(len(x))]) @ m.document))]
-        names = ["doc_id", "score"]
+        cols, names = but(batch, "text")
+        cols.append(pa.array(sigmoid(np.column_stack([x, np.ones(len(x))]) @ m.document)))
+        names.append("score")
         if spans:
             hit = np.flatnonzero(p >= 0.5)
             who = w.text_of[hit]
@@ -141,35 +142,38 @@ def balance(y: np.ndarray, share: float | None) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[tuple[str | None, int]], float | None]:
-    """A sample, and the share of label 1 among all labels: up to `most` documents of each label, in the order of a hash of their id; documents over `chars` are passed over."""
+    """A sample, and the share of label 1 among all labels: up to `most` documents of each label, in the order of a hash of their id.
+
+    Documents over `chars` and those without a text aren't drawn, and others take their places. Labels other than 0 and 1 and null ids don't count. An id with
+    both labels has 0, one with several texts the least of them. Without labels the share is None and the sample empty.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= chars)
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)").dropDuplicates(["doc_id"])
-    got: list[tuple[str | None, int]] = []
-    share = labels.agg(F.avg('label')).first()[0]
-    for side in (0, 1):
-        ids = [r.doc_id for r in labels.where(F.col("label") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-        if not ids:
-            continue
-        wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-        rows = docs.join(F.broadcast(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect()
-        got += [(r.text, side) for r in sorted(rows, key=lambda r: r.doc_id)]
-    return got, share
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
+    labels = labels.groupBy("doc_id").agg(F.min("label").alias("label"))
+    share = labels.agg(F.avg("label")).first()[0]
+    known = saved(docs.select("doc_id").join(labels, "doc_id").distinct())
+    chosen = [(r.doc_id, side) for side in (0, 1) for r in known.where(F.col("label") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    if not chosen:
+        return [], share
+    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")
+    rows = docs.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    return [(r.text, r.label) for r in sorted(rows, key=lambda r: (r.label, r.doc_id))], share
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Fitted on a bounded sample of labelled documents."""
+    """Fitted on a bounded sample of labelled documents. Cases as in labelled_sample() and fit_toxicity()."""
     prepare(docs.sparkSession)
     return fit_toxicity(*labelled_sample(docs, labels, "toxic"))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, spans: bool = False) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, score [, spans], one row per row of docs, each whole text.
+def score_toxicity(docs: DataFrame, model: ToxicityModel, spans: bool = False, digest: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> doc_id [, digest], score [, spans], one row per row of docs, each whole text.
 
-    spans: offending tokens as (start, end) byte offsets with their marginal. Null and empty texts have no tokens and get the score
-    of a text without toxic tokens. Only the text decides a score; other columns are ignored.
+    spans: offending tokens as (start, end) byte offsets with their marginal; digest: of the text, to tell rows of one id apart. Null and empty
+    texts have no tokens and get the score of a text without toxic tokens; repeated rows are scored each. Only the text decides a score; other columns are ignored.
     """
     prepare(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, score double" + ", spans array<struct<start: int, end: int, p: double>>" * spans
+    docs = digested(docs) if digest else digested(docs).drop("digest")
+    schema = "doc_id long" + ", digest long" * digest + ", score double" + ", spans array<struct<start: int, end: int, p: double>>" * spans
     return docs.mapInArrow(lambda it: _score(it, told, spans), schema)

@@ -11,27 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import decontaminate, near_dedup, piece_codec, secrets, toxicity
-from codeloom.llm.common import saved, table
+from codeloom.llm.common import maybe_broadcast, saved, table, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC. The field is fitted on labelled documents of sf_dir."""
+    """Documents whose toxicity score is below TOXIC; each row is judged by its own text. The field is fitted on labelled documents of sf_dir."""
     model = toxicity.train_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    bad = toxicity.score_toxicity(docs, model).where(F.col("score") >= TOXIC).select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    bad = toxicity.score_toxicity(docs, model, digest=True).where(F.col("score") >= TOXIC)
+    return without(docs, bad).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked at 0.8 or more over five-word shingles."""
+    """One document, that of the least id, of each group linked at 0.8 or more over five-word shingles.
+
+    Of repeated rows of one id one stays. Rows without an id can't be told apart by one: they belong to no group and stay.
+    """
     gone = near_dedup.near_duplicates(docs, (80, 100)).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    again = saved(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    again = maybe_broadcast(again, again.count())
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS), F.xxhash64("text", *COLUMNS)).alias("r")).select("r.*")
+    return kept.join(again, "doc_id", "left_anti").unionByName(one).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; each row is judged by its own text."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 

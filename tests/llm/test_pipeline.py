@@ -9,7 +9,7 @@ pytest.importorskip("public_tokenizers")
 import corpus_pipeline as P  # noqa: E402
 from codeloom.llm.common import saved, table  # noqa: E402
 
-from test_operators import BPE, base_spans, contamination_model, near_model  # noqa: E402
+from test_operators import BPE, ODD, base_spans, contamination_model, near_model  # noqa: E402
 
 
 def test_stages(spark, sf_dir):
@@ -45,3 +45,27 @@ def test_stages(spark, sf_dir):
     sp = sentencepiece.SentencePieceProcessor(model_file=BPE)
     rows = P.encode_pieces(spark, docs, sf_dir).collect()
     assert {r.doc_id: r.ids for r in rows} == {i: sp.encode(t) for i, t in after.items()} and all(r.round_trip for r in rows)
+
+
+ROWS = [(i, t) for i, t in ODD if len(t or "") < 60_000] + [(20, "password=abcdefghijkl1 tail"), (20, "other words under the id"), (20, "password=abcdefghijkl1 tail"), (None, "no id, same text here"), (None, None), (None, "")]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_stages_on_odd_rows(spark, sf_dir, name):
+    """Nulls, empty and long texts, repeated rows and ids, no rows, and a table of its own column names only."""
+    stage = dict(P.STAGES)[name]
+    docs = spark.createDataFrame([(i, t, None, "src", None) for i, t in ROWS], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = stage(spark, docs, sf_dir).collect()
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    rows = sorted((str(r.doc_id), str(r.text)) for r in got) if name != "sentencepiece" else []
+    every = sorted((str(i), str(t)) for i, t in ROWS)
+    if name == "near_duplicates":
+        kept = [i for i, _ in rows if i != "None"]
+        assert len(kept) == len(set(kept)) and sum(i == "None" for i, _ in rows) == 3 and "20" in kept and "7" not in kept and set(rows) <= set(every)
+    elif name == "secrets":
+        assert [i for i, _ in rows] == [i for i, _ in every]
+        assert sorted(t for i, t in rows if i == "20") == ["[secret] tail", "[secret] tail", "other words under the id"]
+    elif name == "sentencepiece":
+        assert len(got) == len(ROWS) and all(r.round_trip for r in got)
+    else:
+        assert rows == every
