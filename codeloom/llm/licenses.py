@@ -1,20 +1,20 @@
 """License scans by conditional compression.
 
-Lines that speak of licences or rights, with the lines between two such lines a few apart, are candidate blocks. Longer ones are cut into windows
-that overlap by half, so a notice of up to half a window lies whole in one; windows without such a word are left out. Each block is
-compressed, in lower case, with every template as a zstandard raw dictionary; the template that shrinks it most, against the block compressed alone, ranks
-first. Every template whose words the block holds is then compared word by word with it, around their longest common run (the first few with
-the whole block, too), and the exact differences decide: enough of the template's words in order, and every number of the template (its version)
-present. What lies before and after a confirmed notice is ranked and compared again.
+A notice is confirmed by its words: at most MISSING of a template's words may be absent, at most EXTRA as many others may stand between them, and
+no number (its version) may be absent. So any notice holds one of a template's *anchors*, its longest words, taken until there are more
+than may be absent. Words around anchors, as far as a notice can reach, are the candidate blocks; line ends play no part, and no
+other text can hold a notice. Each block is compressed, in lower case, with every template that has an anchor in it as a zstandard raw
+dictionary, and templates are ranked by how much that shrinks the block against compressing it alone. In that order their words are
+aligned with the words around each anchor (least number of absent and extra words); what the alignment confirms is a notice,
+whatever its rank. Of notices that overlap the one with the fewest differences stays, then the longer wording, then the better rank.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,141 +45,152 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("proprietary", "All rights reserved."),
 ]
-HINT = r"(?i)licen[sc]e|rights reserved|permission|public domain|free software|redistribution|copyright|waived"
-#: Lines between two hints that one block may bridge; code points of a block, longer ones being cut into windows; the least share of a template's words.
-BRIDGE, BLOCK_CHARS, SHARE = 2, 4096, 0.85
-#: Code points by which a window's edges may move out of a word.
-EDGE = 64
-#: Templates of the largest reduction that may be spread over the whole block.
-RANKED = 3
+#: Shares of a template's words that may be absent, and that others may add.
+MISSING, EXTRA = 0.15, 0.25
+#: Words after which a block ends where windows go on overlapping.
+BLOCK_WORDS = 512
 _WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W_]+")
 _RESULT = "doc_id long, licenses array<struct<license: string, start: int, end: int, reduction: double, share: double, missing: string, extra: string>>"
 
 
+class Template:
+    """A wording: its words, how many may be absent or added, and its anchors with their places."""
+
+    def __init__(self, name: str, wording: str):
+        self.name = name
+        self.words = [w.lower() for w in _WORD.findall(wording)]
+        n = len(self.words)
+        self.missing, self.extra = int(MISSING * n), int(EXTRA * n)
+        self.counts = Counter(self.words)
+        self.anchors: dict[str, list[int]] = {}
+        held = 0
+        for w in sorted(self.counts, key=lambda w: (-len(w), w)):
+            if held > self.missing:
+                break
+            self.anchors[w] = [i for i, x in enumerate(self.words) if x == w]
+            held += self.counts[w]
+
+    def align(self, have: list[str]) -> tuple[int, int, list[str], list[str]] | None:
+        """(low, high, absent, extra words) of the range of have with the fewest absent and extra words; None if they are too many.
+
+        Among equals the fewest absent words decide, then the earliest end, then the latest start.
+        """
+        want, never = self.words, 10**6
+        if sum((self.counts & Counter(have)).values()) < len(want) - self.missing:
+            return None
+        price = [never if w[0].isdigit() else 1 for w in want]
+        # cost[i][j]: of the first i words of the template against a range that ends at j, as (differences, absent, -start)
+        cost = [[(0, 0, -j) for j in range(len(have) + 1)]]
+        for i, w in enumerate(want):
+            above, p = cost[-1], price[i]
+            row = [(above[0][0] + p, above[0][1] + 1, above[0][2])]
+            for j, h in enumerate(have):
+                d, a, s = above[j + 1]
+                best = (d + p, a + 1, s)
+                d, a, s = row[j]
+                best = min(best, (d + 1, a, s))
+                if h == w:
+                    best = min(best, above[j])
+                row.append(best)
+            cost.append(row)
+        last = cost[-1]
+        high = min(range(len(have) + 1), key=lambda j: (last[j][0], last[j][1], j))
+        total, absent, start = last[high]
+        if absent > self.missing or total - absent > self.extra:
+            return None
+        i, j, gone, more = len(want), high, [], []
+        while i:
+            here = cost[i][j]
+            if j and have[j - 1] == want[i - 1] and cost[i - 1][j - 1] == here:
+                i, j = i - 1, j - 1
+            elif j and (cost[i][j - 1][0] + 1, *cost[i][j - 1][1:]) == here:
+                more.append(have[j - 1])
+                j -= 1
+            else:
+                gone.append(want[i - 1])
+                i -= 1
+        return -start, high, gone[::-1], more[::-1]
+
+
 class _Scanner:
-    def __init__(self):
+    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES):
         import zstandard
 
+        self.templates = [Template(*t) for t in templates]
         self.alone = zstandard.ZstdCompressor(level=9)
-        self.with_template = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in TEMPLATES]
-        self.words = [_WORD.findall(t.lower()) for _, t in TEMPLATES]
-        self.hint = re.compile(HINT)
-
-    def blocks(self, text: str) -> list[tuple[int, int]]:
-        """Code point ranges of candidate blocks, not cut."""
-        lines, at = [], 0
-        for line in text.split("\n"):
-            lines.append((at, at + len(line)))
-            at += len(line) + 1
-        hits = [i for i, (a, b) in enumerate(lines) if self.hint.search(text, a, b)]
-        out: list[tuple[int, int]] = []
-        run: list[int] = []
-        for i in hits:
-            if run and i - run[-1] > BRIDGE + 1:
-                out.append((lines[run[0]][0], lines[run[-1]][1]))
-                run = []
-            run.append(i)
+        self.with_template = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
+        self.owners: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for k, t in enumerate(self.templates):
+            for w, places in t.anchors.items():
+                self.owners[w] += [(k, p) for p in places]
+        self.gate = "(?i)" + "|".join(sorted(map(re.escape, self.owners)))
+
+    def windows(self, have: list[str]) -> list[tuple[int, int, int]]:
+        """(low, high, template): the words that a notice with an anchor of have can reach, by place."""
+        out = set()
+        for i, w in enumerate(have):
+            for k, p in self.owners.get(w, ()):
+                t = self.templates[k]
+                slack = t.missing + t.extra
+                out.add((max(0, i - p - slack), min(len(have), i - p + len(t.words) + slack), k))
+        return sorted(out)
+
+    def blocks(self, windows: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+        """Runs of overlapping windows, a new one after BLOCK_WORDS."""
+        run: list[tuple[int, int, int]] = []
+        high = 0
+        for w in windows:
+            if run and (w[0] >= high or w[0] - run[0][0] >= BLOCK_WORDS):
+                yield run
+                run, high = [], 0
+            run.append(w)
+            high = max(high, w[1])
         if run:
-            out.append((lines[run[0]][0], lines[run[-1]][1]))
-        return out
-
-    def windows(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
-        """A block of text as it is, or its windows around hints."""
-        if b - a <= BLOCK_CHARS:
-            return [(a, b)]
-        half, out, after = BLOCK_CHARS // 2, [], a
-        for hint in self.hint.finditer(text, a, b):
-            # all windows that hold the hint, from those not taken yet
-            first = max(after, a + max(0, -(-(hint.end() - a - BLOCK_CHARS) // half)) * half)
-            for low in range(first, hint.start() + 1, half):
-                high = min(b, low + BLOCK_CHARS)
-                after = low + half
-                low_, high_ = low, high
-                while low_ > max(a, low - EDGE) and text[low_ - 1].isalnum():
-                    low_ -= 1
-                while high_ < min(b, high + EDGE) and text[high_ : high_ + 1].isalnum():
-                    high_ += 1
-                out.append((low_, high_))
-        return out
-
-    def judge(self, block: str) -> list[tuple[int, float, float, list[str], list[str], int, int]]:
-        """Confirmed templates of a block, one place each: index, reduction, share, missing and extra words, range in the block."""
+            yield run
+
+    def ranked(self, block: str, templates: set[int]) -> list[tuple[float, int]]:
+        """(size reduction, template), the largest first; equal ones by the templates' order."""
         raw = block.lower().encode()
         base = len(self.alone.compress(raw))
-        gains = sorted(((base - len(c.compress(raw))) / base, -k) for k, c in enumerate(self.with_template))[::-1]
-        spans = [(m.start(), m.end()) for m in _WORD.finditer(block)]
-        have = [block[a:b].lower() for a, b in spans]
-        counts = Counter(have)
-        found = []
-        for place, (gain, k) in enumerate(gains):
-            want = self.words[-k]
-            if sum((Counter(want) & counts).values()) < SHARE * len(want):
-                continue
-            near = SequenceMatcher(None, want, have, autojunk=False)
-            m = near.find_longest_match()
-            a, b = max(0, m.b - m.a - len(want)), min(len(have), m.b - m.a + 2 * len(want))
-            judged = self._differences(want, have, a, b)
-            if judged is None and place < RANKED and gain > 0:
-                judged = self._differences(want, have, 0, len(have))
-            if judged is not None:
-                share, missing, extra, low, high = judged
-                found.append((-k, gain, share, missing, extra, spans[low][0], spans[high - 1][1]))
-        return found
-
-    @staticmethod
-    def _differences(want: list[str], have: list[str], a: int, b: int) -> tuple[float, list[str], list[str], int, int] | None:
-        """Share, missing and extra words and word range of a template in have[a:b]; None if they don't confirm it."""
-        pairs = [m for m in SequenceMatcher(None, want, have[a:b], autojunk=False).get_matching_blocks() if m.size]
-        share = sum(m.size for m in pairs) / len(want)
-        missing = [w for i, w in enumerate(want) if not any(m.a <= i < m.a + m.size for m in pairs)]
-        if share < SHARE or any(w[0].isdigit() for w in missing):
-            return None
-        low, high = a + pairs[0].b, a + pairs[-1].b + pairs[-1].size
-        extra = [w for i, w in enumerate(have[low:high], low - a) if not any(m.b <= i < m.b + m.size for m in pairs)]
-        return share, missing, extra, low, high
-
-    def notices(self, block: str) -> list[tuple[int, float, float, list[str], list[str], int, int]]:
-        """The block's notices: the best of those confirmed, then those of the text before and after it."""
-        out, todo = [], [(0, len(block))]
-        while todo:
-            a, b = todo.pop()
-            best = min(self.judge(block[a:b]), key=self.rank, default=None)
-            if best is not None:
-                low, high = a + best[5], a + best[6]
-                out.append((*best[:5], low, high))
-                todo += [(a, low), (high, b)]
-        return out
-
-    def rank(self, f: tuple) -> tuple[int, int, float]:
-        """Fewest differences first, then the longest wording, then the gain."""
-        return len(f[3]) + len(f[4]), -len(self.words[f[0]]), -f[1]
-
-    def apart(self, found: list[tuple]) -> list[tuple]:
-        """The best of those that overlap."""
-        starts: list[int] = []
-        ends: list[int] = []
-        out = []
-        for f in sorted(found, key=self.rank):
-            i = bisect_right(starts, f[5])
-            if (i and ends[i - 1] > f[5]) or (i < len(starts) and starts[i] < f[6]):
-                continue
-            starts.insert(i, f[5])
-            ends.insert(i, f[6])
-            out.append(f)
-        return out
+        return sorted((((base - len(self.with_template[k].compress(raw))) / base, k) for k in templates), key=lambda x: (-x[0], x[1]))
 
     def scan(self, text: str) -> list[dict]:
+        spans = [m.span() for m in _WORD.finditer(text)]
+        have = [text[a:b].lower() for a, b in spans]
+        found = []
+        for block in self.blocks(self.windows(have)):
+            low, high = block[0][0], max(w[1] for w in block)
+            by_template = defaultdict(list)
+            for a, b, k in block:
+                by_template[k].append((a, b))
+            for place, (gain, k) in enumerate(self.ranked(text[spans[low][0] : spans[high - 1][1]], set(by_template))):
+                for a, b in by_template[k]:
+                    got = self.templates[k].align(have[a:b])
+                    if got is not None:
+                        found.append((len(got[2]) + len(got[3]), -len(self.templates[k].words), place, a + got[0], a + got[1], k, gain, got[2], got[3]))
         out = []
-        for a, b in self.blocks(text):
-            pieces = self.windows(text, a, b)
-            found = [(*f[:5], low + f[5], low + f[6]) for low, high in pieces for f in self.notices(text[low:high])]
-            if len(pieces) > 1:  # two windows may hold one notice, or one of them a part of it
-                found = self.apart(found)
-            for k, gain, share, missing, extra, low, high in found:
-                out.append({"license": TEMPLATES[k][0], "start": low, "end": high, "reduction": gain, "share": share, "missing": " ".join(missing), "extra": " ".join(extra)})
+        for _, _, _, a, b, k, gain, missing, extra in _apart(found):
+            t = self.templates[k]
+            share = 1 - len(missing) / len(t.words)
+            out.append({"license": t.name, "start": spans[a][0], "end": spans[b - 1][1], "reduction": gain, "share": share, "missing": " ".join(missing), "extra": " ".join(extra)})
         return sorted(out, key=lambda x: (x["start"], x["end"], x["license"]))
 
 
+def _apart(found: list[tuple]) -> list[tuple]:
+    """The best of those that overlap: fewest differences, longest wording, best rank, first place."""
+    starts: list[int] = []
+    ends: list[int] = []
+    out = []
+    for f in sorted(found):
+        i = bisect_right(starts, f[3])
+        if (i and ends[i - 1] > f[3]) or (i < len(starts) and starts[i] < f[4]):
+            continue
+        starts.insert(i, f[3])
+        ends.insert(i, f[4])
+        out.append(f)
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scanner = _Scanner()
     kind = pa.list_(
@@ -187,17 +198,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
     for batch in batches:
         texts = pc.fill_null(column(batch, "text"), "")
-        maybe = pc.match_substring_regex(texts, HINT).to_pylist()
+        maybe = pc.match_substring_regex(texts, scanner.gate).to_pylist()
         yield pa.RecordBatch.from_arrays(
             [column(batch, "doc_id"), pa.array([scanner.scan(t.as_py()) if m else [] for t, m in zip(texts, maybe)], type=kind)], names=["doc_id", "licenses"]
         )
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_licenses, license_ids, licenses: one row per row of docs.
+    """docs (doc_id, text) -> doc_id, n_licenses, license_ids, licenses: one row per row of docs, each whole text.
 
-    licenses: for each confirmed notice its name, code point range, size reduction, share of the template's words, and the words missing from
-    and added to the wording; license_ids: the distinct names, sorted and comma-joined. Null and empty texts have none. Equal
+    licenses: for each confirmed notice its name, code point range, its block's size reduction, share of the template's words, and the words missing from
+    and added to the wording; license_ids: the distinct names, sorted and comma-joined. Null and empty texts have none, repeated rows are scanned each. Equal
     ranks go to the earlier template. Other columns are ignored.
     """
     prepare(docs.sparkSession)

@@ -350,28 +350,82 @@ def test_several_notices_in_a_block():
     for first in wording[:-1]:
         text = f"{first}\n{wording[-1]}"
         assert [(x["license"], x["start"]) for x in scanner.scan(text)] == [(licenses.TEMPLATES[wording.index(first)][0], 0), ("proprietary", len(first) + 1)], first
-    several = [1, 4, 14, 1, 15, 6, 18]
+    several = [1, 4, 14, 1, 15, 6, 18, 14, 1, 3, 5, 18]
     assert [x["license"] for x in scanner.scan("\n".join(wording[k] for k in several))] == [licenses.TEMPLATES[k][0] for k in several]
+    again = "\na line of prose\n".join([wording[1]] * 400)  # the same notice often, over many blocks
+    assert [x["license"] for x in scanner.scan(again)] == ["MIT"] * 400
 
 
-def test_notices_in_long_texts():
+def test_notices_in_long_texts_and_wrapped_lines():
     rng = random.Random(13)
     fill = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
     scanner = licenses._Scanner()
-    spans = lambda t: [(x["license"], x["start"], x["end"]) for x in scanner.scan(t)]
+    spans = lambda t: [(x["license"], x["start"], x["end"], x["missing"], x["extra"]) for x in scanner.scan(t)]
     for name, wording in licenses.TEMPLATES:
         front = fill(rng.randint(3000, 9000)) + " "
-        text = f"{front}{wording} {fill(5000)}"
         words = [m.span() for m in re.finditer(r"\w+", wording)]
-        assert spans(text) == [(name, len(front) + words[0][0], len(front) + words[-1][1])], wording
-    wrapped = textwrap.fill(licenses.TEMPLATES[2][1], 120)
-    for size in range(3700, 4300, 50):  # the notice straddles 4096 code points of a run of lines
-        front = ("no license here at all ok\n" * 200)[:size] + "\n"
-        assert spans(front + wrapped) == [("MIT", len(front), len(front) + len(wrapped))], size
-    hints = fill(500) + "".join(f" license {fill(k % 700)}" for k in range(60))
-    for a, b in scanner.blocks(hints):
-        cut = scanner.windows(hints, a, b)
-        assert all(any(low <= m.start() and m.end() <= high for low, high in cut) for m in scanner.hint.finditer(hints, a, b)) and max(h - w for w, h in cut) <= 4096 + 128
+        want = [(name, len(front) + words[0][0], len(front) + words[-1][1], "", "")]
+        assert spans(f"{front}{wording} {fill(5000)}") == want, wording
+        for width in (20, 40, 72, 120):  # every wrapping, comment signs at the front of the lines
+            lines = textwrap.wrap(wording, width)
+            wrapped = front + "\n * ".join(lines)
+            assert [x[:2] + x[3:] for x in spans(wrapped)] == [want[0][:2] + ("", "")], (width, wording)
+
+
+def test_notices_with_scattered_words():
+    rng = random.Random(14)
+    words = [f"w{rng.randint(0, 9999)}" for _ in range(1200)]
+    for i, w in ((10, "all"), (500, "rights"), (1190, "reserved")):
+        words[i] = w
+    scanner = licenses._Scanner()
+    assert scanner.scan(" ".join(words)) == []
+    assert scanner.scan("All the rights reserved") == [] and len(scanner.scan("all rights reserved")) == 1
+
+
+def least_difference(t, have):
+    """Every range of words against a template: (differences, absent) by the longest common subsequence that holds all numbers."""
+    best = (10**9, 10**9)
+    for low in range(len(have) + 1):
+        row = [(10**6 if any(w[0].isdigit() for w in t.words[:i]) else i, i) for i in range(len(t.words) + 1)]  # empty range
+        best = min(best, row[-1])
+        for h in have[low:]:
+            new = [(row[0][0] + 1, row[0][1])]
+            for i, w in enumerate(t.words):
+                p = 10**6 if w[0].isdigit() else 1
+                new.append(min([(new[i][0] + p, new[i][1] + 1), (row[i + 1][0] + 1, row[i + 1][1])] + [row[i]] * (h == w)))
+            row = new
+            best = min(best, row[-1])
+    return best
+
+
+def test_licenses_against_every_template_in_every_window():
+    rng = random.Random(15)
+    scanner = licenses._Scanner()
+    texts = []
+    for t in scanner.templates:
+        for _ in range(6):
+            words = list(t.words)
+            for _ in range(rng.randint(0, 1 + len(words) // 4)):
+                k = rng.randrange(len(words) + 1)
+                if rng.random() < 0.5 and len(words) > 1:
+                    del words[min(k, len(words) - 1)]
+                else:
+                    words.insert(k, rng.choice(["x", "the", "license", "3"]))
+            texts.append([f"f{rng.randint(0, 99)}" for _ in range(rng.randint(0, 8))] + words + [f"f{rng.randint(0, 99)}" for _ in range(rng.randint(0, 8))])
+    for have in texts:
+        want = set()
+        for k, t in enumerate(scanner.templates):
+            total, absent = least_difference(t, have)
+            if absent <= t.missing and total - absent <= t.extra:
+                want.add((k, total))
+        got = set()
+        for a, b, k in scanner.windows(have):
+            r = scanner.templates[k].align(have[a:b])
+            if r is not None:
+                got.add((k, len(r[2]) + len(r[3])))
+        assert {k for k, _ in got} == {k for k, _ in want} and want <= got, have
+        found = scanner.scan(" ".join(have))
+        assert bool(found) == bool(want)
 
 
 def base_spans(t):
