@@ -311,6 +311,8 @@ def test_nearest(spark):
     ties = [v for v, _ in got[3000]]
     assert ties == sorted(ties)
     assert ann.search(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(0, [1.0], 7, 1), (0, [0.5], 8, 2), (1, [2.0], 9, 3), (1, [2.0], 9, 3), (None, [9.0], 1, 4)], "vec_id long, embedding array<double>, cell int, query_id int")
+    assert [tuple(r) for r in ann.search(twice).collect()] == [(0, 1, 1, 1.0)]
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [3.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in ann.search(few).collect()] == [(0, 1, 2, 3.0), (0, 2, 1, 2.0)]
 
@@ -333,6 +335,26 @@ def test_nearest_without_clusters(spark, monkeypatch):
     assert len(got) == 40 and hits >= 0.9 * 20 * len(got)
 
 
+def test_nearest_exactly(spark, monkeypatch):
+    """exact=True against brute force, in many cells and blocks, ties and a vector that is a third of all rows included."""
+    monkeypatch.setattr(ann, "PER_LIST", 40)
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 8 * 8 * 150)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(ann, "ROWS", 50)
+    rng = np.random.Generator(np.random.PCG64(9))
+    x = rng.normal(size=(1200, 8)).astype(np.float32)
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in ann.search(df, exact=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    y = x.astype(np.float64)
+    for q in range(0, len(x), 20):
+        s = (y * y[q]).sum(axis=1)
+        s[q] = -np.inf
+        assert got[q] == np.lexsort((np.arange(len(s)), -s))[:20].tolist()
+
+
 def test_licenses(spark, odd, empty):
     rows = [
         (1, "Some words.\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, "Licensed under the Apache License, Version 1.1."),
