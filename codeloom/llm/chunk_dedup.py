@@ -2,12 +2,13 @@
 
 A chunk ends at white space where the gear hash of the 32 bytes before it is divisible by `MEAN_WORDS`, so an insertion moves only
 the boundaries near it and equal passages give equal chunks wherever they stand. Runs without such a place are cut every
-`MAX_BYTES` after the last boundary, repetitions of one word every eight words. Chunks are counted by 64 bits of their digest (combined before the shuffle); occurrences of
-those that several documents hold are confirmed on all 128 bits, and consecutive ones join to passages.
-A run of chunks loses the passage's parts outside its first and last boundary. So runs of `SEED_WORDS` and more are candidates, and
-those shorter than a passage are confirmed exactly: every window of `MIN_WORDS` words around such a run is hashed, and so is every
-window around a chunk of such a run where it stands in a longer run; those that several documents hold give the passage with its true ends. Longer runs are
-reported as far as their chunks reach.
+`MAX_BYTES` after the last boundary, repetitions of one word every eight words. Chunks are counted by digest (combined before the shuffle);
+chunks that several documents hold are found again by their digest, those of the most frequent digests where they are cut, and consecutive ones join to runs.
+
+Runs only say where to look. What is reported are windows of `MIN_WORDS` words that several documents hold, by 128 bits: about a run
+shorter than a window every one as far as a passage can reach, which is into the next chunk; in a longer run those that begin with a chunk, and at its two
+ends again every one as far as a passage can reach. Where another document has one of a run's outer chunks inside a longer run, it compares every window around it, too. A
+document's passages are the unions of its shared windows, so their ends are true wherever a passage ends for all who hold it.
 """
 
 from __future__ import annotations
@@ -20,14 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import column, groups, prepare, saved
+from .common import HOT_ROWS, HOT_SHARE, column, groups, join_hot, prepare, saved
 
 MEAN_WORDS, MAX_BYTES, MIN_WORDS, SEED_WORDS = 6, 1024, 51, 6
 _rng = np.random.Generator(np.random.PCG64(11))
 _GEAR = _rng.integers(0, 2**32, 256, dtype=np.uint32)
-_OTHER = _rng.permutation(256).astype(np.uint8)
+#: A second hash of words, for the other half of a window's 128 bits.
+_OTHER = np.uint64(0x9E3779B97F4A7C15)
 _SAME = np.arange(256, dtype=np.uint8)
-_CHUNK = "doc_id long, d1 long, d2 long, chunk int, start int, end int, words int"
+#: Bytes that a boundary depends on.
+GEAR_BYTES = 32
+#: Words between anchors inside a chunk of many words.
+ANCHOR_WORDS = 25
+_CHUNK = "doc_id long, d long, chunk int, start int, end int, words int, first_doc long"
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
@@ -78,113 +84,171 @@ def chunk_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, end, who
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) -> the chunks of each; hot: sorted digests, and the least document of each, that first_doc tells at once."""
+    digests, homes = hot.value
     for batch in batches:
         buf, offs = K.text_buffers(column(batch, "text"))
         start, end, who = chunk_bounds(buf, offs)
         if not len(start):
             continue
-        d1 = K._word_hashes(buf, start, end, _SAME)
-        d2 = K._word_hashes(buf, start, end, _OTHER)
-        w = K.words(buf, offs, K.NOT_SPACE)
+        d = K._word_hashes(buf, start, end, _SAME).view(np.int64)
+        w = K.words(buf, offs, K.NOT_SPACE, hashed=False)
         n_words = np.searchsorted(w.start, end) - np.searchsorted(w.start, start)
         first = np.searchsorted(who, who)
         ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
+        home = pa.nulls(len(d), pa.int64())
+        if len(digests):
+            at = np.minimum(np.searchsorted(digests, d), len(digests) - 1)
+            home = pa.array(homes[at], mask=digests[at] != d)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[who].astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))]
-            + [pa.array(x.astype(np.int32)) for x in (np.arange(len(who)) - first, start - offs[who], end - offs[who], n_words)],
-            names=["doc_id", "d1", "d2", "chunk", "start", "end", "words"],
+            [pa.array(ids[who].astype(np.int64)), pa.array(d)] + [pa.array(x.astype(np.int32)) for x in (np.arange(len(who)) - first, start - offs[who], end - offs[who], n_words)] + [home],
+            names=["doc_id", "d", "chunk", "start", "end", "words", "first_doc"],
         )
 
 
-_RUN = "struct<start: int, end: int, words: int, first_doc: long>"
+_RUN = "struct<start: int, end: int, words: int>"
 _PLACE = "struct<d: long, start: int, end: int>"
 
 
 def _runs(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, d1, chunk, start, end, words, first_doc) sorted by doc_id, chunk -> each document's runs of chunks.
+    """Rows (doc_id, d, chunk, start, end, words) sorted by doc_id, chunk -> each document's runs of chunks.
 
-    With the digests of the chunks in runs of fewer than `size` words, and digests and places of those in longer runs.
+    `outer` has the digests of the chunks in runs of fewer than `size` words and of the first and last of longer ones, `inner` digests and
+    places of the chunks in longer runs.
     """
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("first_doc", pa.int64())]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
     for (doc,), t in groups(batches, ["doc_id"]):
-        chunk, start, end, words, home, d = (t.column(c).to_numpy() for c in ("chunk", "start", "end", "words", "first_doc", "d1"))
+        chunk, start, end, words, d = (t.column(c).to_numpy() for c in ("chunk", "start", "end", "words", "d"))
         keep = np.r_[True, np.diff(chunk) != 0]  # repeated rows of one document give the same chunk twice
-        chunk, start, end, words, home, d = (x[keep] for x in (chunk, start, end, words, home, d))
+        chunk, start, end, words, d = (x[keep] for x in (chunk, start, end, words, d))
         at = np.flatnonzero(np.r_[True, np.diff(chunk) > 1])
         total = np.add.reduceat(words, at)
         till = np.r_[at[1:], len(chunk)] - 1
-        low = np.minimum.reduceat(home, at)
-        rows = [{"start": int(start[a]), "end": int(end[b]), "words": int(n), "first_doc": int(f)} for a, b, n, f in zip(at, till, total, low) if n >= least]
+        rows = [{"start": int(start[a]), "end": int(end[b]), "words": int(n)} for a, b, n in zip(at, till, total) if n >= least]
         if rows:
             of = np.repeat(total, till - at + 1)
-            few, many = (of >= least) & (of < size), of >= max(least, size)
-            places = pa.StructArray.from_arrays([pa.array(d[many]), pa.array(start[many]), pa.array(end[many])], names=["d", "start", "end"])
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], type=pa.int32()), x) for x in (pa.array(d[few]), places)]
-            yield pa.RecordBatch.from_arrays([pa.array([doc], type=pa.int64()), pa.array([rows], type=kind), *lists], names=["doc_id", "runs", "few", "many"])
+            outer, inner = (of >= least) & (of < size), of >= max(least, size)
+            outer[at] |= inner[at]
+            outer[till] |= inner[till]
+            places = pa.StructArray.from_arrays([pa.array(d[inner]), pa.array(start[inner]), pa.array(end[inner])], names=["d", "start", "end"])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], type=pa.int32()), x) for x in (pa.array(np.unique(d[outer])), places)]
+            yield pa.RecordBatch.from_arrays([pa.array([doc], type=pa.int64()), pa.array([rows], type=kind), *lists], names=["doc_id", "runs", "outer", "inner"])
+
+
+def wanted_windows(runs: list[dict], places: list[dict], start: np.ndarray, end: np.ndarray, chunk_start: np.ndarray, chunk_end: np.ndarray, size: int) -> np.ndarray:
+    """First words of the windows to compare in a text whose words and chunks lie at those bytes (module docstring); sorted, once each."""
+    n = len(start)
+    want = np.zeros(n + 1, dtype=np.int32)
+
+    def take(a: int, b: int) -> None:
+        a, b = max(0, a), min(b, n - size)
+        if a <= b:
+            want[a] += 1
+            want[b + 1] -= 1
+
+    first_word, end_word = np.searchsorted(start, chunk_start), np.searchsorted(end, chunk_end) + 1
+    lone = []
+    for r in runs:
+        a, b = int(np.searchsorted(chunk_start, r["start"])), int(np.searchsorted(chunk_end, r["end"]))
+        i, j = int(first_word[a]), int(end_word[b])
+        # a passage begins at most GEAR_BYTES before the boundary in front of the run, and ends at the next behind it at last
+        low = int(np.searchsorted(start, chunk_start[a - 1] - GEAR_BYTES)) if a else 0
+        high = int(end_word[b + 1]) if b + 1 < len(chunk_end) else n
+        if r["words"] < size:
+            take(low, high - size)
+            continue
+        lone += [np.arange(first_word[c], end_word[c], ANCHOR_WORDS) for c in range(a, b + 1)]
+        take(low, i)
+        take(j - size, high - size)
+    for p in places:
+        i, j = int(np.searchsorted(start, p["start"])), int(np.searchsorted(end, p["end"])) + 1
+        take(j - size, i)
+    flag = np.cumsum(want)[:n] > 0
+    if lone:
+        at = np.concatenate(lone)
+        flag[at[at <= n - size]] = True
+    return np.flatnonzero(flag)
 
 
-def _around(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, runs, places) -> the windows of `size` words that hold a run of fewer words; run is -1 for those that hold one of `places`."""
+def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, runs, places) -> (doc_id, h, g, at, start, end) of the windows to compare: 128 bits, first word, bytes."""
     for batch in batches:
         buf, offs = K.text_buffers(column(batch, "text"))
         w = K.words(buf, offs, K.NOT_SPACE)
-        h = K.window_hashes(w.hash, size)
-        out: list[list] = [[], [], [], [], []]
+        h, g = K.window_hashes(w.hash, size), K.window_hashes(K.mix(w.hash ^ _OTHER), size)
+        c_start, c_end, c_text = chunk_bounds(buf, offs)
+        out: list[list] = [[], [], [], [], [], []]
         for row, (doc, runs, places) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("doc_id", "runs", "places")))):
             low, high = int(w.bounds[row]), int(w.bounds[row + 1])
-            met = -1  # places come in order, and a window that holds two of them counts once
-            for r, run in [(r, r["start"]) for r in runs if r["words"] < size] + [(r, -1) for r in places]:
-                i = int(np.searchsorted(w.start, offs[row] + r["start"]))
-                j = int(np.searchsorted(w.end, offs[row] + r["end"])) + 1
-                a, b = max(low, j - size), min(i, high - size)
-                if run < 0:
-                    a, met = max(a, met + 1), max(met, b)
-                if a <= b:
-                    k = np.arange(a, b + 1)
-                    for o, v in zip(out, (np.full(len(k), doc), np.full(len(k), run), h[k], w.start[k] - offs[row], w.end[k + size - 1] - offs[row])):
-                        o.append(v)
+            if high - low < size:
+                continue
+            a, b = np.searchsorted(c_text, (row, row + 1))
+            base = offs[row]
+            k = wanted_windows(runs, places, w.start[low:high] - base, w.end[low:high] - base, c_start[a:b] - base, c_end[a:b] - base, size)
+            for o, v in zip(out, (np.full(len(k), doc), h[k + low], g[k + low], k, w.start[k + low] - base, w.end[k + low + size - 1] - base)):
+                o.append(v)
         if out[0]:
-            kinds = (np.int64, np.int32, np.uint64, np.int32, np.int32)
-            cols = [np.concatenate(o).astype(x) for o, x in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], names=["doc_id", "run", "h", "start", "end"])
+            doc, h_, g_, *rest = (np.concatenate(o) for o in out)
+            cols = [doc.astype(np.int64), h_.view(np.int64), g_.view(np.int64), *(x.astype(np.int32) for x in rest)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "h", "g", "at", "start", "end"])
+
+
+_PASSAGE = "struct<start: int, end: int, words: int, first_doc: long>"
+
+
+def _united(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, at, start, end, first_doc) sorted by doc_id, at -> each document's passages: unions of windows that overlap."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("first_doc", pa.int64())]))
+    for (doc,), t in groups(batches, ["doc_id"]):
+        at, start, end, home = (t.column(c).to_numpy() for c in ("at", "start", "end", "first_doc"))
+        first = np.flatnonzero(np.r_[True, np.diff(at) >= size])
+        last = np.r_[first[1:], len(at)] - 1
+        low = np.minimum.reduceat(home, first)
+        rows = [{"start": int(start[a]), "end": int(end[b]), "words": int(at[b] - at[a]) + size, "first_doc": int(f)} for a, b, f in zip(first, last, low)]
+        yield pa.RecordBatch.from_arrays([pa.array([doc], type=pa.int64()), pa.array([rows], type=kind)], names=["doc_id", "passages"])
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_repeated_words, n_later_words, passages, repeated: one row per row of docs.
 
-    passages: byte ranges of at least min_words words that other documents hold too, with the least id that holds (part of) one;
-    n_later_words counts those of which an earlier document, by id, holds a copy. A chunk that repeats only inside one
-    document is no passage. Null and empty texts, and texts of white space, have none; repeated rows of one id count as one
-    document. Rows whose doc_id is null have none. Other columns are ignored.
+    passages: byte ranges of words that lie in windows of min_words words which other documents hold too, with the least id that holds (one of) them;
+    n_later_words counts those of which an earlier document, by id, holds a copy. A passage that repeats only inside one
+    document is none. Null and empty texts, and texts of white space, have none; repeated rows of one id count as one
+    document (of several texts under one id the one with the least digest). Rows whose doc_id is null have none. Other columns are ignored.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = docs.where("doc_id is not null").mapInArrow(_chunks, _CHUNK)
-    several = chunks.groupBy("d1").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("d1")
-    met = saved(chunks.join(several, "d1", "left_semi"))
-    first = met.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("high")).where("first_doc < high").drop("high")
-    rows = met.join(first, ["d1", "d2"]).select("doc_id", "d1", "chunk", "start", "end", "words", "first_doc")
-    dealt = rows.repartition("doc_id").sortWithinPartitions("doc_id", "chunk")
-    runs = saved(dealt.mapInArrow(lambda it: _runs(it, min(SEED_WORDS, min_words), min_words), f"doc_id long, runs array<{_RUN}>, few array<long>, many array<{_PLACE}>"))
-
-    # a passage may lie in a short run here and in a long one there: its chunks in long runs give windows to compare with
-    partners = runs.select("doc_id", F.explode("many").alias("p")).select("doc_id", "p.*").join(runs.select(F.explode("few").alias("d")).distinct(), "d", "left_semi")
-    places = partners.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("places"))
-    short = runs.where(F.exists("runs", lambda r: r["words"] < min_words)).select("doc_id", "runs").join(places, "doc_id", "full")
-    short = short.select("doc_id", *[F.coalesce(c, F.expr(f"cast(array() as array<{t}>)")).alias(c) for c, t in (("runs", _RUN), ("places", "struct<start: int, end: int>"))])
-    windows = saved(docs.join(short, "doc_id").mapInArrow(lambda it: _around(it, min_words), "doc_id long, run int, h long, start int, end int"))
-    shared = windows.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("high")).where("first_doc < high").drop("high")
-    sure = windows.where("run >= 0").join(shared, "h").groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("start").alias("n"), F.min("first_doc").alias("first_doc"))
-    sure = sure.select("doc_id", F.struct("start", "end", (F.col("n") + min_words - 1).cast("int").alias("words"), "first_doc").alias("p"))
-    long = runs.select("doc_id", F.explode(F.filter("runs", lambda r: r["words"] >= min_words)).alias("p"))
-    found = sure.unionByName(long).groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("passages"))
-    merged = F.aggregate("passages", F.expr(f"cast(array() as array<{_RUN}>)"), _merge)
-    none = F.expr(f"cast(array() as array<{_RUN}>)")
+    every = docs.select("doc_id")
+    docs = _one_text(docs.where("doc_id is not null"))
+    hot = spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    counted = docs.mapInArrow(lambda it, hot=hot: _chunks(it, hot), _CHUNK).groupBy("d")
+    several = saved(counted.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").drop("high"))
+    # digests so frequent that one task would get too many of their chunks: fewer than HOT_SHARE, whatever the data
+    least = max(HOT_ROWS, (several.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    often = several.where(F.col("n") > least).orderBy("d").select("d", "low").toArrow()
+    hot = spark.sparkContext.broadcast(tuple(often.column(c).to_numpy() for c in ("d", "low")))
+    chunks = docs.mapInArrow(lambda it: _chunks(it, hot), _CHUNK)
+    spread = F.when(F.col("first_doc").isNull(), F.col("d")).otherwise(F.xxhash64("doc_id", "chunk"))
+    met = chunks.withColumn("key", spread).join(several.where(F.col("n") <= least).select(F.col("d").alias("key"), "low"), "key", "left").where("first_doc is not null or low is not null")
+    dealt = met.select("doc_id", "d", "chunk", "start", "end", "words").repartition("doc_id").sortWithinPartitions("doc_id", "chunk")
+    runs = saved(dealt.mapInArrow(lambda it: _runs(it, min(SEED_WORDS, min_words), min_words), f"doc_id long, runs array<{_RUN}>, outer array<long>, inner array<{_PLACE}>"))
+
+    # a passage may end here and go on there: there every window around the chunk where it ends here is compared
+    asked = runs.select(F.explode("outer").alias("d")).groupBy("d").agg(F.count("*").alias("n"))
+    inside = saved(runs.select("doc_id", F.explode("inner").alias("p")).select("doc_id", "p.*"))
+    asked = inside.groupBy("d").agg(F.count("*").alias("n")).join(asked.select("d"), "d", "left_semi")
+    places = join_hot(inside, saved(asked), ["d"], "n").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("places"))
+    look = runs.select("doc_id", "runs").join(places, "doc_id", "left").select("doc_id", "runs", F.coalesce("places", F.expr("cast(array() as array<struct<start: int, end: int>>)")).alias("places"))
+    windows = saved(docs.join(look, "doc_id").mapInArrow(lambda it: _windows(it, min_words), "doc_id long, h long, g long, at int, start int, end int"))
+    shared = windows.groupBy("h", "g").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("first_doc < high").drop("high")
+    sure = join_hot(windows, saved(shared), ["h", "g"], "n").select("doc_id", "at", "start", "end", "first_doc")
+    found = sure.repartition("doc_id").sortWithinPartitions("doc_id", "at").mapInArrow(lambda it: _united(it, min_words), f"doc_id long, passages array<{_PASSAGE}>")
+    none = F.expr(f"cast(array() as array<{_PASSAGE}>)")
     total = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda n, p: n + p["words"])
     return (
-        docs.select("doc_id")
-        .join(found.select("doc_id", merged.alias("passages")), "doc_id", "left")
+        every.join(found, "doc_id", "left")
         .withColumn("passages", F.coalesce("passages", none))
         .select(
             "doc_id", total(F.col("passages")).alias("n_repeated_words"), total(F.filter("passages", lambda p: p["first_doc"] < F.col("doc_id"))).alias("n_later_words"),
@@ -193,7 +257,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def _merge(done, p):
-    """Passages that one shorter chunk cuts twice, or that two runs found, become one where one lies in the other."""
-    last = F.element_at(done, -1)
-    return F.when((F.size(done) > 0) & (last["end"] >= p["end"]), done).otherwise(F.concat(done, F.array(p)))
+def _one_text(docs: DataFrame) -> DataFrame:
+    """docs with one row an id: of repeated ids the row whose text has the least digest."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("digest")).where("n > 1")
+    ids = saved(ids)
+    if ids.isEmpty():
+        return docs
+    again = ids.select("doc_id", "digest")
+    some = docs.join(again, "doc_id").where(F.xxhash64("text") == F.col("digest")).drop("digest").dropDuplicates(["doc_id"])
+    return saved(docs.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(some))

@@ -561,7 +561,7 @@ def test_repeated_passages(spark, odd, empty):
     for i in range(0, 30, 3):
         p = got[i].passages[0]
         found = rows[i][1].encode()[p.start : p.end].decode().split()
-        assert " ".join(found) in " ".join(passage) and p.words == len(found) >= 51 and p.first_doc == 0
+        assert found == passage and p.words == 60 and p.first_doc == 0
     assert got[0].n_later_words == 0 and got[3].n_later_words >= 51
     same = {r.doc_id: r.repeated for r in chunk_dedup.repeated_passages(odd).collect()}
     assert not any(same.values()) and chunk_dedup.repeated_passages(odd).count() == len(ODD) and chunk_dedup.repeated_passages(empty).count() == 0
@@ -580,7 +580,61 @@ def test_passages_short_here_and_in_a_long_run_there(spark):
     assert {i for i, p in got.items() if len(p) == 1} == set(range(30))
     for g, passage in enumerate(passages):
         p = got[3 * g][0]
-        assert rows[3 * g][1][p.start : p.end] in passage and p.words >= 51 and p.first_doc == 3 * g
+        assert rows[3 * g][1][p.start : p.end] == passage and p.words == 53 + g and p.first_doc == 3 * g
+
+
+def passage_model(rows, size=51):
+    """Words of each document that lie in a window of size words which another document has, too."""
+    split = {i: (t or "").split() for i, t in rows}
+    homes = {}
+    for i, w in split.items():
+        for a in range(len(w) - size + 1):
+            homes.setdefault(tuple(w[a : a + size]), set()).add(i)
+    out = {}
+    for i, w in split.items():
+        hit = set()
+        for a in range(len(w) - size + 1):
+            if len(homes[tuple(w[a : a + size])]) > 1:
+                hit |= set(range(a, a + size))
+        out[i] = len(hit)
+    return out
+
+
+def test_repeated_words_against_every_window(spark, monkeypatch):
+    """Passages, copies with changes, chains of short pieces shared with different documents, hot digests."""
+    monkeypatch.setattr(chunk_dedup, "HOT_ROWS", 4)
+    rng = random.Random(31)
+    fresh = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows = []
+    for g in range(25):
+        passage = fresh(rng.randint(45, 140))
+        for _ in range(rng.randint(2, 5)):
+            rows.append(fresh(rng.randint(0, 60)) + passage + fresh(rng.randint(0, 60)))
+    common = fresh(70)
+    rows += [fresh(20) + common + fresh(20) for _ in range(30)]
+    base = fresh(400)
+    for _ in range(8):
+        copy = list(base)
+        for _ in range(4):
+            copy[rng.randrange(400)] = fresh(1)[0]
+        rows.append(copy)
+    pieces = [fresh(30) for _ in range(40)]  # pieces of 30 words in ever other orders: nothing over 50 words repeats
+    for _ in range(20):
+        rows.append([w for p in rng.sample(pieces, 5) for w in p])
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    want = passage_model(rows)
+    got = {r.doc_id: r.n_repeated_words for r in chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = {i: (want[i], got[i]) for i in want if want[i] != got[i]}
+    assert sum(v > 0 for v in want.values()) > 80
+    assert all(got[i] <= want[i] for i in want), wrong  # never a word too many
+    assert len(wrong) <= 0.03 * len(rows), wrong
+
+
+def test_passages_of_repeated_ids(spark):
+    rng = random.Random(32)
+    text = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(80))
+    df = spark.createDataFrame([(1, text), (1, text), (2, "x " + text), (None, text)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_repeated_words) for r in chunk_dedup.repeated_passages(df).collect()) == [(0, 0), (1, 80), (1, 80), (2, 80)]
 
 
 def test_chunks_resist_shifts():
