@@ -175,7 +175,7 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
     """Rows (doc_id, text, runs, places) -> (doc_id, h, g, at, start, end) of the windows to compare: 128 bits, first word, bytes."""
     for batch in batches:
         buf, offs = K.text_buffers(column(batch, "text"))
-        w = K.words(buf, offs, K.NOT_SPACE)
+        w = K.words(buf, offs, K.NOT_SPACE, _SAME)
         h, g = K.window_hashes(w.hash, size), K.window_hashes(K.mix(w.hash ^ _OTHER), size)
         c_start, c_end, c_text = chunk_bounds(buf, offs)
         out: list[list] = [[], [], [], [], [], []]
