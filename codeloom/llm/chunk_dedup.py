@@ -7,7 +7,7 @@ chunks that several documents hold are found again by their digest, those of the
 
 Runs only say where to look. What is reported are windows of `MIN_WORDS` words that several documents hold, by 128 bits: about a run
 shorter than a window every one as far as a passage can reach, which is into the next chunk; in a longer run those that begin with a chunk, and at its two
-ends again every one as far as a passage can reach. Where another document has one of a run's outer chunks inside a longer run, it compares every window around it, too. A
+ends again every one as far as a passage can reach. Where another document has a run's first or last chunk inside a longer run, it compares the windows of such an end there, too. A
 document's passages are the unions of its shared windows, so their ends are true wherever a passage ends for all who hold it.
 """
 
@@ -108,14 +108,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
 
 
 _RUN = "struct<start: int, end: int, words: int>"
-_PLACE = "struct<d: long, start: int, end: int>"
+_PLACE = "struct<d: long, start: int>"
+_OUTER = "struct<d: long, first: boolean>"
 
 
 def _runs(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, d, chunk, start, end, words) sorted by doc_id, chunk -> each document's runs of chunks.
 
-    `outer` has the digests of the chunks in runs of fewer than `size` words and of the first and last of longer ones, `inner` digests and
-    places of the chunks in longer runs.
+    `outer` has the digests of the first and the last chunk of each run, `inner` digests and places of the chunks in runs of `size` words and more.
     """
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
     for (doc,), t in groups(batches, ["doc_id"]):
@@ -127,13 +127,13 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterator[
         till = np.r_[at[1:], len(chunk)] - 1
         rows = [{"start": int(start[a]), "end": int(end[b]), "words": int(n)} for a, b, n in zip(at, till, total) if n >= least]
         if rows:
-            of = np.repeat(total, till - at + 1)
-            outer, inner = (of >= least) & (of < size), of >= max(least, size)
-            outer[at] |= inner[at]
-            outer[till] |= inner[till]
-            places = pa.StructArray.from_arrays([pa.array(d[inner]), pa.array(start[inner]), pa.array(end[inner])], names=["d", "start", "end"])
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], type=pa.int32()), x) for x in (pa.array(np.unique(d[outer])), places)]
-            yield pa.RecordBatch.from_arrays([pa.array([doc], type=pa.int64()), pa.array([rows], type=kind), *lists], names=["doc_id", "runs", "outer", "inner"])
+            long_enough = total >= least
+            inner = np.repeat(total >= max(least, size), till - at + 1)
+            outer = [{"d": int(x), "first": first} for first, ends in ((True, at), (False, till)) for x in np.unique(d[ends[long_enough]])]
+            places = pa.StructArray.from_arrays([pa.array(d[inner]), pa.array(start[inner])], names=["d", "start"])
+            inside = pa.ListArray.from_arrays(pa.array([0, len(places)], type=pa.int32()), places)
+            edges = pa.array([outer], type=pa.list_(pa.struct([("d", pa.int64()), ("first", pa.bool_())])))
+            yield pa.RecordBatch.from_arrays([pa.array([doc], type=pa.int64()), pa.array([rows], type=kind), edges, inside], names=["doc_id", "runs", "outer", "inner"])
 
 
 def wanted_windows(runs: list[dict], places: list[dict], start: np.ndarray, end: np.ndarray, chunk_start: np.ndarray, chunk_end: np.ndarray, size: int) -> np.ndarray:
@@ -148,22 +148,24 @@ def wanted_windows(runs: list[dict], places: list[dict], start: np.ndarray, end:
             want[b + 1] -= 1
 
     first_word, end_word = np.searchsorted(start, chunk_start), np.searchsorted(end, chunk_end) + 1
+    # a passage begins at most GEAR_BYTES before the boundary in front of its first common chunk, and ends at the next behind its last one
+    begin = lambda c: int(np.searchsorted(start, chunk_start[c - 1] - GEAR_BYTES)) if c else 0
+    finish = lambda c: int(end_word[c + 1]) if c + 1 < len(chunk_end) else n
     lone = []
     for r in runs:
         a, b = int(np.searchsorted(chunk_start, r["start"])), int(np.searchsorted(chunk_end, r["end"]))
-        i, j = int(first_word[a]), int(end_word[b])
-        # a passage begins at most GEAR_BYTES before the boundary in front of the run, and ends at the next behind it at last
-        low = int(np.searchsorted(start, chunk_start[a - 1] - GEAR_BYTES)) if a else 0
-        high = int(end_word[b + 1]) if b + 1 < len(chunk_end) else n
         if r["words"] < size:
-            take(low, high - size)
+            take(begin(a), finish(b) - size)
             continue
         lone += [np.arange(first_word[c], end_word[c], ANCHOR_WORDS) for c in range(a, b + 1)]
-        take(low, i)
-        take(j - size, high - size)
+        take(begin(a), int(first_word[a]))
+        take(int(end_word[b]) - size, finish(b) - size)
     for p in places:
-        i, j = int(np.searchsorted(start, p["start"])), int(np.searchsorted(end, p["end"])) + 1
-        take(j - size, i)
+        c = int(np.searchsorted(chunk_start, p["start"]))
+        if p["begins"]:
+            take(begin(c), int(first_word[c]))
+        if p["ends"]:
+            take(int(end_word[c]) - size, finish(c) - size)
     flag = np.cumsum(want)[:n] > 0
     if lone:
         at = np.concatenate(lone)
@@ -233,14 +235,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spread = F.when(F.col("first_doc").isNull(), F.col("d")).otherwise(F.xxhash64("doc_id", "chunk"))
     met = chunks.withColumn("key", spread).join(several.where(F.col("n") <= least).select(F.col("d").alias("key"), "low"), "key", "left").where("first_doc is not null or low is not null")
     dealt = met.select("doc_id", "d", "chunk", "start", "end", "words").repartition("doc_id").sortWithinPartitions("doc_id", "chunk")
-    runs = saved(dealt.mapInArrow(lambda it: _runs(it, min(SEED_WORDS, min_words), min_words), f"doc_id long, runs array<{_RUN}>, outer array<long>, inner array<{_PLACE}>"))
+    runs = saved(dealt.mapInArrow(lambda it: _runs(it, min(SEED_WORDS, min_words), min_words), f"doc_id long, runs array<{_RUN}>, outer array<{_OUTER}>, inner array<{_PLACE}>"))
 
-    # a passage may end here and go on there: there every window around the chunk where it ends here is compared
-    asked = runs.select(F.explode("outer").alias("d")).groupBy("d").agg(F.count("*").alias("n"))
+    # a passage may end here and go on there: there the windows of that end are compared, too
+    asked = runs.select(F.explode("outer").alias("o")).groupBy(F.col("o.d").alias("d")).agg(F.bool_or("o.first").alias("begins"), F.bool_or(~F.col("o.first")).alias("ends"))
     inside = saved(runs.select("doc_id", F.explode("inner").alias("p")).select("doc_id", "p.*"))
-    asked = inside.groupBy("d").agg(F.count("*").alias("n")).join(asked.select("d"), "d", "left_semi")
-    places = join_hot(inside, saved(asked), ["d"], "n").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("places"))
-    look = runs.select("doc_id", "runs").join(places, "doc_id", "left").select("doc_id", "runs", F.coalesce("places", F.expr("cast(array() as array<struct<start: int, end: int>>)")).alias("places"))
+    asked = saved(inside.groupBy("d").agg(F.count("*").alias("n")).join(asked, "d"))
+    places = join_hot(inside, asked, ["d"], "n").groupBy("doc_id").agg(F.collect_list(F.struct("start", "begins", "ends")).alias("places"))
+    none = F.expr("cast(array() as array<struct<start: int, begins: boolean, ends: boolean>>)")
+    look = runs.select("doc_id", "runs").join(places, "doc_id", "left").select("doc_id", "runs", F.coalesce("places", none).alias("places"))
     windows = saved(docs.join(look, "doc_id").mapInArrow(lambda it: _windows(it, min_words), "doc_id long, h long, g long, at int, start int, end int"))
     shared = windows.groupBy("h", "g").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("first_doc < high").drop("high")
     sure = join_hot(windows, saved(shared), ["h", "g"], "n").select("doc_id", "at", "start", "end", "first_doc")
