@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -173,14 +173,19 @@ def wanted_windows(runs: list[dict], places: list[dict], start: np.ndarray, end:
     return np.flatnonzero(flag)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, runs, places) -> (doc_id, h, g, at, start, end) of the windows to compare: 128 bits, first word, bytes."""
+def _windows(batches: Iterator[pa.RecordBatch], size: int, hot) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, runs, places) -> (doc_id, h, g, at, start, end, hot) of the windows to compare: 128 bits, first word, bytes.
+
+    hot: whether the first chunk within is so frequent, or there is none; no other window is more frequent than such a chunk.
+    """
+    digests, _ = hot.value
     for batch in batches:
         buf, offs = K.text_buffers(column(batch, "text"))
         w = K.words(buf, offs, K.NOT_SPACE, _SAME)
         h, g = K.window_hashes(w.hash, size), K.window_hashes(K.mix(w.hash ^ _OTHER), size)
         c_start, c_end, c_text = chunk_bounds(buf, offs)
-        out: list[list] = [[], [], [], [], [], []]
+        often = np.isin(K._word_hashes(buf, c_start, c_end, _SAME).view(np.int64), digests)
+        out: list[list] = [[], [], [], [], [], [], []]
         for row, (doc, runs, places) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("doc_id", "runs", "places")))):
             low, high = int(w.bounds[row]), int(w.bounds[row + 1])
             if high - low < size:
@@ -188,12 +193,15 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
             a, b = np.searchsorted(c_text, (row, row + 1))
             base = offs[row]
             k = wanted_windows(runs, places, w.start[low:high] - base, w.end[low:high] - base, c_start[a:b] - base, c_end[a:b] - base, size)
-            for o, v in zip(out, (np.full(len(k), doc), h[k + low], g[k + low], k, w.start[k + low] - base, w.end[k + low + size - 1] - base)):
+            first, last = w.start[k + low], w.end[k + low + size - 1]
+            c = np.minimum(a + np.searchsorted(c_start[a:b], first), b - 1)
+            frequent = often[c] | (c_start[c] < first) | (c_end[c] > last)
+            for o, v in zip(out, (np.full(len(k), doc), h[k + low], g[k + low], k, first - base, last - base, frequent)):
                 o.append(v)
         if out[0]:
-            doc, h_, g_, *rest = (np.concatenate(o) for o in out)
-            cols = [doc.astype(np.int64), h_.view(np.int64), g_.view(np.int64), *(x.astype(np.int32) for x in rest)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "h", "g", "at", "start", "end"])
+            doc, h_, g_, *rest, frequent = (np.concatenate(o) for o in out)
+            cols = [doc.astype(np.int64), h_.view(np.int64), g_.view(np.int64), *(x.astype(np.int32) for x in rest), frequent.astype(bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "h", "g", "at", "start", "end", "hot"])
 
 
 _PASSAGE = "struct<start: int, end: int, words: int, first_doc: long>"
@@ -244,9 +252,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     places = join_hot(inside, asked, ["d"], "n").groupBy("doc_id").agg(F.collect_list(F.struct("start", "begins", "ends")).alias("places"))
     none = F.expr("cast(array() as array<struct<start: int, begins: boolean, ends: boolean>>)")
     look = runs.select("doc_id", "runs").join(places, "doc_id", "left").select("doc_id", "runs", F.coalesce("places", none).alias("places"))
-    windows = saved(docs.join(look, "doc_id").mapInArrow(lambda it: _windows(it, min_words), "doc_id long, h long, g long, at int, start int, end int"))
-    shared = windows.groupBy("h", "g").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("first_doc < high").drop("high")
-    sure = join_hot(windows, saved(shared), ["h", "g"], "n").select("doc_id", "at", "start", "end", "first_doc")
+    windows = saved(docs.join(look, "doc_id").mapInArrow(lambda it: _windows(it, min_words, hot), "doc_id long, h long, g long, at int, start int, end int, hot boolean"))
+    # windows with a chunk that isn't frequent are in groups of a bounded size; the others are combined before they meet
+    same = Window.partitionBy("h", "g")
+    cold = windows.where("not hot").withColumn("first_doc", F.min("doc_id").over(same)).withColumn("high", F.max("doc_id").over(same))
+    frequent = windows.where("hot").drop("hot")
+    shared = frequent.groupBy("h", "g").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+    sure = cold.drop("hot").unionByName(join_hot(frequent, saved(shared.where("first_doc < high")), ["h", "g"], "n").drop("n")).where("first_doc < high").select("doc_id", "at", "start", "end", "first_doc")
     found = sure.repartition("doc_id").sortWithinPartitions("doc_id", "at").mapInArrow(lambda it: _united(it, min_words), f"doc_id long, passages array<{_PASSAGE}>")
     none = F.expr(f"cast(array() as array<{_PASSAGE}>)")
     total = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda n, p: n + p["words"])
