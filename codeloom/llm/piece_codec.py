@@ -26,6 +26,8 @@ from .token_count import Memo
 
 MARK = "▁"
 _SHIFT = 1 << 21
+#: Characters of a word beyond which its trie nodes aren't kept for the word after it.
+LONG = 4096
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
@@ -124,6 +126,8 @@ class PieceCodec:
                 if x is not None:
                     nodes.append((n, x))
                 reached.append(nodes)
+                if n > LONG:
+                    reached[n - LONG] = []  # no word shares a front with this one
                 for s, x in nodes:
                     i = x.get(0)
                     if i is not None:
@@ -148,7 +152,7 @@ class PieceCodec:
                 n = origin[n]
             ids.reverse()
             out[word] = tuple(ids)
-            before = word
+            before = word if len(word) <= LONG else ""
         return out
 
     def _extend_unigram(self, word: str, last: list, n: int) -> None:
@@ -216,7 +220,7 @@ def codec_for(path: str) -> tuple[PieceCodec, Memo]:
     """A worker's codec for a model and its memo of words."""
     if path not in _codecs:
         codec = PieceCodec(path)
-        _codecs[path] = codec, Memo(codec.encode_words)
+        _codecs[path] = codec, Memo(codec.encode_words, cost=lambda ids: 60 + 8 * len(ids))
     return _codecs[path]
 
 
@@ -263,8 +267,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, ids: one row per row of docs, as the library encodes the whole text.
 
-    path: a SentencePiece model that must be there on every executor. No begin or end ids are added. Null and empty texts have no ids. Other
-    columns are ignored.
+    path: a SentencePiece model that must be there on every executor. No begin or end ids are added. Null and empty texts have no ids; repeated rows
+    are encoded each. Other columns are ignored.
     """
     return _texts(docs).mapInArrow(lambda it: _encode(it, path), "doc_id long, n_tokens long, ids array<int>")
 
@@ -277,5 +281,5 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def encode_checked(docs: DataFrame, path: str) -> DataFrame:
-    """encode(), with n_bytes of the decoded text and round_trip: whether it equals the text. Cases as there."""
+    """encode(), with n_bytes of the decoded text and round_trip: whether it equals the text, U+2581 (which decodes to a space) counting as a space. Cases as there."""
     return _texts(docs).mapInArrow(lambda it: _check(it, path), "doc_id long, n_tokens long, ids array<int>, n_bytes long, round_trip boolean")

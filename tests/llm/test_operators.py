@@ -255,6 +255,30 @@ def test_memo_generations():
     assert memo({"a", "bb", "ccc"})["bb"] == 2 and memo({"a"})["a"] == 1 and sorted(calls) == ["a", "bb", "ccc"]
 
 
+def test_memo_is_bounded_by_bytes():
+    memo = token_count.Memo(lambda ps: [len(p) for p in ps], size=40_000)
+    for i in range(2000):
+        assert memo({f"piece{i}", f"piece{i + 1}", "z" * 5000})[f"piece{i}"] == len(f"piece{i}")
+        assert len(memo.young) + len(memo.old) <= 2 * 260 and not any(len(p) > 1024 for p in memo.young)
+    assert [len(x) for x in token_count.by_bytes(["é" * 3] * 5, 12)] == [2, 2, 1]
+
+
+def test_tokenizers_that_join_words_are_refused():
+    with pytest.raises(ValueError):
+        token_count._json_lengths(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_long_words_of_pieces(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=BPE)
+    codec = piece_codec.PieceCodec(BPE)
+    monkeypatch.setattr(piece_codec, "LONG", 20)
+    words = ["thethethe" * 9, "thethethe" * 9 + "x", "thethethe" * 2, "the", "thethethe" * 2 + "quick"]
+    for word, ids in zip(words, codec.encode_words([piece_codec.MARK + w for w in words])):
+        assert list(ids) == sp.encode(word)
+
+
 def test_piece_codec(spark, odd, empty):
     import sentencepiece
 
