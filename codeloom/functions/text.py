@@ -191,5 +191,24 @@ def leaf_digest(node_type: Column | str) -> Column:
     return F.md5(F.concat(F.lit("0"), F.md5(as_column(node_type).cast("binary"))).cast("binary"))
 
 
+def _json_value(json: Column | str, field: str) -> tuple[Column, Column]:
+    """A field of a JSON object as a variant, and its type's name; NULL for what can't be parsed, and VOID for a JSON null."""
+    v = F.try_variant_get(F.try_parse_json(as_column(json)), f"$.{field}", "variant")
+    return v, F.schema_of_variant(v)
+
+
+def json_float(json: Column | str, field: str) -> Column:
+    """A field's value if it is a JSON number or truth value, never from a string."""
+    v, kind = _json_value(json, field)
+    number = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).otherwise(F.try_variant_get(v, "$", "double"))
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|BOOLEAN)"), number)
+
+
+def json_int(json: Column | str, field: str) -> Column:
+    """A field's value if it is a JSON integer or truth value; numbers with a fraction don't count."""
+    v, kind = _json_value(json, field)
+    return F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint")).when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint"))
+
+
 def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))

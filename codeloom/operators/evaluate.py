@@ -38,16 +38,18 @@ SCORE_COLUMNS = (
 
 
 def indexed(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Text lines without blank ones, with sample_index counting those that are left, in file order.
+    """Text lines without blank ones, with sample_index counting those that are left, in the order of files by path and of lines in them.
 
-    Numbers come from partition sizes and places within partitions, so one small aggregate is all that is gathered.
+    lines: a read of text files. Numbers come from the sizes of the pieces that tasks read and places within them, so one small aggregate is all that is gathered.
     """
+    m = "_metadata"
     kept = lines.where(F.length(F.trim(F.regexp_replace(value, r"\s+", " "))) > 0)
-    kept = kept.withColumn("p_", F.spark_partition_id()).withColumn("m_", F.monotonically_increasing_id())
-    sizes = kept.groupBy("p_").agg(F.count("*").alias("n_"))
-    sizes = sizes.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("p_").orderBy("m_"))
-    return kept.withColumn("i_", place).join(F.broadcast(sizes), "p_").withColumn("sample_index", F.col("i_") - 1 + F.col("before_")).drop("p_", "m_", "n_", "before_", "i_")
+    kept = kept.select("*", F.col(f"{m}.file_path").alias("f_"), F.col(f"{m}.file_block_start").alias("b_")).withColumn("m_", F.monotonically_increasing_id())
+    piece = ["f_", "b_"]
+    sizes = kept.groupBy(*piece).agg(F.count("*").alias("n_"))
+    sizes = sizes.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*piece).orderBy("m_"))
+    return kept.withColumn("i_", place).join(F.broadcast(sizes), piece).withColumn("sample_index", F.col("i_") - 1 + F.col("before_")).drop("m_", "n_", "before_", "i_", *piece)
 
 
 def shard(df: DataFrame, num_shards: int, rank: int, index: str = "sample_index") -> DataFrame:
@@ -324,6 +326,12 @@ def augmented(tasks: DataFrame, records: DataFrame, field: str, columns: list[st
 # calibration
 
 
+def calibration_best(ranked: DataFrame) -> DataFrame:
+    """One row: all ranked runs as an array, and the best one (NULL if there is none)."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.struct(*[c for c in ranked.columns if c != "rank"]).alias("run"))))
+    return ranked.agg(rows.alias("rows")).select("rows", F.try_element_at("rows", F.lit(1)).alias("best"))
+
+
 def calibration_ranking(rows: DataFrame) -> DataFrame:
     """Runs by EM, ES, fewest empty predictions, then prompt builder and decoding code, all descending; rank from 1.
 
@@ -349,6 +357,12 @@ def needs_longer_rerun(ranked: DataFrame, most_empty: float = 0.15) -> DataFrame
 # token budgets
 
 
+def first_references(tasks: DataFrame, shots: int) -> DataFrame:
+    """Tasks with the first `shots` of their references, none as an empty array."""
+    kind = dict(tasks.dtypes)["references"]
+    return tasks.withColumn("references", F.slice(F.coalesce("references", F.expr(f"cast(array() as {kind})")), 1, max(shots, 0)))
+
+
 def pack_references(segments: DataFrame, max_context: int, max_reference: int, max_new: int) -> DataFrame:
     """segments (sample_index, position, path, tokens, prompt_tokens) -> one row per sample: what fits the token budget.
 

@@ -6,6 +6,7 @@ built-in column functions; only the tree needs Python.
 
 from __future__ import annotations
 
+import os
 import sys
 from collections.abc import Iterator
 
@@ -23,7 +24,8 @@ from ..parsing.structure import fold
 from ..schema import RECORD
 
 _UNIT = T.StructType([f for f in RECORD if f.name != "text_fingerprint"] + [T.StructField("position", T.IntegerType()), T.StructField("error", T.StringType())])
-RECURSION_LIMIT = 20_000
+#: The parser's depth of nesting; an environment variable of the workers may set another.
+RECURSION_LIMIT = int(os.environ.get("CODELOOM_RECURSION_LIMIT", "20000"))
 ERROR_LENGTH, ROWS_PER_BATCH = 80, 512
 
 
@@ -78,13 +80,25 @@ def counts(sources: DataFrame, extracted: DataFrame) -> DataFrame:
     return files.join(units, "repository", "left").fillna(0)
 
 
+def _each(function, codes: pd.Series, languages: pd.Series, failed) -> list:
+    """function of each row; `failed` for a row that can't be parsed, so one bad query never fails the others."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), RECURSION_LIMIT))
+    out = []
+    for code, language in zip(codes, languages):
+        try:
+            out.append(function(code, language))
+        except Exception:
+            out.append(failed)
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def structure_fp(code: pd.Series, language: pd.Series) -> pd.Series:
-    """Structure fingerprint of whole texts; NULL for NULL texts and unknown languages."""
-    return pd.Series([structure_fingerprint(c, x) for c, x in zip(code, language)], dtype=object)
+    """Structure fingerprint of whole texts; NULL for NULL texts, unknown languages and what can't be parsed."""
+    return pd.Series(_each(structure_fingerprint, code, language, None), dtype=object)
 
 
 @F.pandas_udf(T.BooleanType())
 def syntax_ok(code: pd.Series, language: pd.Series) -> pd.Series:
     """Whether a text parses without error; True for languages that aren't served."""
-    return pd.Series([True if c is None else is_valid(c, x) for c, x in zip(code, language)])
+    return pd.Series(_each(lambda c, x: c is None or is_valid(c, x), code, language, False))

@@ -30,13 +30,13 @@ FROM documents LEFT JOIN {_digest(2)} a ON a.id = doc_id LEFT JOIN {_digest(3)}
 _TIE = "CASE kind WHEN 'declaration_block' THEN 0 WHEN 'function' THEN 1 WHEN 'method' THEN 2 WHEN 'global' THEN 3 WHEN 'type' THEN 4 ELSE 99 END AS kp, greatest(0, CASE WHEN end_line = 0 THEN 0 ELSE end_line - start_line END) AS span"
 
 
-def _retrieval(shots: int, k: int | None, query: str = "text") -> str:
+def _retrieval(shots: int, k: int | None, query: str = "text", grams: str | None = None, wanted: str | None = None) -> str:
     """CTEs up to `rows` (query_id, rank, id, score, n, size): prefilter, unrolled greedy rounds, backfill."""
     cte = f"""{_KB},
 u AS (SELECT *, {_TIE} FROM kb),
-cf AS MATERIALIZED (SELECT DISTINCT id, h FROM {_grams('documents', 'doc_id')}),
+cf AS MATERIALIZED (SELECT DISTINCT id, h FROM {grams or _grams('documents', 'doc_id')}),
 has AS (SELECT DISTINCT id FROM cf),
-qf AS MATERIALIZED (SELECT DISTINCT id AS q, h FROM {_grams('benchmark', 'item_id', text=query)}),
+qf AS MATERIALIZED (SELECT DISTINCT id AS q, h FROM {wanted or _grams('benchmark', 'item_id', text=query)}),
 size AS (SELECT q, count(*) AS size FROM qf GROUP BY q),
 shared AS MATERIALIZED (SELECT q, cf.id, h FROM qf JOIN cf USING (h)),
 n AS (SELECT q, id, count(*) AS n FROM shared GROUP BY ALL),

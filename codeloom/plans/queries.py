@@ -192,11 +192,11 @@ def augment_join(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("sample_index", "prompt", F.col("log_ppl_eval.task_id").alias("task_id"), F.col("log_ppl_eval.log_ppl_improvement_abs").alias("change"))
 
 
-def calibration_rank(spark: SparkSession, sf: str) -> DataFrame:
+def calibration_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as calibration runs."""
     s = table(spark, sf, "supplier")
     k = F.col("s_suppkey")
-    rows = s.select(
+    return s.select(
         F.lpad(k.cast("string"), 8, "0").alias("run_dir"),
         F.when(k % 3 == 0, "strict").when(k % 3 == 1, "plus_local8").otherwise("plus_local16").alias("prompt_builder"),
         F.when(k % 2 == 0, "greedy").otherwise("beam").alias("decode_policy"),
@@ -204,7 +204,10 @@ def calibration_rank(spark: SparkSession, sf: str) -> DataFrame:
         ((k % 3) / F.lit(4.0)).alias("mean_es_no_reference"),
         ((k % 4) / F.lit(16.0)).alias("empty_prediction_rate_no_reference"),
     )
-    return E.calibration_ranking(rows).select("run_dir", "rank")
+
+
+def calibration_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return E.calibration_ranking(calibration_rows(spark, sf)).select("run_dir", "rank")
 
 
 def reference_packing(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,12 +13,12 @@ from pyspark.sql import types as T
 
 from ..config import by_extension
 from ..functions.text import extension, language_of
-from ..operators.evaluate import indexed, merged
+from ..operators.evaluate import calibration_best, indexed, merged
 
 SOURCE = "repository string, relative_path string, file_extension string, language string, content string, error string"
 
 
-def _decode(data: bytes) -> str:
+def decode_text(data: bytes) -> str:
     """UTF-8, invalid bytes dropped, line ends as in text mode."""
     return data.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
 
@@ -34,7 +34,7 @@ def read_directory(spark: SparkSession, path: str, repository: str = "", languag
 
     def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(content=[_decode(bytes(c)) for c in b["content"]])[["relative_path", "file_extension", "language", "content"]]
+            yield b.assign(content=[decode_text(bytes(c)) for c in b["content"]])[["relative_path", "file_extension", "language", "content"]]
 
     read = rows.mapInPandas(text, "relative_path string, file_extension string, language string, content string")
     return read.select(F.lit(repository).alias("repository"), *read.columns, F.lit(None).cast("string").alias("error"))
@@ -60,7 +60,7 @@ def read_archives(spark: SparkSession, path: str, languages: dict[str, list[str]
                             if m.is_dir() or ext not in known:
                                 continue
                             parts = m.filename.split("/")
-                            rows.append((repo, "/".join(parts[1:]) if len(parts) > 1 else m.filename, ext, known[ext], _decode(z.read(m)), None))
+                            rows.append((repo, "/".join(parts[1:]) if len(parts) > 1 else m.filename, ext, known[ext], decode_text(z.read(m)), None))
                             if len(rows) >= 256:
                                 yield pd.DataFrame(rows, columns=_SOURCE_COLUMNS)
                                 rows = []
@@ -117,6 +117,33 @@ def write_json(df: DataFrame, path: str, order: Iterable[str] = (), one_file: bo
     (out.coalesce(1) if one_file else out).write.mode("append" if append else "overwrite").json(path)
 
 
+RUN_META = ["run_dir", "input_path", "output_jsonl", "num_gpus"]
+
+
+def read_run_metadata(spark: SparkSession, path: str) -> dict:
+    """The JSON object that describes a run, as one of its files; raises if it is missing or a field that a rerun needs is empty."""
+    rows = spark.read.option("multiLine", "true").json(path).limit(1).collect()
+    meta = rows[0].asDict(recursive=True) if rows else {}
+    missing = [k for k in RUN_META if meta.get(k) in (None, "")]
+    if missing:
+        raise ValueError(f"run metadata lacks {', '.join(missing)}: {path}")
+    return meta
+
+
+CALIBRATION = [
+    "rank", "run_dir", "prompt_builder", "decode_policy", "beam_size", "max_new_tokens", "mean_em_no_reference", "mean_es_no_reference", "empty_prediction_rate_no_reference",
+    "gap_to_target_em", "gap_to_target_es",
+]
+
+
+def write_calibration(ranked: DataFrame, path: str) -> None:
+    """Ranked runs as baseline_calibration_summary (JSON with all rows and the best) and baseline_calibration_table (CSV); columns that runs lack are empty."""
+    full = ranked.select(*[F.col(c) if c in ranked.columns else F.lit(None).cast("string").alias(c) for c in CALIBRATION])
+    summary = calibration_best(full).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_at"), "rows", "best")
+    write_json(summary, f"{path}/baseline_calibration_summary", one_file=True)
+    write_csv(full, f"{path}/baseline_calibration_table", ["rank"])
+
+
 def write_csv(df: DataFrame, path: str, order: Iterable[str] = ()) -> None:
     """A table of bounded size as one CSV file with a header."""
     (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)

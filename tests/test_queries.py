@@ -7,8 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from codeloom.plans.oracles import ORACLES
-from codeloom.plans.queries import QUERIES
+from codeloom.plans import more_oracles, more_queries, oracles, queries
+
+ORACLES, QUERIES = oracles.ORACLES | more_oracles.ORACLES, queries.QUERIES | more_queries.QUERIES
 
 
 @pytest.fixture(scope="module")
