@@ -208,9 +208,28 @@ class _Parser:
             out.append(Node("case_statement", t.start, self.toks[self.i - 1].end, self.flat(a, self.i)))
         elif t.text in CONTROL and t.kind == "word" and (t.text != "synchronized" or self.text(1) == "("):
             self.control(out)
-        else:
+        elif not self.unclosed_function(out):
             self.declaration(out, context)
 
+    def unclosed_function(self, out: list[Node]) -> bool:
+        """Type words, a name and an opening bracket that a body follows at once: a function whose parameters were lost. It begins at its type."""
+        k, toks = self.i, self.toks
+        while k < len(toks) and (toks[k].kind == "word" or toks[k].text in ("*", "&", "::")):
+            k += 1
+        if self.language != C or k - self.i < 2 or [t.text for t in toks[k : k + 2]] != ["(", "{"] or toks[k - 1].kind != "word" or toks[self.i].text in JUMPS or toks[k - 1].text in CONTROL:
+            return False
+        body = self.closing(k + 1)
+        if body < len(toks) and toks[body].text == ")" or body - k <= 3:  # an initialiser in braces; an empty body
+            return False
+        a, self.errors = self.i, self.errors + 1
+        declarator = Node("function_declarator", toks[k - 1].start, toks[k].end, [self.leaf(toks[k - 1]), self.leaf(toks[k])])
+        node = Node("function_definition", toks[a].start, toks[a].end, [*self.flat(a, k - 1), declarator], names=[toks[k - 1].text])
+        self.i = k + 1
+        node.children.append(self.block("compound_statement", "block"))
+        node.end = node.children[-1].end
+        out.append(node)
+        return True
+
     def directive(self, t: Token) -> Node:
         m = _DEFINE.match(t.text)
         lead = len(t.text) - len(t.text.lstrip(" \t"))

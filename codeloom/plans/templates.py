@@ -41,8 +41,9 @@ FILES = [
     ),
     (
         "C", ".cc",
-        "int braces_~(int x) {\n    const char *q = \"}{\";\n    char c = '{'; // }\n    /* } */\n    return x + c + q[0];\n}\nstruct Tail_~ {\n    int a;\n} /* end */\n;\nnamespace A_~::B {\nvoid go() { return; }\n}\n",
-        [("function", "braces_~", 1, 6), ("declaration_block", "braces_~::declblock#1", 2, 3), ("type", "Tail_~", 7, 10), ("function", "A_~::B::go", 12, 12)],
+        "int braces_~(int x) {\n    const char *q = \"}{\";\n    char c = '{'; // }\n    /* } */\n    return x + c + q[0];\n}\nstruct Tail_~ {\n    int a;\n} /* end */\n;\nnamespace A_~::B {\nvoid go() { return; }\n}\n"
+        "static int lost_~( {\n    return 1;\n}\nint kept_~(int b) {\n    return b;\n}\n",
+        [("function", "braces_~", 1, 6), ("declaration_block", "braces_~::declblock#1", 2, 3), ("type", "Tail_~", 7, 10), ("function", "A_~::B::go", 12, 12), ("function", "lost_~", 14, 16), ("function", "kept_~", 17, 19)],
     ),
 ]
 

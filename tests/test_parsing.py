@@ -108,7 +108,9 @@ def test_globals():
 
 
 def test_broken_code():
-    assert units_of("int oops( {\n  return 1;\n", "C") == []
+    code = "static int oops( {\n  int a = 1;\n  int b = 2;\n  return a;\n}\nint next(int b) {\n  return b;\n}\n"
+    assert [(u.kind, u.qualified_name, u.start_line, u.end_line) for u in units_of(code, "C")] == [("function", "oops", 1, 5), ("declaration_block", "oops::declblock#1", 2, 3), ("function", "next", 6, 8)]
+    assert not is_valid(code, "C") and [u.kind for u in units_of("int x({1, 2});\nstd::vector<int> y({3});\n", "C")] == ["global", "global"]
     assert is_valid("int f() { return 0; }", "C") and not is_valid("int f( { return 0; }", "C") and is_valid("(", "Perl")
 
 

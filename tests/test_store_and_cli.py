@@ -89,7 +89,12 @@ def test_sources(spark, tmp_path):
     rows = {(r.repository, r.relative_path): r for r in read_archives(spark, str(tmp_path)).collect()}
     assert set(rows) == {("repo", "src/a.c"), ("repo", "b.java"), ("bad", None)} and rows[("bad", None)].error
     deep = extract(spark.createDataFrame([("r", "d.c", ".c", "C", "int f() {" + "{" * 30000)], "repository string, relative_path string, file_extension string, language string, content string"))
-    assert deep.where("error is not null").count() <= 1
+    rows = deep.collect()
+    assert len(rows) >= 1 and all((r.error is None) != (r.kind is None) for r in rows)  # units, or one row with the error
+    both = extract(spark.createDataFrame([("r", "d.c", ".c", "C", "int f() {" + "{" * 30000), ("r", "e.c", ".c", "C", "int g(int a) {\n  return a;\n}\n")], "repository string, relative_path string, file_extension string, language string, content string"))
+    assert [r.qualified_name for r in both.where("relative_path = 'e.c'").collect()] == ["g"]
+    nested = spark.createDataFrame([("int f() " + "{" * 3000, "C"), ("int a;", "C")], "c string, l string").select(structure_fp("c", "l").alias("f"), syntax_ok("c", "l").alias("ok")).collect()
+    assert nested[1].f and nested[1].ok and nested[0].ok is False
 
 
 def test_udfs(spark):
