@@ -28,26 +28,35 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(as_column(text), F.lit(WORD), F.lit(0))
 
 
-def ngrams(text: Column | str, n: int = 2) -> Column:
-    """Space-joined windows of n words, repeats kept; fewer words give one gram of them all; none give NULL."""
+def _windows(text: Column | str, n: int, of) -> Column:
+    """`of` each space-joined window of n words: word arrays shifted against each other are joined pairwise, so no window is cut out by itself."""
     if n < 2:
         raise ValueError("n must be 2 or more")
+    shifted = lambda w, j, last: F.slice(w, j + 1, last)
 
     def windows(w: Column) -> Column:
-        last = F.size(w) - (n - 1)
-        grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, n), " "))
-        return F.when(F.size(w) == 0, F.lit(None)).when(last < 1, F.array(F.array_join(w, " "))).otherwise(grams)
+        last = F.greatest(F.size(w) - (n - 1), F.lit(0))
+        grams = shifted(w, 0, last)
+        for j in range(1, n):
+            joined = lambda a, b: F.concat(a, F.lit(" "), b)
+            grams = F.zip_with(grams, shifted(w, j, last), (lambda a, b: of(joined(a, b))) if j == n - 1 else joined)
+        return F.when(F.size(w) == 0, F.lit(None)).when(F.size(w) < n, F.array(of(F.array_join(w, " ")))).otherwise(grams)
 
     return let(words(text), windows)
 
 
+def ngrams(text: Column | str, n: int = 2) -> Column:
+    """Space-joined windows of n words, repeats kept; fewer words give one gram of them all; none give NULL."""
+    return _windows(text, n, lambda gram: gram)
+
+
 def fingerprint_hash(gram: Column | str) -> Column:
     """64 bits as 16 hex digits: the values are unsigned and don't fit a bigint."""
     return F.substring(F.md5(as_column(gram).cast("binary")), 1, 16)
 
 
 def ngram_fingerprint(text: Column | str, n: int = 2) -> Column:
-    return F.transform(ngrams(text, n), fingerprint_hash)
+    return _windows(text, n, fingerprint_hash)
 
 
 def from_json_fingerprint(json: Column | str) -> Column:
