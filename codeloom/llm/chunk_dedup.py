@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import HOT_ROWS, HOT_SHARE, column, groups, join_hot, prepare, saved
+from .common import HOT_ROWS, HOT_SHARE, column, join_hot, prepare, saved
 
 MEAN_WORDS, MAX_BYTES, MIN_WORDS, SEED_WORDS = 6, 1024, 51, 6
 _rng = np.random.Generator(np.random.PCG64(11))
@@ -112,28 +112,59 @@ _PLACE = "struct<d: long, start: int>"
 _OUTER = "struct<d: long, first: boolean>"
 
 
+def whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A stream sorted by doc_id, cut between documents: tables of a batch's size, or of one document's rows where it has more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc = column(batch, "doc_id").to_numpy()
+        cut = int(np.searchsorted(doc, doc[-1]))
+        if held and (cut or column(held[-1], "doc_id")[-1].as_py() != doc[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, d, chunk, start, end, words) sorted by doc_id, chunk -> each document's runs of chunks.
 
     `outer` has the digests of the first and the last chunk of each run, `inner` digests and places of the chunks in runs of `size` words and more.
     """
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
-    for (doc,), t in groups(batches, ["doc_id"]):
-        chunk, start, end, words, d = (t.column(c).to_numpy() for c in ("chunk", "start", "end", "words", "d"))
-        keep = np.r_[True, np.diff(chunk) != 0]  # repeated rows of one document give the same chunk twice
-        chunk, start, end, words, d = (x[keep] for x in (chunk, start, end, words, d))
-        at = np.flatnonzero(np.r_[True, np.diff(chunk) > 1])
+    for t in whole_documents(batches):
+        names = ("doc_id", "chunk", "start", "end", "words", "d")
+        doc, chunk, start, end, words, d = (t.column(c).to_numpy() for c in names)
+        other = np.r_[True, np.diff(doc) != 0]
+        keep = other | np.r_[True, np.diff(chunk) != 0]  # repeated rows of one document give the same chunk twice
+        doc, chunk, start, end, words, d, other = (x[keep] for x in (doc, chunk, start, end, words, d, other))
+        at = np.flatnonzero(other | np.r_[True, np.diff(chunk) > 1])
         total = np.add.reduceat(words, at)
         till = np.r_[at[1:], len(chunk)] - 1
-        rows = [{"start": int(start[a]), "end": int(end[b]), "words": int(n)} for a, b, n in zip(at, till, total) if n >= least]
-        if rows:
-            long_enough = total >= least
-            inner = np.repeat(total >= max(least, size), till - at + 1)
-            outer = [{"d": int(x), "first": first} for first, ends in ((True, at), (False, till)) for x in np.unique(d[ends[long_enough]])]
-            places = pa.StructArray.from_arrays([pa.array(d[inner]), pa.array(start[inner])], names=["d", "start"])
-            inside = pa.ListArray.from_arrays(pa.array([0, len(places)], type=pa.int32()), places)
-            edges = pa.array([outer], type=pa.list_(pa.struct([("d", pa.int64()), ("first", pa.bool_())])))
-            yield pa.RecordBatch.from_arrays([pa.array([doc], type=pa.int64()), pa.array([rows], type=kind), edges, inside], names=["doc_id", "runs", "outer", "inner"])
+        inner = np.repeat(total >= max(least, size), till - at + 1)
+        at, till, total = (x[total >= least] for x in (at, till, total))
+        if not len(at):
+            continue
+        home = np.flatnonzero(np.r_[True, np.diff(doc[at]) != 0])
+        docs, bounds = doc[at][home], np.r_[home, len(at)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(docs),
+                _lists(bounds, start=start[at], end=end[till], words=total.astype(np.int32)),
+                _lists(2 * bounds, d=np.column_stack((d[at], d[till])).ravel(), first=np.tile([True, False], len(at))),
+                _lists(np.r_[np.searchsorted(doc[inner], docs), inner.sum()], d=d[inner], start=start[inner]),
+            ],
+            names=["doc_id", "runs", "outer", "inner"],
+        )
+
+
+def _lists(bounds: np.ndarray, **fields: np.ndarray) -> pa.Array:
+    """Lists of structs, list i from row bounds[i] to bounds[i + 1]."""
+    rows = pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], names=list(fields))
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), rows)
 
 
 def wanted_windows(runs: list[dict], places: list[dict], start: np.ndarray, end: np.ndarray, chunk_start: np.ndarray, chunk_end: np.ndarray, size: int) -> np.ndarray:
@@ -157,7 +188,9 @@ def wanted_windows(runs: list[dict], places: list[dict], start: np.ndarray, end:
         if r["words"] < size:
             take(begin(a), finish(b) - size)
             continue
-        lone += [np.arange(first_word[c], end_word[c], ANCHOR_WORDS) for c in range(a, b + 1)]
+        f = first_word[a : b + 1]
+        times = (end_word[a : b + 1] - f + ANCHOR_WORDS - 1) // ANCHOR_WORDS
+        lone.append(np.repeat(f, times) + ANCHOR_WORDS * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)))
         take(begin(a), int(first_word[a]))
         take(int(end_word[b]) - size, finish(b) - size)
     for p in places:
@@ -209,14 +242,14 @@ _PASSAGE = "struct<start: int, end: int, words: int, first_doc: long>"
 
 def _united(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, at, start, end, first_doc) sorted by doc_id, at -> each document's passages: unions of windows that overlap."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("first_doc", pa.int64())]))
-    for (doc,), t in groups(batches, ["doc_id"]):
-        at, start, end, home = (t.column(c).to_numpy() for c in ("at", "start", "end", "first_doc"))
-        first = np.flatnonzero(np.r_[True, np.diff(at) >= size])
+    for t in whole_documents(batches):
+        doc, at, start, end, home = (t.column(c).to_numpy() for c in ("doc_id", "at", "start", "end", "first_doc"))
+        first = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(at) >= size)])
         last = np.r_[first[1:], len(at)] - 1
-        low = np.minimum.reduceat(home, first)
-        rows = [{"start": int(start[a]), "end": int(end[b]), "words": int(at[b] - at[a]) + size, "first_doc": int(f)} for a, b, f in zip(first, last, low)]
-        yield pa.RecordBatch.from_arrays([pa.array([doc], type=pa.int64()), pa.array([rows], type=kind)], names=["doc_id", "passages"])
+        begins = np.flatnonzero(np.r_[True, np.diff(doc[first]) != 0])
+        words = (at[last] - at[first] + size).astype(np.int32)
+        passages = _lists(np.r_[begins, len(first)], start=start[first], end=end[last], words=words, first_doc=np.minimum.reduceat(home, first))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first][begins]), passages], names=["doc_id", "passages"])
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
