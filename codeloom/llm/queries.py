@@ -11,6 +11,7 @@ from . import ann
 from .chunk_dedup import repeated_passages
 from .common import table
 from .decontaminate import contamination
+from .id_planes import read_ids, write_ids
 from .licenses import scan_licenses
 from .near_dedup import near_duplicates
 from .piece_codec import encode_checked
@@ -86,6 +87,14 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), (85, 100))
 
 
+def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and ids in files of id planes, as read from the files. Cases as in write_ids()."""
+    import public_tokenizers
+
+    files = write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP3_SQL = rf"""
@@ -127,5 +136,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_token_planes": op11_token_planes,
 }
 ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op9_near_dedup": OP9_SQL}
