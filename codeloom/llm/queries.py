@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from .licenses import scan_licenses
 from .near_dedup import near_duplicates
 from .piece_codec import encode_checked
 from .quality import score_quality, train_quality
+from .runs import collapse_runs
 from .secrets import secret_report
 from .token_count import count_tokens
 from .toxicity import score_toxicity, train_toxicity
@@ -95,6 +97,30 @@ def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Words of one document in ten, told by its id, with a tail in which a few words return again and again; others as they are."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-((a - n) // p)))[: n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, and digests of all of them and of the words that are kept. Cases as in collapse_runs()."""
+    found = collapse_runs(table(spark, sf_dir, "documents"), 12, repeat_tail)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    rows = found.withColumn("best", longest).withColumn("length", -F.col("best.less"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), "length", F.col("best.period").alias("period"),
+        F.expr("1000 * length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP3_SQL = rf"""
@@ -125,6 +151,28 @@ SELECT r.doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(c) AS co
 FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
 """
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT doc_id, w, len(w) AS n, xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+        lambda s, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(s, b)), 4294967295), 4294967295) AS h FROM d),
+t AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM c),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM t),
+e AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS s FROM e, unnest(range(n - 5)) AS u(i)),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i),
+k AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+l AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM k GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM l WHERE length >= 12 AND length >= 2 * q GROUP BY doc_id, start, length),
+b AS (SELECT doc_id, count(*) AS n_runs, first({'s': start, 'l': length, 'p': period} ORDER BY length DESC, start, period) AS best,
+             string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i FROM r, unnest(range(start + period, start + length)) AS u(i)),
+words AS (SELECT doc_id, i, w[i + 1] AS x FROM e, unnest(range(n)) AS u(i)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length, CAST(best.p AS BIGINT) AS period,
+       CAST(1000 * best.l // best.p AS BIGINT) AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -137,5 +185,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_token_planes": op11_token_planes,
+    "op12_periodic_runs": op12_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op9_near_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op9_near_dedup": OP9_SQL, "op12_periodic_runs": OP12_SQL}
