@@ -131,14 +131,11 @@ class Finder:
         self.block, self.most = block, most
         self.seen = self.multiplied = 0
 
-    def _finish(self, anchor: np.ndarray, own: int, rows: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
-        """Of rows the first with exact scores from low to high: (rows, scores)."""
-        score = self.block.exact(anchor, rows)
+    def _scored(self, anchor: np.ndarray, own: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows but the anchor itself, with their exact scores."""
+        rows = rows[self.block.place[rows] != own]
         self.multiplied += len(rows)
-        keep = (score >= low) & (score <= high) & (self.block.place[rows] != own)
-        rows, score = rows[keep], score[keep]
-        first = _best(score, self.block.vec_id[rows], self.block.place[rows], self.most)
-        return rows[first], score[first]
+        return rows, self.block.exact(anchor, rows)
 
     def positives(self, anchors: np.ndarray, owns: np.ndarray, label: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """The first rows of `label` for each anchor, itself left out."""
@@ -154,7 +151,7 @@ class Finder:
                 before = held[i][1]
                 least = max(_kth(at_least[i], self.most), _kth(before, self.most))
                 rows = s + np.flatnonzero(score[i] + off[i] >= least)
-                held[i] = self._merged(held[i], self._finish(anchors[i], owns[i], rows, -np.inf, np.inf))
+                held[i] = self._merged(held[i], self._scored(anchors[i], owns[i], rows))
         return held
 
     def windows(self, anchors: np.ndarray, owns: np.ndarray, label: int, highs: list[list[int]], share: tuple[int, int]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
@@ -168,19 +165,21 @@ class Finder:
             self.seen += score.size
             for i, anchor in enumerate(anchors):
                 at_least, at_most = score[i] - off[i], score[i] + off[i]
-                for j, high in enumerate(highs[i]):
-                    low = -(-share[0] * high // share[1])
-                    if low > high:
-                        continue
-                    sure = at_least[(at_most <= high) & (at_least >= low)]
-                    least = max(low, _kth(sure, self.most), _kth(held[i][j][1], self.most))
-                    rows = s + np.flatnonzero((at_most >= least) & (at_least <= high))
-                    held[i][j] = self._merged(held[i][j], self._finish(anchor, owns[i], rows, low, high))
+                lows = [-(-share[0] * high // share[1]) for high in highs[i]]
+                may = np.zeros(e - s, dtype=bool)
+                for j, (low, high) in enumerate(zip(lows, highs[i])):
+                    if low <= high:
+                        sure = at_least[(at_most <= high) & (at_least >= low)]
+                        least = max(low, _kth(sure, self.most), _kth(held[i][j][1], self.most))
+                        may |= (at_most >= least) & (at_least <= high)
+                rows, true = self._scored(anchor, owns[i], s + np.flatnonzero(may))
+                for j, (low, high) in enumerate(zip(lows, highs[i])):
+                    inside = (true >= low) & (true <= high)
+                    held[i][j] = self._merged(held[i][j], (rows[inside], true[inside]))
         return held
 
     def _merged(self, one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        if not len(one[0]):
-            return two
+        """The first of two sets of rows with their scores."""
         rows, score = np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
         first = _best(score, self.block.vec_id[rows], self.block.place[rows], self.most)
         return rows[first], score[first]

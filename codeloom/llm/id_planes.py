@@ -84,9 +84,10 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         head = piece.rstrip(PUNCTUATION)
-        if not self.parts or not head.isalpha() or not (head.isascii() or max(head) < STABLE):
+        low = head.lower()
+        if not self.parts or not (head.isalpha() and low.isalpha()) or not (head.isascii() or max(head) < STABLE):  # some small letters hold a mark
             return self.library(piece)
-        word = head.lower() if self.small and head.isascii() else head
+        word = low if self.small and head.isascii() else head
         return self.words[word] + self.words[piece[len(head) :]] if len(head) < len(piece) else self.words[word]
 
     def encode(self, text: str) -> bytes:
