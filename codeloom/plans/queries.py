@@ -64,7 +64,7 @@ def stats_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
 def retrieve_prefilter_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The five units of highest containment of each query, among those that share anything."""
     wanted = queries(spark, sf).select("query_id", F.array_distinct("fingerprint").alias("want")).where("size(want) > 0")
-    top = R.overlaps(wanted, knowledge(spark, sf), "text_fingerprint", 5).join(wanted, "query_id")
+    top = R.overlaps(wanted, R.Scanned(knowledge(spark, sf), "text_fingerprint"), 5).join(wanted, "query_id")
     return top.select("query_id", F.col("t.id").alias("id"), "rk", F.col("n").cast("long").alias("n"), (F.col("n") / F.size("want")).alias("containment"))
 
 

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +22,7 @@ def db(sf_dir):
 
 
 def rows(df):
-    show = lambda v: f"{v:.9g}" if isinstance(v, float) and v == v else "" if v is None or v != v else str(v)
+    show = lambda v: "" if v is None or v is pd.NA or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted(tuple(show(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
