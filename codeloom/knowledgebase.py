@@ -11,6 +11,7 @@ from .config import load_languages
 from .functions.text import ngram_fingerprint
 from .operators import ingest, retrieve, scan
 from .operators.store import KnowledgeTable
+from .tables import saved
 from .sources.files import read_archives, read_directory
 
 
@@ -42,7 +43,7 @@ class KnowledgeBase:
 
     def update_from_sources(self, sources: DataFrame, replace: bool = False) -> DataFrame:
         """Ingest and store; the counts by repository."""
-        extracted = self.ingest(sources).cache()
+        extracted = saved(self.ingest(sources))
         self.update(extracted, replace)
         return ingest.counts(sources, extracted)
 
@@ -58,7 +59,7 @@ class KnowledgeBase:
         return self.table.load()
 
     def search(self, query: str, language: str | None = None, repository: str | None = None, kind: str | None = None, shots: int | None = None) -> DataFrame:
-        return scan.search(self.load(), query, language, repository, kind, shots)
+        return self.table.search(query, language, repository, kind, shots)
 
     def scan(self, language: str | None = None, repository: str | None = None, kind: str | None = None, limit: int | None = None) -> DataFrame:
         return scan.scan(self.load(), language, repository, kind, limit)
@@ -67,19 +68,19 @@ class KnowledgeBase:
         return scan.by_ids(self.load(), ids)
 
     def stats(self) -> dict:
-        return scan.stats_dict(self.load())
+        return scan.stats_dict(self.table.stats())
 
     # retrieve
 
     def knowledge_retrieve(self, queries: DataFrame | Sequence[str], language: str, shots: int = 5, repository: str | None = None, limit: int = -1, max_candidates: int = -1) -> DataFrame:
         """By structure. queries: (query_id, text), or a list of texts. Queries that can't be parsed have no rows; an empty text still has a root."""
         q = self._queries(queries).select("query_id", ingest.structure_fp(F.col("text"), F.lit(language)).alias("fingerprint")).where("fingerprint is not null")
-        return retrieve.retrieve(q, self.load(), "structure_fingerprint", shots, language, repository, limit, max_candidates)
+        return retrieve.retrieve(q, self.table.index("structure_fingerprint", language or None, repository or None), "structure_fingerprint", shots, limit=limit, max_candidates=max_candidates)
 
     def information_retrieve(self, queries: DataFrame | Sequence[str], language: str | None = None, shots: int = 5, repository: str | None = None, limit: int = -1, max_candidates: int = -1) -> DataFrame:
         """By words. Queries without words have no rows."""
         q = self._queries(queries).select("query_id", ngram_fingerprint("text", self.n).alias("fingerprint")).where("fingerprint is not null")
-        return retrieve.retrieve(q, self.load(), "text_fingerprint", shots, language, repository, limit, max_candidates)
+        return retrieve.retrieve(q, self.table.index("text_fingerprint", language or None, repository or None), "text_fingerprint", shots, limit=limit, max_candidates=max_candidates)
 
     def _queries(self, queries: DataFrame | Sequence[str]) -> DataFrame:
         if isinstance(queries, DataFrame):

@@ -70,10 +70,10 @@ def stats(kb: DataFrame) -> DataFrame:
     return grouped.select(named.alias("dimension"), value.alias("value"), "n")
 
 
-def stats_dict(kb: DataFrame) -> dict:
-    """stats() on the driver: a total and three maps."""
+def stats_dict(counted: DataFrame) -> dict:
+    """Rows of stats() on the driver: a total and three maps."""
     out: dict = {"total": 0, "by_language": {}, "by_repository": {}, "by_kind": {}}
-    for r in stats(kb).collect():
+    for r in counted.collect():
         if r.dimension == "total":
             out["total"] = r.n
         else:
