@@ -140,12 +140,14 @@ def write_segment(rows: DataFrame, at: str, buckets: int) -> None:
     spark = rows.sparkSession
     cut = rows.withColumn("bucket", bucket_of("h", buckets)).hint("rebalance", "bucket")
     cut.sortWithinPartitions("bucket", "h").write.partitionBy("bucket").parquet(f"{at}/postings")
-    back = spark.read.schema(f"{POSTING}, bucket int").parquet(f"{at}/postings")
-    back.groupBy("h").agg(F.sum("sign").alias("n")).where(F.col("n") >= FREQUENT).write.parquet(f"{at}/frequent")
+    _read(spark, [at]).groupBy("h").agg(F.sum("sign").alias("n")).where(F.col("n") >= FREQUENT).write.parquet(f"{at}/frequent")
+
+
+def _read(spark: SparkSession, segments: Iterable[str]) -> DataFrame:
+    return spark.read.schema(POSTING).option("recursiveFileLookup", "true").parquet(*[f"{s}/postings" for s in segments])
 
 
 def merge(spark: SparkSession, segments: Iterable[str], at: str, buckets: int) -> None:
     """All segments as one: what was gained and lost again is gone."""
-    rows = spark.read.schema(f"{POSTING}, bucket int").parquet(*[f"{s}/postings" for s in segments])
-    net = rows.groupBy("h", "id", "language", "repository").agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0")
+    net = _read(spark, segments).groupBy("h", "id", "language", "repository").agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0")
     write_segment(net.select("h", "id", "sign", "language", "repository"), at, buckets)

@@ -8,9 +8,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from codeloom.plans import more_oracles, more_queries, oracles, queries
+from codeloom.plans import more_oracles, more_queries, oracles, queries, stored_queries
 
-ORACLES, QUERIES = oracles.ORACLES | more_oracles.ORACLES, queries.QUERIES | more_queries.QUERIES
+ORACLES = oracles.ORACLES | more_oracles.ORACLES | stored_queries.ORACLES
+QUERIES = queries.QUERIES | more_queries.QUERIES | stored_queries.QUERIES
 
 
 @pytest.fixture(scope="module")
