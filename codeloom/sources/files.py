@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
+import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -14,23 +13,33 @@ from pyspark.sql import types as T
 from ..config import by_extension
 from ..functions.text import extension, language_of
 from ..operators.evaluate import calibration_best, indexed, merged
+from .planned import SOURCE, ArchiveSource, TreeSource, decode_text, open_fs  # noqa: F401
 
-SOURCE = "repository string, relative_path string, file_extension string, language string, content string, error string"
+def _planned(spark: SparkSession, source: type, path: str, languages: dict[str, list[str]] | None, **options) -> DataFrame:
+    spark.dataSource.register(source)
+    return spark.read.format(source.name()).options(languages=json.dumps(by_extension(languages)), **options).load(path)
 
 
-def decode_text(data: bytes) -> str:
-    """UTF-8, invalid bytes dropped, line ends as in text mode."""
-    return data.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
+def _served(path: str) -> bool:
+    try:
+        open_fs(path)
+    except (ValueError, OSError):
+        return False
+    return True
 
 
-def read_directory(spark: SparkSession, path: str, repository: str = "", languages: dict[str, list[str]] | None = None) -> DataFrame:
-    """Supported files below path, by extension, letter case counted -> SOURCE rows with paths relative to it."""
-    known = by_extension(languages)
+def read_directory(spark: SparkSession, path: str, repository: str = "", languages: dict[str, list[str]] | None = None, **options) -> DataFrame:
+    """Supported files below path, by extension, letter case counted -> SOURCE rows with paths relative to it. Other files are not opened.
+
+    Stores that only Spark reads are read as binary files, all of them. options: partitionBytes, partitionFiles.
+    """
+    if _served(path):
+        return _planned(spark, TreeSource, path, languages, repository=repository, **options)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = path.rstrip("/")
     relative = F.regexp_replace(F.element_at(F.split("path", F.concat(F.lit(r"\Q"), F.lit(root), F.lit(r"\E"))), -1), "^/+", "")
     rows = files.select(relative.alias("relative_path"), "content").withColumn("file_extension", extension("relative_path"))
-    rows = rows.withColumn("language", language_of("file_extension", known)).where("language is not null")
+    rows = rows.withColumn("language", language_of("file_extension", by_extension(languages))).where("language is not null")
 
     def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -40,39 +49,14 @@ def read_directory(spark: SparkSession, path: str, repository: str = "", languag
     return read.select(F.lit(repository).alias("repository"), *read.columns, F.lit(None).cast("string").alias("error"))
 
 
-def read_archives(spark: SparkSession, path: str, languages: dict[str, list[str]] | None = None) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, languages: dict[str, list[str]] | None = None, **options) -> DataFrame:
     """Members of the *.zip files in a directory -> SOURCE rows; the archive's stem is the repository, and a member's first path part is
-    dropped if it has more. A bad archive gives one row with its error and no path, so it is reported and doesn't stop the rest."""
-    known = by_extension(languages)
-    zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    dropped if it has more. A bad archive, and a bad member, gives one row with its error and no path, so it is reported and doesn't stop the rest.
+
+    For stores that pyarrow reads. options: partitionBytes, partitionFiles.
+    """
+    return _planned(spark, ArchiveSource, path, languages, **options)
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at, data in zip(b["path"], b["content"]):
-                repo = at.rsplit("/", 1)[-1][: -len(".zip")]
-                rows: list[tuple] = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
-                        for m in z.infolist():
-                            name = m.filename.rsplit("/", 1)[-1]
-                            dot = name.rfind(".")
-                            ext = name[dot:] if dot > 0 else ""
-                            if m.is_dir() or ext not in known:
-                                continue
-                            parts = m.filename.split("/")
-                            rows.append((repo, "/".join(parts[1:]) if len(parts) > 1 else m.filename, ext, known[ext], decode_text(z.read(m)), None))
-                            if len(rows) >= 256:
-                                yield pd.DataFrame(rows, columns=_SOURCE_COLUMNS)
-                                rows = []
-                except Exception as e:  # a damaged archive is a row, not a failed job
-                    rows.append((repo, None, None, None, None, str(e)[:80]))
-                if rows:
-                    yield pd.DataFrame(rows, columns=_SOURCE_COLUMNS)
-
-    return zips.mapInPandas(members, SOURCE)
-
-
-_SOURCE_COLUMNS = [x.split()[0] for x in SOURCE.split(", ")]
 
 REFERENCE = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("repository", "relative_path", "language", "kind", "qualified_name")]

@@ -97,6 +97,42 @@ def test_sources(spark, tmp_path):
     assert nested[1].f and nested[1].ok and nested[0].ok is False
 
 
+def test_one_archive_is_read_by_many_tasks(spark, tmp_path):
+    """A run of members each, found by the directory alone; other members, were they broken, are not touched."""
+    texts = {f"repo-main/d{i % 7}/f{i}.c": f"int f{i}() {{ return {i}; }}\n" * (i % 50 + 1) for i in range(1000)}
+    with zipfile.ZipFile(tmp_path / "repo.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for i, (name, text) in enumerate(texts.items()):
+            z.writestr(name, text, zipfile.ZIP_STORED if i % 3 else None)
+            z.writestr(name + ".bin", bytes(2000), zipfile.ZIP_STORED)
+    raw = bytearray((tmp_path / "repo.zip").read_bytes())
+    with zipfile.ZipFile(tmp_path / "repo.zip") as z:
+        broken = z.getinfo("repo-main/d5/f5.c")
+        for m in z.infolist():
+            if m.filename.endswith(".bin"):
+                raw[m.header_offset : m.header_offset + 4] = b"XXXX"  # no one looks here
+    raw[broken.header_offset + 30 + len(broken.filename) + 3] ^= 1
+    (tmp_path / "repo.zip").write_bytes(raw)
+    df = read_archives(spark, str(tmp_path), partitionFiles=100)
+    assert df.rdd.getNumPartitions() == 10 and read_archives(spark, str(tmp_path), partitionBytes=20_000).rdd.getNumPartitions() > 10
+    rows = df.collect()
+    bad = [r for r in rows if r.error]
+    assert len(bad) == 1 and "d5/f5.c" in bad[0].error and bad[0].relative_path is None
+    assert {f"repo-main/{r.relative_path}": r.content for r in rows if not r.error} == {k: v for k, v in texts.items() if k != "repo-main/d5/f5.c"}
+    assert {(r.repository, r.language, r.file_extension) for r in rows if not r.error} == {("repo", "C", ".c")}
+
+
+def test_trees_are_listed_before_they_are_read(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"t/s{i % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"t/s{i % 3}/f{i}.java").write_text(f"class F{i} {{}}")
+        (tmp_path / f"t/s{i % 3}/f{i}.dat").write_bytes(bytes(100))
+        (tmp_path / f"t/s{i % 3}/f{i}.dat").chmod(0)
+    df = read_directory(spark, f"file://{tmp_path}/t", "r", partitionFiles=7)
+    assert df.rdd.getNumPartitions() == 5 and {r.relative_path for r in df.collect()} == {f"s{i % 3}/f{i}.java" for i in range(30)}
+    (tmp_path / "none").mkdir()
+    assert read_directory(spark, str(tmp_path / "none")).count() == 0 == read_archives(spark, str(tmp_path / "none")).count()
+
+
 def test_udfs(spark):
     df = spark.createDataFrame([("int a;", "C"), (None, "C"), ("(", "C"), ("x", "Perl")], "c string, l string").coalesce(1)
     got = [tuple(r) for r in df.select(structure_fp("c", "l"), syntax_ok("c", "l")).collect()]
