@@ -7,11 +7,14 @@ of one DataFrame.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import edit_similarity, first_line, without_space
+from ..tables import saved
+from .quantiles import exact_medians, weighted_medians
 
 # The targets that gaps are measured from, and labels of the metrics.
 TARGET_EM, TARGET_ES = 0.25, 0.5877
@@ -151,10 +154,6 @@ def _mean(name: str, where: Column) -> Column:
     return F.avg(F.when(where, F.col(name).cast("double")))
 
 
-def _median(name: str, where: Column) -> Column:
-    return F.median(F.when(where, F.col(name).cast("double")))
-
-
 def _rate(flag: Column, where: Column) -> Column:
     return F.avg(F.when(where, F.coalesce(flag, F.lit(False)).cast("double")))
 
@@ -163,87 +162,179 @@ def _status_counts(*names: str) -> dict[str, Column]:
     return {f"samples_{n}": F.count_if(F.col("comparison_status") == n) for n in names}
 
 
-def _first(name: str) -> Column:
-    """Of the record with the least sample_index."""
-    return F.min_by(F.col(name), F.col("sample_index"))
+# summaries: what they hold is told once, and worked out either over records or over states of shards
 
 
-def generation_summary(records: DataFrame) -> DataFrame:
-    """Scored records -> one row with counts, means and medians in three scopes: applied, all valid, and strict in both."""
-    ok, used = valid(), applied()
+@dataclass(frozen=True)
+class Field:
+    """A summary's column: count (rows where), mean or median (of value where), first (value of the record of least sample_index), or text (a constant)."""
+
+    kind: str
+    value: Column | None = None
+    where: Column | None = None
+    type: str = "string"
+
+    def chosen(self) -> Column:
+        return F.when(self.where, self.value.cast("double"))
+
+
+def _counts(**where: Column) -> dict[str, Field]:
+    return {k: Field("count", where=w) for k, w in where.items()}
+
+
+def _status_fields(*names: str) -> dict[str, Field]:
+    return {f"samples_{n}": Field("count", where=F.col("comparison_status") == n) for n in names}
+
+
+def _whole(name: str, where: Column) -> Field:
+    """The mean of an integer column."""
+    return Field("mean", F.col(name), where)
+
+
+def generation_fields() -> dict[str, Field]:
+    """Counts, means and medians of scored records in three scopes: applied, all valid, and strict in both."""
+    ok, used, every = valid(), applied(), F.lit(True)
     fallback = F.contains(F.coalesce(F.col("prompt_extraction_mode_used"), F.lit("")), F.lit("fallback"))
-    out: dict[str, Column] = {
-        "prompt_mode": _first("prompt_mode"),
-        "prompt_builder_requested": _first("prompt_builder_requested"),
-        "prompt_builder": _first("prompt_extraction_mode_used"),
-        "stop_policy": _first("stop_policy"),
-        "decode_policy": _first("decode_policy"),
-        "beam_size": _first("beam_size"),
-        "reference_shots": _first("reference_shots_requested"),
-        "max_new_tokens": _first("max_new_tokens_requested"),
-        "generation_policy": F.coalesce(F.nullif(_first("decode_policy"), F.lit("")), F.lit(GENERATION_POLICY)),
-        "stop_boundary": F.coalesce(F.nullif(_first("stop_policy"), F.lit("")), F.lit(STOP_BOUNDARY)),
-        **{k: F.first(F.lit(v)) for k, v in DEFINITIONS.items()},
-        "target_em_no_reference": F.first(F.lit(TARGET_EM)),
-        "target_es_no_reference": F.first(F.lit(TARGET_ES)),
-        "samples_total": F.count("*"),
-        "samples_valid": F.count_if(ok),
-        "samples_with_reference_candidates": F.count_if(F.col("reference_candidates_considered") > 0),
-        "samples_with_reference_applied": F.count_if(used),
-        **_status_counts("no_reference_candidates", "reference_budget_zero", "invalid_prompt_context", "runtime_error"),
+    first = lambda name, kind="string": Field("first", F.col(name), type=kind)
+    rate = lambda flag, where: Field("mean", F.coalesce(flag, F.lit(False)), where)
+    out: dict[str, Field] = {
+        "prompt_mode": first("prompt_mode"),
+        "prompt_builder_requested": first("prompt_builder_requested"),
+        "prompt_builder": first("prompt_extraction_mode_used"),
+        "stop_policy": first("stop_policy"),
+        "decode_policy": first("decode_policy"),
+        "beam_size": first("beam_size", "int"),
+        "reference_shots": first("reference_shots_requested", "int"),
+        "max_new_tokens": first("max_new_tokens_requested", "int"),
+        **{k: Field("text", F.lit(v)) for k, v in DEFINITIONS.items()},
+        "target_em_no_reference": Field("text", F.lit(TARGET_EM)),
+        "target_es_no_reference": Field("text", F.lit(TARGET_ES)),
+        **_counts(samples_total=every, samples_valid=ok, samples_with_reference_candidates=F.col("reference_candidates_considered") > 0, samples_with_reference_applied=used),
+        **_status_fields("no_reference_candidates", "reference_budget_zero", "invalid_prompt_context", "runtime_error"),
     }
     for m in ("em", "es"):
         change = F.col(f"{m}_improvement_abs")
-        out |= {f"{m}_improved_count": F.count_if(used & (change > 0)), f"{m}_worse_count": F.count_if(used & (change < 0)), f"{m}_same_count": F.count_if(used & (change == 0))}
-    for m in ("em", "es"):
-        for name in (f"{m}_no_reference", f"{m}_with_reference", f"{m}_improvement_abs"):
-            out |= {f"mean_{name}": _mean(name, used), f"median_{name}": _median(name, used)}
+        out |= _counts(**{f"{m}_improved_count": used & (change > 0), f"{m}_worse_count": used & (change < 0), f"{m}_same_count": used & (change == 0)})
+    scopes = [("", f"{m}{tail}", used) for m in ("em", "es") for tail in ("_no_reference", "_with_reference", "_improvement_abs")]
     for m in ("em", "es"):
-        out |= {f"all_valid_mean_{m}_no_reference": _mean(f"{m}_no_reference", ok), f"all_valid_median_{m}_no_reference": _median(f"{m}_no_reference", ok)}
-        for side in SIDES:
-            out |= {f"strict_mean_{m}_{side}": _mean(f"strict_{m}_{side}", used), f"strict_median_{m}_{side}": _median(f"strict_{m}_{side}", used)}
-        out |= {f"all_valid_strict_mean_{m}_no_reference": _mean(f"strict_{m}_no_reference", ok), f"all_valid_strict_median_{m}_no_reference": _median(f"strict_{m}_no_reference", ok)}
+        scopes += [("all_valid_", f"{m}_no_reference", ok), *[("", f"strict_{m}_{side}", used) for side in SIDES], ("all_valid_", f"strict_{m}_no_reference", ok)]
+    for scope, name, where in scopes:
+        strict, bare = ("strict_", name.removeprefix("strict_")) if name.startswith("strict_") else ("", name)
+        for kind in ("mean", "median"):
+            out[f"{scope}{strict}{kind}_{bare}"] = Field(kind, F.col(name), where)
     out |= {
-        "gap_to_target_em": F.lit(TARGET_EM) - _mean("em_no_reference", used),
-        "gap_to_target_es": F.lit(TARGET_ES) - _mean("es_no_reference", used),
-        "empty_prediction_rate_no_reference": _rate(F.col("empty_prediction_no_reference"), ok),
-        "empty_prediction_rate_with_reference": _rate(F.col("empty_prediction_with_reference"), used),
-        "docstring_found_rate": _rate(F.col("docstring_found"), ok),
-        "prompt_extraction_fallback_rate": _rate(fallback, ok),
-        "mean_groundtruth_token_count": _mean("groundtruth_token_count", ok),
-        "mean_reference_token_count": _mean("reference_token_count", used),
-        "mean_reference_used_count": _mean("reference_used_count", used),
-        "mean_prediction_token_count_no_reference": _mean("prediction_token_count_no_reference", ok),
-        "mean_prediction_token_count_with_reference": _mean("prediction_token_count_with_reference", used),
+        "empty_prediction_rate_no_reference": rate(F.col("empty_prediction_no_reference"), ok),
+        "empty_prediction_rate_with_reference": rate(F.col("empty_prediction_with_reference"), used),
+        "docstring_found_rate": rate(F.col("docstring_found"), ok),
+        "prompt_extraction_fallback_rate": rate(fallback, ok),
     }
-    return records.agg(*[c.alias(k) for k, c in out.items()])
+    for name, where in (("groundtruth", ok), ("reference", used), ("prediction_no_reference", ok), ("prediction_with_reference", used)):
+        column = f"{name}_token_count" if "prediction" not in name else f"prediction_token_count_{name.removeprefix('prediction_')}"
+        out[f"mean_{column}"] = _whole(column, where)
+    return out | {"mean_reference_used_count": _whole("reference_used_count", used)}
+
+
+def _generation_rest(row: DataFrame) -> DataFrame:
+    """What follows from other columns of a generation summary."""
+    named = lambda c, default: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default))
+    return row.withColumns(
+        {
+            "generation_policy": named("decode_policy", GENERATION_POLICY),
+            "stop_boundary": named("stop_policy", STOP_BOUNDARY),
+            "gap_to_target_em": F.lit(TARGET_EM) - F.col("mean_em_no_reference"),
+            "gap_to_target_es": F.lit(TARGET_ES) - F.col("mean_es_no_reference"),
+        }
+    )
 
 
-def ppl_summary(records: DataFrame) -> DataFrame:
+def ppl_fields() -> dict[str, Field]:
     ok, used = ppl_valid(), ppl_applied()
     change = F.col("log_ppl_improvement_abs")
     out = {
-        "reference_shots": _first("reference_shots_requested"),
-        "prompt_tail_lines": _first("prompt_tail_lines_requested"),
-        "metric_scope": F.first(F.lit(DEFINITIONS["metric_scope"])),
-        "samples_total": F.count("*"),
-        "samples_valid": F.count_if(ok),
-        "samples_with_reference_candidates": F.count_if(F.col("reference_candidates_considered") > 0),
-        "samples_with_reference_applied": F.count_if(used),
-        **_status_counts(*STATUSES[1:]),
-        "improved_count": F.count_if(used & (change > 0)),
-        "worse_count": F.count_if(used & (change < 0)),
-        "same_count": F.count_if(used & (change == 0)),
-        "mean_log_ppl_no_reference": _mean("log_ppl_no_reference", used),
-        "mean_log_ppl_with_reference": _mean("log_ppl_with_reference", used),
-        "mean_log_ppl_improvement_abs": _mean("log_ppl_improvement_abs", used),
-        "all_valid_mean_log_ppl_no_reference": _mean("log_ppl_no_reference", ok),
+        "reference_shots": Field("first", F.col("reference_shots_requested"), type="int"),
+        "prompt_tail_lines": Field("first", F.col("prompt_tail_lines_requested"), type="int"),
+        "metric_scope": Field("text", F.lit(DEFINITIONS["metric_scope"])),
+        **_counts(samples_total=F.lit(True), samples_valid=ok, samples_with_reference_candidates=F.col("reference_candidates_considered") > 0, samples_with_reference_applied=used),
+        **_status_fields(*STATUSES[1:]),
+        **_counts(improved_count=used & (change > 0), worse_count=used & (change < 0), same_count=used & (change == 0)),
+        **{f"mean_{n}": Field("mean", F.col(n), used) for n in ("log_ppl_no_reference", "log_ppl_with_reference", "log_ppl_improvement_abs")},
+        "all_valid_mean_log_ppl_no_reference": Field("mean", F.col("log_ppl_no_reference"), ok),
     }
     for name in ("groundtruth_token_count", "prompt_tail_line_count_observed", "prompt_tail_token_count_full", "prompt_token_count_used_no_reference"):
-        out[f"mean_{name}"] = _mean(name, ok)
+        out[f"mean_{name}"] = _whole(name, ok)
     for name in ("prompt_token_count_used_with_reference", "reference_token_count", "reference_used_count"):
-        out[f"mean_{name}"] = _mean(name, used)
-    return records.agg(*[c.alias(k) for k, c in out.items()])
+        out[f"mean_{name}"] = _whole(name, used)
+    return out
+
+
+def summarise(records: DataFrame, fields: dict[str, Field]) -> DataFrame:
+    """One row with all fields, from records: one aggregate, and the passes that medians take, over what the fields need of the records."""
+    needed = {"count": lambda f: f.where, "mean": Field.chosen, "median": Field.chosen, "first": lambda f: f.value}
+    base = records.select(F.col("sample_index").alias("sample_index"), *[needed[f.kind](f).alias(k) for k, f in fields.items() if f.kind in needed])
+    medians = [k for k, f in fields.items() if f.kind == "median"]
+    base = saved(base) if medians else base
+    made = {"count": lambda k, f: F.count_if(k), "mean": lambda k, f: F.avg(k), "first": lambda k, f: F.min_by(k, "sample_index"), "text": lambda k, f: F.first(f.value)}
+    row = base.agg(*[made[f.kind](k, f).alias(k) for k, f in fields.items() if f.kind != "median"])
+    return row.crossJoin(F.broadcast(exact_medians(base, {k: F.col(k) for k in medians}))).select(*fields) if medians else row
+
+
+#: A state's rows: counts (n), means (n and total), firsts (text of the record least), and how often a value is met (value, n).
+STATE = "name string, kind string, n long, total double, least long, text string, value double"
+
+
+def summary_state(records: DataFrame, fields: dict[str, Field]) -> DataFrame:
+    """What a shard's records add to a summary: a few rows, and for medians a row for each different value."""
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def row(name: str, kind: str, n=None, total=None, least=None, text=None) -> Column:
+        n, total, least, text = (none(t) if c is None else c.cast(t) for c, t in ((n, "long"), (total, "double"), (least, "long"), (text, "string")))
+        return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), n.alias("n"), total.alias("total"), least.alias("least"), text.alias("text"), none("double").alias("value"))
+
+    rows = []
+    for k, f in fields.items():
+        if f.kind == "count":
+            rows.append(row(k, f.kind, F.count_if(f.where)))
+        elif f.kind == "mean":
+            rows.append(row(k, f.kind, F.count(f.chosen()), F.sum(f.chosen())))
+        elif f.kind == "first":
+            rows.append(row(k, f.kind, least=F.min("sample_index"), text=F.min_by(f.value.cast("string"), F.col("sample_index"))))
+    told = records.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    pairs = [F.struct(F.lit(k).alias("name"), f.chosen().alias("value")) for k, f in fields.items() if f.kind == "median"]
+    if not pairs:
+        return told
+    met = records.select(F.explode(F.array(*pairs)).alias("x")).where("x.value is not null and not isnan(x.value)").groupBy("x.name", "x.value").agg(F.count("*").alias("n"))
+    met = met.select("name", F.lit("median").alias("kind"), "n", none("double").alias("total"), none("long").alias("least"), none("string").alias("text"), "value")
+    return told.unionByName(met)
+
+
+def merged_summary(states: DataFrame, fields: dict[str, Field]) -> DataFrame:
+    """The summary of all records whose shards' states these are; no record is read."""
+    here = lambda k, c: F.when((F.col("name") == k) & (F.col("kind") != "median"), c)
+    made = {
+        "count": lambda k, f: F.coalesce(F.sum(here(k, F.col("n"))), F.lit(0)),
+        "mean": lambda k, f: F.sum(here(k, F.col("total"))) / F.nullif(F.sum(here(k, F.col("n"))), F.lit(0)),
+        "first": lambda k, f: F.min_by(F.col("text"), here(k, F.col("least"))).cast(f.type),
+        "text": lambda k, f: F.first(f.value),
+    }
+    row = states.agg(*[made[f.kind](k, f).alias(k) for k, f in fields.items() if f.kind != "median"])
+    medians = [k for k, f in fields.items() if f.kind == "median"]
+    if not medians:
+        return row
+    return row.crossJoin(F.broadcast(weighted_medians(states.where("kind = 'median'").select("name", "value", "n"), medians))).select(*fields)
+
+
+def generation_summary(records: DataFrame) -> DataFrame:
+    """Scored records -> one row with counts, means and medians in three scopes: applied, all valid, and strict in both."""
+    return _generation_rest(summarise(records, generation_fields()))
+
+
+def merged_generation_summary(states: DataFrame) -> DataFrame:
+    """As generation_summary(), from states of shards: summary_state(records, generation_fields())."""
+    return _generation_rest(merged_summary(states, generation_fields()))
+
+
+def ppl_summary(records: DataFrame) -> DataFrame:
+    return summarise(records, ppl_fields())
 
 
 def ppl_improvement(records: DataFrame) -> DataFrame:

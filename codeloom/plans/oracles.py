@@ -258,4 +258,11 @@ ORACLES: dict[str, str] = {
     "extension_language": EXTENSION,
     "structure_fold": FOLD,
     "ingest_units": INGEST,
+    "merged_summary_overall": _summary(),
+    "merged_ppl_summary": f"WITH {_PPL} SELECT {', '.join(_P_ALL)} FROM p",
+    "order_medians": "SELECT "
+    + ", ".join(f"round(median({c}), 9) AS {n}" for n, c in (("price", "CAST(l_extendedprice AS DOUBLE)"), ("quantity", "CAST(l_quantity AS DOUBLE)"), ("discount", "CAST(l_discount AS DOUBLE)"), ("nothing", "CAST(NULL AS DOUBLE)")))
+    + ", "
+    + ", ".join(f"round(median(CAST(l_extendedprice AS DOUBLE)) FILTER (WHERE l_returnflag = '{f}'), 9) AS price_{f.lower()}" for f in "ANR")
+    + " FROM lineitem",
 }

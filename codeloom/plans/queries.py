@@ -14,8 +14,10 @@ from ..operators import retrieve as R
 from ..operators import scan as S
 from ..operators.ingest import extract
 from ..operators.prompts import prompt_parts
+from ..operators.quantiles import exact_medians
 from ..operators.store import upsert
 from ..schema import KNOWLEDGE, RECORD
+from ..tables import saved
 from .views import knowledge, perplexities, queries, table, turns
 
 KEYS = ["id", "repository", "relative_path", "language", "kind", "qualified_name", "start_line", "end_line"]
@@ -122,6 +124,30 @@ def summary_overall(spark: SparkSession, sf: str, ascii_only: bool = True) -> Da
     return _rounded(E.generation_summary(E.with_scores(turns(spark, sf, ascii_only))))
 
 
+def _states(records: DataFrame, fields: dict) -> DataFrame:
+    """States of four shards, each from its own records."""
+    return E.merged([E.summary_state(E.shard(records, 4, r), fields) for r in range(4)])
+
+
+def merged_summary_overall(spark: SparkSession, sf: str, ascii_only: bool = True) -> DataFrame:
+    """As summary_overall, from states of four shards."""
+    scored = saved(E.with_scores(turns(spark, sf, ascii_only)))
+    return _rounded(E.merged_generation_summary(_states(scored, E.generation_fields())))
+
+
+def merged_ppl_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """As ppl_summary, from states of four shards."""
+    return _rounded(E.merged_summary(_states(E.ppl_improvement(perplexities(spark, sf)), E.ppl_fields()), E.ppl_fields()))
+
+
+def order_medians(spark: SparkSession, sf: str) -> DataFrame:
+    """Medians of prices, quantities and discounts of all lines, and of what lines with and without a return cost."""
+    li = table(spark, sf, "lineitem")
+    price = F.col("l_extendedprice").cast("double")
+    kinds = {f"price_{f.lower()}": F.when(F.col("l_returnflag") == f, price) for f in ("A", "N", "R")}
+    return _rounded(exact_medians(li, {"price": price, "quantity": F.col("l_quantity").cast("double"), "discount": F.col("l_discount").cast("double"), "nothing": F.lit(None).cast("double"), **kinds}))
+
+
 def summary_by_repository(spark: SparkSession, sf: str, ascii_only: bool = True) -> DataFrame:
     return _rounded(E.generation_by_repository(E.with_scores(turns(spark, sf, ascii_only))))
 
@@ -273,6 +299,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         retrieve_unbounded, hit_rate, upsert_last_wins, edit_similarity_ascii, score_records, summary_overall, summary_by_repository, ppl_summary, ppl_by_repository, ppl_shard_summaries,
         shard_summaries, merge_shards, split_filter, resume_anti_join, duplicate_task_check, augment_join, calibration_rank, reference_packing, reference_segments, tail_line_queries,
         log_ppl, extension_language, structure_fold, ingest_units, prompt_context, edit_similarity_all_turns, score_records_all_turns, summary_overall_all_turns, summary_by_repository_all_turns,
-        shard_summaries_all_turns, upsert_whole_table,
+        shard_summaries_all_turns, upsert_whole_table, merged_summary_overall, merged_ppl_summary, order_medians,
     )
 }

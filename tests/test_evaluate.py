@@ -1,6 +1,7 @@
 """Scores, packing, merges and summaries on small rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.operators import evaluate as E
 from codeloom.operators.prompts import build, merge_blocks, nearest_comment
@@ -83,3 +84,52 @@ def test_prompt_parts():
     assert build("typedef struct {\n  int a;\n", "strict")[3] == "type_declaration" and build("x = 1;\ny = 2;\n", "plus_local16")[3:5] == ("local_scope", 16)
     assert merge_blocks("a\nb", "b\nc") == "a\nb\nc" and merge_blocks("a", "x\na") == "x\na" and merge_blocks("a\n", "\nb", "\n\n") == "a\n\nb" and merge_blocks("", "b") == "b"
     assert nearest_comment(["/* a", "b */", "int x;"], 2) == "/* a\nb */" and nearest_comment(["// a"] + [""] * 30, 30) == "" and nearest_comment([], -1) == ""
+
+
+def test_exact_medians(spark):
+    """Against sorting: ties, one value, none, tiny and huge numbers, infinite ones, even and odd numbers of them."""
+    import random
+    import statistics
+
+    from codeloom.operators.quantiles import exact_medians, weighted_medians
+
+    rng = random.Random(6)
+    most = 1.7976931348623157e308
+    columns = {
+        "ties": [rng.choice([0.0, 1.0]) for _ in range(400)],
+        "spread": [rng.choice([1, -1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(399)],
+        "near": [1.0 + rng.random() * 1e-12 for _ in range(400)],
+        "ends": [-most, most, 0.5, float("inf"), float("-inf"), 0.25, 5e-324, -5e-324],
+        "one": [7.5],
+        "none": [],
+        "odd": [float("nan"), 2.0, 1.0, None],
+    }
+    rows = [tuple(v[i] if i < len(v) else None for v in columns.values()) for i in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(f"{k} double" for k in columns))
+    got = exact_medians(df, {k: F.col(k) for k in columns}).first().asDict()
+    plain = {k: [max(-most, min(most, x)) for x in v if x is not None and x == x] for k, v in columns.items()}
+    assert got == {k: statistics.median(v) if v else None for k, v in plain.items()}
+    counted = spark.createDataFrame([(k, x, 2 if i % 2 else 1) for k in ("ties", "spread") for i, x in enumerate(columns[k])] + [("none", 1.0, 1), ("none", 1.0, -1)], "name string, value double, n long")
+    want = {k: statistics.median([x for i, x in enumerate(columns[k]) for _ in range(2 if i % 2 else 1)]) for k in ("ties", "spread")}
+    assert weighted_medians(counted, ["ties", "spread", "none"]).first().asDict() == want | {"none": None}
+
+
+def test_states_of_shards_merge_to_the_summary(spark):
+    """Also where shards are empty, hold no valid record, or come in another order."""
+    from codeloom.operators import evaluate as E
+
+    rng = __import__("random").Random(3)
+    rows = [(i, "abc" * (i % 3), rng.choice(["abc", "abd", "", None]), rng.choice(["abc", "x", None]), i % 4 > 0, i % 3, rng.choice(E.STATUSES), f"mode{i}", i) for i in range(5, 60)]
+    df = spark.createDataFrame(rows, "sample_index long, groundtruth string, prediction_no_reference string, prediction_with_reference string, reference_applied boolean, reference_candidates_considered int, comparison_status string, prompt_mode string, beam_size int")
+    more = ["prompt_builder_requested", "prompt_extraction_mode_used", "stop_policy", "decode_policy"]
+    df = df.withColumns({c: F.lit("greedy") for c in more} | {c: F.lit(3) for c in ("reference_shots_requested", "max_new_tokens_requested", "groundtruth_token_count", "reference_token_count", "prediction_token_count_no_reference", "prediction_token_count_with_reference", "reference_used_count")} | {c: F.col("sample_index") % 7 == 0 for c in ("empty_prediction_no_reference", "empty_prediction_with_reference", "docstring_found")})
+    scored = E.with_scores(df)
+    shards = [scored.where(c) for c in ("sample_index >= 30", "sample_index < 20", "false", "sample_index between 20 and 29")]
+    state = E.merged([E.summary_state(s, E.generation_fields()) for s in shards])
+    assert state.columns == [c.split()[0] for c in E.STATE.split(", ")]
+    got, want = E.merged_generation_summary(state).first().asDict(), E.generation_summary(scored).first().asDict()
+    assert set(got) == set(want) and got["prompt_mode"] == "mode5" and got["beam_size"] == 5 and isinstance(got["beam_size"], int)
+    for k in want:
+        assert got[k] == want[k] or abs(got[k] - want[k]) < 1e-12, k
+    none = E.merged_generation_summary(E.summary_state(scored.limit(0), E.generation_fields())).first()
+    assert none.samples_total == 0 and none.mean_em_no_reference is None and none.median_es_no_reference is None
