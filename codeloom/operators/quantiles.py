@@ -11,10 +11,16 @@ from ..tables import saved
 CELLS, LARGEST = 1024, 1.7976931348623157e308
 
 
+def _octave(v: Column) -> Column:
+    """Which power of two v is of, negative numbers below positive ones: grows with v."""
+    size = F.log2(F.abs(v)) + 1080
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(0.0)
+
+
 def exact_medians(records: DataFrame, values: dict[str, Column]) -> DataFrame:
     """One row with the median of each value over all records, NULL if it has none; of an even number the mean of the two in the middle.
 
-    The middle ranks of all columns are looked for at once. Each pass cuts the range that a rank is known to lie in into CELLS cells, counts them and keeps the least and the largest of each;
+    The middle ranks of all columns are looked for at once. Each pass cuts the range that a rank is known to lie in into CELLS cells (by powers of two where it is wide), counts them and keeps the least and the largest of each;
     the cell that holds the rank, drawn in to its own least and largest, is the next range. A range of one number ends it. What is held is CELLS rows for each column and rank, whatever
     the number of records. NaN is left out; infinite values count as the largest numbers.
     """
@@ -26,8 +32,8 @@ def exact_medians(records: DataFrame, values: dict[str, Column]) -> DataFrame:
     middle = F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2")))
     targets = saved(whole.select("name", F.explode(middle).alias("rank"), "lo", "hi").withColumn("left", F.col("rank")))
     while not (open_ := targets.where("lo < hi")).isEmpty():
-        halves = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)  # where hi - lo is too large for a double
-        share = F.when(F.col("hi") - F.col("lo") > LARGEST, halves).otherwise((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+        wide = _octave(F.col("hi")) - _octave(F.col("lo"))
+        share = F.when(wide > 1, (_octave(F.col("v")) - _octave(F.col("lo"))) / wide).otherwise((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")))
         met = long.join(F.broadcast(open_), "name").where("v between lo and hi").withColumn("cell", F.least(F.floor(share * CELLS), F.lit(CELLS - 1)))
         cells = met.groupBy("name", "rank", "left", "cell").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         upto = F.sum("c").over(Window.partitionBy("name", "rank").orderBy("cell"))
