@@ -219,5 +219,11 @@ def json_int(json: Column | str, field: str) -> Column:
     return F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint")).when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint"))
 
 
+def has_bit(bits: Column, bit: Column) -> Column:
+    """Whether a bitmap of bitmap_construct_agg has a bit."""
+    byte = F.conv(F.hex(F.substring(bits, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1
+
+
 def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))

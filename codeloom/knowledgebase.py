@@ -11,8 +11,9 @@ from .config import load_languages
 from .functions.text import ngram_fingerprint
 from .operators import ingest, retrieve, scan
 from .operators.store import KnowledgeTable
-from .tables import saved
 from .sources.files import read_archives, read_directory
+from .sources.planned import list_files
+from .tables import saved
 
 
 class KnowledgeBase:
@@ -41,17 +42,26 @@ class KnowledgeBase:
     def update(self, extracted: DataFrame, replace: bool = False) -> str | None:
         return self.table.upsert(ingest.records(extracted), "position", replace)
 
-    def update_from_sources(self, sources: DataFrame, replace: bool = False) -> DataFrame:
-        """Ingest and store; the counts by repository."""
-        extracted = saved(self.ingest(sources))
+    def update_from_sources(self, sources: DataFrame, replace: bool = False, overwrite: bool = False, workers: int | None = None) -> DataFrame:
+        """Ingest and store; the counts by repository, with the first three error messages.
+
+        overwrite: the base holds just these units afterwards, with new ids. workers: tasks that parse (default: as the sources are dealt).
+        """
+        extracted = saved(self.ingest(sources, workers))
+        if overwrite:
+            self.table.clear()
         self.update(extracted, replace)
         return ingest.counts(sources, extracted)
 
-    def import_directory(self, path: str, repository: str = "") -> DataFrame:
-        return self.update_from_sources(read_directory(self.spark, path, repository, self.languages))
+    def import_directory(self, path: str, repository: str = "", **how) -> DataFrame:
+        return self.update_from_sources(read_directory(self.spark, path, repository, self.languages), **how)
+
+    def import_archives(self, path: str, **how) -> DataFrame:
+        return self.update_from_sources(read_archives(self.spark, path, self.languages), **how)
 
-    def import_archives(self, path: str) -> DataFrame:
-        return self.update_from_sources(read_archives(self.spark, path, self.languages))
+    def get_files_by_extension(self, directory: str, extensions: Sequence[str]) -> list[str]:
+        """Paths of the files below a directory that end in one of the extensions, in order; no file is opened."""
+        return list_files(directory, extensions)
 
     # query
 

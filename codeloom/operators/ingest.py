@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -73,11 +73,16 @@ def records(extracted: DataFrame) -> DataFrame:
 
 
 def counts(sources: DataFrame, extracted: DataFrame) -> DataFrame:
-    """By repository: files, entries before and after equal keys are joined, errors."""
+    """By repository: files, entries before and after equal keys are joined, errors, and up to three messages of them in order of path."""
     files = sources.groupBy("repository").agg(F.count_if(F.col("content").isNotNull()).alias("files"), F.count_if(F.col("error").isNotNull()).alias("bad_archives"))
     key = F.struct("relative_path", "kind", "qualified_name", "start_line", "end_line")
     units = extracted.groupBy("repository").agg(F.count_if(F.col("error").isNull()).alias("entries"), F.countDistinct(F.when(F.col("error").isNull(), key)).alias("distinct_entries"), F.count_if(F.col("error").isNotNull()).alias("errors"))
-    return files.join(units, "repository", "left").fillna(0)
+    failed = extracted.where("error is not null").select("repository", "relative_path", "error").unionByName(sources.where("error is not null").select("repository", "relative_path", "error"))
+    place = F.row_number().over(Window.partitionBy("repository").orderBy("relative_path", "error"))
+    first = failed.withColumn("k_", place).where("k_ <= 3").withColumn("told_", F.concat_ws(": ", "relative_path", "error"))
+    told = first.groupBy("repository").agg(F.transform(F.array_sort(F.collect_list(F.struct("k_", "told_"))), lambda s: s["told_"]).alias("messages"))
+    joined = files.join(units, "repository", "left").fillna(0).join(told, "repository", "left")
+    return joined.withColumn("messages", F.coalesce("messages", F.array().cast("array<string>")))
 
 
 def _each(function, codes: pd.Series, languages: pd.Series, failed) -> list:

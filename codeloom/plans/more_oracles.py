@@ -98,6 +98,7 @@ _STRICT = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(event_id AS DOU
 ORACLES: dict[str, str] = {
     "parse_units": f"WITH {_UNITS} SELECT * FROM found",
     "ingest_counts": COUNTS,
+    "resume_by_filter": O.ORACLES["resume_anti_join"],
     "facade_search": HOLDERS,
     "facade_stats": STATS,
     "structure_fingerprints": STRUCTURE,

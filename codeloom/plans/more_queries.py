@@ -19,6 +19,7 @@ from ..operators import scan as S
 from ..operators.ingest import counts, extract, structure_fp, syntax_ok
 from ..operators.prompts import SCHEMA, build, stop_reason
 from ..sources import files as files_
+from ..sources.shards import ShardLog, remaining_by_filter
 from .queries import KEYS, _joined, _retrieved, _rounded
 from .templates import FILES, PROMPTS, TREES
 from .views import knowledge, perplexities, queries, table, turns
@@ -55,7 +56,7 @@ def parse_units(spark: SparkSession, sf: str) -> DataFrame:
 
 def ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
     s = sources(spark, sf)
-    return counts(s, extract(s))
+    return counts(s, extract(s)).drop("messages")
 
 
 def facade_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,30 +161,36 @@ def score_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shard_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Records written by shard, read together, checked, sorted into one file and read again line by line."""
+    """Shards that are written in two goes, the second after one that was killed before its commit; merged, checked, sorted and read again line by line."""
     at, records = scratch(spark), perplexities(spark, sf)
     for r in range(4):
-        mine = E.shard(records, 4, r)
-        half = F.col("sample_index") % 8 < 4
-        files_.write_json(mine.where(half), f"{at}/per_sample.rank{r}.jsonl")
-        files_.write_json(E.remaining(mine, mine.where(half)), f"{at}/per_sample.rank{r}.jsonl", append=True)  # a run that goes on
-    whole = E.unique_tasks(files_.read_shards(spark, at, 4, records.schema))
-    files_.write_json(whole, f"{at}/merged", ["sample_index"], one_file=True)
+        log, mine = ShardLog(spark, at, r), E.shard(records, 4, r)
+        log.append(mine.where("sample_index % 8 < 4"))
+        mine.where("sample_index % 8 > 5").write.json(f"{log.path}/part000001_killed")
+        log.append(remaining_by_filter(mine, log.read(records.schema)))
+    whole = E.unique_tasks(E.merged([ShardLog(spark, at, r).read(records.schema) for r in range(4)]))
+    files_.write_json(whole, f"{at}/merged", ["sample_index"])
     lines = E.indexed(spark.read.text(f"{at}/merged"))
     told = F.from_json("value", T.StructType([T.StructField("sample_index", T.LongType()), T.StructField("log_ppl_no_reference", T.DoubleType())]))
     return lines.select(F.col("sample_index").alias("line"), told.alias("x")).select("line", F.col("x.sample_index").alias("sample_index"), F.col("x.log_ppl_no_reference").alias("log_ppl"))
 
 
 def task_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Augmented tasks written as JSON lines and read again, up to a limit."""
+    """Augmented tasks written as JSON lines, in order over several files, and read again, up to a limit."""
     at = scratch(spark)
     ref = F.struct("source", F.lit("a.c").alias("relative_path"), F.lit(0.5).alias("score"))
     tasks = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"), F.col("lang").alias("groundtruth"), F.lit("information").alias("retrieval_mode"), F.array(ref).alias("references"))
-    files_.write_json(tasks, at, ["doc_id"], one_file=True)
+    files_.write_json(tasks, at, ["doc_id"])
     read = files_.read_tasks(spark, at, 300)
     return read.select("sample_index", F.md5(F.col("prompt").cast("binary")).alias("prompt"), "groundtruth", "retrieval_mode", F.col("references")[0]["relative_path"].alias("path"), F.col("references")[0]["score"].alias("score"))
 
 
+def resume_by_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """As resume_anti_join, with a Bloom filter of the finished ids."""
+    p = perplexities(spark, sf)
+    return remaining_by_filter(p, p.where("sample_index % 3 = 0 or sample_index < 100")).select("sample_index")
+
+
 def first_references(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
     tasks = li.select("l_orderkey", F.when(F.col("l_orderkey") % 9 != 0, F.transform("x", lambda s: s["l_partkey"])).alias("references"))
@@ -253,6 +260,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         parse_units, ingest_counts, facade_search, facade_stats, structure_fingerprints, knowledge_retrieve, syntax_check, fingerprint_scan, set_functions, json_fingerprints, comparison_statuses,
         stop_reasons, locations, prompt_templates, score_join, shard_files, task_files, first_references, calibration_files, run_metadata, strict_numbers, strict_means, unsupported_queries,
-        left_truncation,
+        left_truncation, resume_by_filter,
     )
 }

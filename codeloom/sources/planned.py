@@ -47,6 +47,12 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
         raise ValueError(str(e)) from e
 
 
+def list_files(directory: str, extensions) -> list[str]:
+    """Paths of the files below a directory with one of the extensions, letter case counted, in order."""
+    fs, path = open_fs(directory)
+    return sorted(i.path for i in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if i.is_file and suffix(i.path) in set(extensions))
+
+
 @dataclass(frozen=True)
 class Item:
     """A file, or an archive's member: what a task needs to read it. error: what is wrong with the whole archive."""
