@@ -1,8 +1,9 @@
 """Substring deduplication: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
-A chunk ends at white space where the gear hash of the 32 bytes before it is divisible by `MEAN_WORDS`, so an insertion moves only
-the boundaries near it and equal passages give equal chunks wherever they stand. Runs without such a place are cut every
-`MAX_BYTES` after the last boundary, repetitions of one word every eight words. Chunks are counted by digest (combined before the shuffle);
+A chunk ends at white space where the gear hash of the 32 bytes before it is the least among `NEAR` words in a row, so an insertion moves only
+the boundaries near it, equal passages give equal chunks wherever they stand, and any NEAR words hold a boundary: a passage of 51 words has at least six in whole chunks
+that all its holders cut alike. Runs without such a place are cut every
+`MAX_BYTES` after the last boundary, repetitions of one word at every word. Chunks are counted by digest (combined before the shuffle);
 chunks that several documents hold are found again by their digest, those of the most frequent digests where they are cut, and consecutive ones join to runs.
 
 Runs only say where to look. What is reported are windows of `MIN_WORDS` words that several documents hold, by 128 bits: about a run
@@ -23,14 +24,14 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import HOT_ROWS, HOT_SHARE, column, join_hot, prepare, saved
 
-MEAN_WORDS, MAX_BYTES, MIN_WORDS, SEED_WORDS = 6, 1024, 51, 6
+NEAR, MAX_BYTES, MIN_WORDS, SEED_WORDS = 8, 1024, 51, 6
 _rng = np.random.Generator(np.random.PCG64(11))
 _GEAR = _rng.integers(0, 2**32, 256, dtype=np.uint32)
 #: A second hash of words, for the other half of a window's 128 bits.
 _OTHER = np.uint64(0x9E3779B97F4A7C15)
 _SAME = np.arange(256, dtype=np.uint8)
-#: Bytes that a boundary depends on.
-GEAR_BYTES = 32
+#: Bytes that a boundary depends on, and words: whether one is the least is told by NEAR - 1 on either side, and the next one is at most NEAR words away.
+GEAR_BYTES, REACH = 32, 2 * NEAR
 #: Words between anchors inside a chunk of many words.
 ANCHOR_WORDS = 25
 _CHUNK = "doc_id long, d long, chunk int, start int, end int, words int, first_doc long"
@@ -47,6 +48,24 @@ def gear(buf: np.ndarray) -> np.ndarray:
     return h
 
 
+_NONE = np.uint64(2**64 - 1)
+
+
+def _least(value: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """Which words have the least value (the last of equal ones) of some NEAR words in a row of their text; _NONE is no value."""
+    out = np.zeros(len(value), dtype=bool)
+    n = len(value) - NEAR + 1
+    if n < 1:
+        return out
+    best, at = value[:n].copy(), np.arange(n)
+    for j in range(1, NEAR):
+        better = value[j : j + n] <= best
+        best[better] = value[j : j + n][better]
+        at[better] = np.flatnonzero(better) + j
+    out[at[(text_of[:n] == text_of[NEAR - 1 :]) & (best != _NONE)]] = True
+    return out
+
+
 def chunk_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text) of the chunks of all texts; chunks end before white space and begin at words."""
     n_texts = len(offs) - 1
@@ -58,14 +77,13 @@ def chunk_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     text_of = w.text_of
     last = np.zeros(len(w.start), dtype=bool)
     last[w.bounds[1:][np.diff(w.bounds) > 0] - 1] = True
-    # the window must lie within the text: its first 32 bytes have no boundary
-    inside = w.end - offs[text_of] >= 32
-    cut = last | (inside & ((K.mix(h[w.end - 1].astype(np.uint64)) % np.uint64(MEAN_WORDS)) == 0))
-    # a word said over and over gives the hash nothing new: such runs are cut every eight words from their first
+    # the hashed bytes must lie within the text: its first 32 have no boundary
+    inside = w.end - offs[text_of] >= GEAR_BYTES
+    cut = last | _least(np.where(inside, K.mix(h[w.end - 1].astype(np.uint64)) >> np.uint64(1), _NONE), text_of)
+    # a word said over and over gives the hash nothing new: NEAR and more of one kind in a row are chunks of a word each
     same = np.r_[False, (w.hash[1:] == w.hash[:-1]) & (text_of[1:] == text_of[:-1])]
-    place = np.arange(len(same))
-    place -= np.maximum.accumulate(np.where(same, 0, place))
-    ends = np.flatnonzero(cut | (place % 8 == 7))
+    run = np.cumsum(~same) - 1
+    ends = np.flatnonzero(cut | (np.bincount(run)[run] >= NEAR))
     begins = np.r_[0, ends[:-1] + 1]
     start, end, who = w.start[begins], w.end[ends], text_of[begins]
     if (end - start > MAX_BYTES).any():
@@ -179,9 +197,9 @@ def wanted_windows(runs: list[dict], places: list[dict], start: np.ndarray, end:
             want[b + 1] -= 1
 
     first_word, end_word = np.searchsorted(start, chunk_start), np.searchsorted(end, chunk_end) + 1
-    # a passage begins at most GEAR_BYTES before the boundary in front of its first common chunk, and ends at the next behind its last one
-    begin = lambda c: int(np.searchsorted(start, chunk_start[c - 1] - GEAR_BYTES)) if c else 0
-    finish = lambda c: int(end_word[c + 1]) if c + 1 < len(chunk_end) else n
+    # a passage begins at most REACH words and GEAR_BYTES before its first common chunk, and ends at most REACH words behind its last one
+    begin = lambda c: int(np.searchsorted(start, start[max(0, min(int(first_word[c]) - REACH, int(first_word[c - 1]) if c else 0))] - GEAR_BYTES))
+    finish = lambda c: min(n, max(int(end_word[c]) + REACH, int(end_word[min(c + 1, len(end_word) - 1)])))
     lone = []
     for r in runs:
         a, b = int(np.searchsorted(chunk_start, r["start"])), int(np.searchsorted(chunk_end, r["end"]))
@@ -191,14 +209,14 @@ def wanted_windows(runs: list[dict], places: list[dict], start: np.ndarray, end:
         f = first_word[a : b + 1]
         times = (end_word[a : b + 1] - f + ANCHOR_WORDS - 1) // ANCHOR_WORDS
         lone.append(np.repeat(f, times) + ANCHOR_WORDS * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)))
-        take(begin(a), int(first_word[a]))
-        take(int(end_word[b]) - size, finish(b) - size)
+        take(begin(a), int(first_word[a]) + REACH)  # chunks of a word or two are shared by chance and may lead a run on behind a passage's end
+        take(int(end_word[b]) - size - REACH, finish(b) - size)
     for p in places:
         c = int(np.searchsorted(chunk_start, p["start"]))
         if p["begins"]:
-            take(begin(c), int(first_word[c]))
+            take(begin(c), int(first_word[c]) + REACH)
         if p["ends"]:
-            take(int(end_word[c]) - size, finish(c) - size)
+            take(int(end_word[c]) - size - REACH, finish(c) - size)
     flag = np.cumsum(want)[:n] > 0
     if lone:
         at = np.concatenate(lone)
