@@ -186,9 +186,17 @@ def _status_fields(*names: str) -> dict[str, Field]:
     return {f"samples_{n}": Field("count", where=F.col("comparison_status") == n) for n in names}
 
 
+def _integer(name: str) -> Column:
+    """The value of an integer or truth column; of numbers of other types those without a fraction; texts, also such as look like numbers, have none."""
+    c = F.col(name)
+    number, kind = c.try_cast("double"), F.typeof(c)
+    whole = F.when(number == F.floor(number), number)
+    return F.when(kind.isin("tinyint", "smallint", "int", "bigint", "boolean"), number).when(kind.rlike("^(double|float|decimal)"), whole)
+
+
 def _whole(name: str, where: Column) -> Field:
-    """The mean of an integer column."""
-    return Field("mean", F.col(name), where)
+    """The mean of an integer column; what isn't an integer is left out."""
+    return Field("mean", _integer(name), where)
 
 
 def generation_fields() -> dict[str, Field]:

@@ -133,3 +133,13 @@ def test_states_of_shards_merge_to_the_summary(spark):
         assert got[k] == want[k] or abs(got[k] - want[k]) < 1e-12, k
     none = E.merged_generation_summary(E.summary_state(scored.limit(0), E.generation_fields())).first()
     assert none.samples_total == 0 and none.mean_em_no_reference is None and none.median_es_no_reference is None
+
+
+@pytest.mark.parametrize("kind,values,want", [("long", [1, 2, None], 1.5), ("boolean", [True, False, True], 2 / 3), ("double", [4.0, 3.5, 6.0], 5.0), ("string", ["4", "x", None], None)])
+def test_means_of_integers_skip_the_rest(spark, kind, values, want):
+    from codeloom.operators import evaluate as E
+
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"sample_index long, n {kind}")
+    field = {"mean_n": E._whole("n", F.lit(True))}
+    for row in (E.summarise(df, field), E.merged_summary(E.summary_state(df, field), field)):
+        assert row.first().mean_n == (want if want is None else pytest.approx(want))
