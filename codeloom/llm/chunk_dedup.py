@@ -2,7 +2,7 @@
 
 A chunk ends at white space where the gear hash of the 32 bytes before it is the least among `NEAR` words in a row, so an insertion moves only
 the boundaries near it, equal passages give equal chunks wherever they stand, and any NEAR words hold a boundary: a passage of 51 words has at least six in whole chunks
-that all its holders cut alike. Runs without such a place are cut every
+that all its holders cut alike, if its first 32 bytes are no more than eight words. Runs without such a place are cut every
 `MAX_BYTES` after the last boundary, repetitions of one word at every word. Chunks are counted by digest (combined before the shuffle);
 chunks that several documents hold are found again by their digest, those of the most frequent digests where they are cut, and consecutive ones join to runs.
 
@@ -24,14 +24,15 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import HOT_ROWS, HOT_SHARE, column, join_hot, prepare, saved
 
-NEAR, MAX_BYTES, MIN_WORDS, SEED_WORDS = 8, 1024, 51, 6
+NEAR, MAX_BYTES, MIN_WORDS, SEED_WORDS = 10, 1024, 51, 6
 _rng = np.random.Generator(np.random.PCG64(11))
 _GEAR = _rng.integers(0, 2**32, 256, dtype=np.uint32)
 #: A second hash of words, for the other half of a window's 128 bits.
 _OTHER = np.uint64(0x9E3779B97F4A7C15)
 _SAME = np.arange(256, dtype=np.uint8)
-#: Bytes that a boundary depends on, and words: whether one is the least is told by NEAR - 1 on either side, and the next one is at most NEAR words away.
-GEAR_BYTES, REACH = 32, 2 * NEAR
+#: Bytes that a boundary depends on; words from a passage's end to the first boundary that all its holders have (2 * NEAR - 1 at most, hardly ever more than this); words by which
+#: chunks of a word or two, shared by chance, may lead a long run on behind a passage's end.
+GEAR_BYTES, REACH, ADDED = 32, 14, 8
 #: Words between anchors inside a chunk of many words.
 ANCHOR_WORDS = 25
 _CHUNK = "doc_id long, d long, chunk int, start int, end int, words int, first_doc long"
@@ -209,14 +210,14 @@ def wanted_windows(runs: list[dict], places: list[dict], start: np.ndarray, end:
         f = first_word[a : b + 1]
         times = (end_word[a : b + 1] - f + ANCHOR_WORDS - 1) // ANCHOR_WORDS
         lone.append(np.repeat(f, times) + ANCHOR_WORDS * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)))
-        take(begin(a), int(first_word[a]) + REACH)  # chunks of a word or two are shared by chance and may lead a run on behind a passage's end
-        take(int(end_word[b]) - size - REACH, finish(b) - size)
+        take(begin(a), int(first_word[a]) + ADDED)
+        take(int(end_word[b]) - size - ADDED, finish(b) - size)
     for p in places:
         c = int(np.searchsorted(chunk_start, p["start"]))
         if p["begins"]:
-            take(begin(c), int(first_word[c]) + REACH)
+            take(begin(c), int(first_word[c]) + ADDED)
         if p["ends"]:
-            take(int(end_word[c]) - size - REACH, finish(c) - size)
+            take(int(end_word[c]) - size - ADDED, finish(c) - size)
     flag = np.cumsum(want)[:n] > 0
     if lone:
         at = np.concatenate(lone)
