@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import edit_similarity, first_line, without_space
+from ..functions.text import edit_similarity, first_line, let, without_space
 from ..tables import saved
 from .quantiles import exact_medians, weighted_medians
 
@@ -503,7 +503,8 @@ def left_truncated_regions(samples: DataFrame, max_context: int) -> DataFrame:
     """samples (sample_index, ends: array of (start, end) token offsets, references: array of (path, length), prompt_length)
     -> how much of references and prompt the last max_context tokens keep. The text is references, prompt, groundtruth.
 
-    status is invalid_groundtruth where the groundtruth has no token, or as many as the context holds.
+    status is invalid_groundtruth where the groundtruth has no token, or as many as the context holds. Each reference and each sample looks through the tokens a fixed
+    number of times; what that gives is computed once and then only looked up.
     """
     zero = F.lit(0).cast("int")
     bounds = F.aggregate(
@@ -511,39 +512,59 @@ def left_truncated_regions(samples: DataFrame, max_context: int) -> DataFrame:
         F.struct(zero.alias("at"), F.expr("cast(array() as array<struct<path: string, low: int, high: int>>)").alias("out")),
         lambda acc, r: F.struct((acc["at"] + r["length"]).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(r["path"].alias("path"), acc["at"].alias("low"), (acc["at"] + r["length"]).cast("int").alias("high")))).alias("out")),
     )
-    s = samples.withColumn("b_", bounds).withColumn("refs", F.col("b_.out")).withColumn("prompt_low", F.col("b_.at")).withColumn("target", F.col("b_.at") + F.col("prompt_length"))
-    n = F.size("ends")
-    s = s.withColumn("kept", F.when(n > max_context, F.slice("ends", F.greatest(n - max_context + 1, F.lit(1)), max_context)).otherwise(F.col("ends")))
     count = lambda arr, test: F.size(F.filter(arr, test))
-    start = F.coalesce(F.try_element_at("kept", F.lit(1))["start"], F.col("target"))
-    s = s.withColumn("from_", start).withColumn("truth", count("ends", lambda t: t["end"] > F.col("target")))
-    meets = lambda r: count("kept", lambda t: (t["end"] > r["low"]) & (t["start"] < r["high"]))
-    whole = lambda r: count("ends", lambda t: (t["end"] > r["low"]) & (t["end"] <= r["high"]))
-    gone = lambda r: (whole(r) == 0) | (r["high"] <= F.col("from_")) | (meets(r) == 0) & ~((r["low"] < F.col("from_")) & (F.col("from_") < r["high"]))
-    part = lambda r: ~((whole(r) == 0) | (r["high"] <= F.col("from_"))) & (r["low"] < F.col("from_")) & (F.col("from_") < r["high"])
-    used, omitted, cut = F.filter("refs", lambda r: ~gone(r)), F.filter("refs", gone), F.filter("refs", part)
-    prompt = lambda arr: count(arr, lambda t: (t["end"] > F.col("prompt_low")) & (t["end"] <= F.col("target")))
-    prefix = count("kept", lambda t: t["end"] <= F.col("target"))
-    first_cut = F.try_element_at(cut, F.lit(1))
+
+    def window(x: Column) -> Column:
+        n = F.size(x["ends"])
+        kept = F.when(n > max_context, F.slice(x["ends"], F.greatest(n - max_context + 1, F.lit(1)), max_context)).otherwise(x["ends"])
+        return F.struct(x["ends"].alias("ends"), kept.alias("kept"), x["b"]["out"].alias("refs"), x["b"]["at"].alias("low"), (x["b"]["at"] + x["prompt_length"]).alias("target"))
+
+    def begun(x: Column) -> Column:
+        return x.withField("from", F.coalesce(F.try_element_at(x["kept"], F.lit(1))["start"], x["target"]))
+
+    def counted(x: Column) -> Column:
+        of_reference = lambda r: F.struct(
+            r["path"].alias("path"), r["low"].alias("low"), r["high"].alias("high"),
+            count(x["kept"], lambda t: (t["end"] > r["low"]) & (t["start"] < r["high"])).alias("meets"), count(x["ends"], lambda t: (t["end"] > r["low"]) & (t["end"] <= r["high"])).alias("whole"),
+        )
+        prompt = lambda arr: count(arr, lambda t: (t["end"] > x["low"]) & (t["end"] <= x["target"]))
+        return F.struct(
+            x["from"].alias("from"), F.transform(x["refs"], of_reference).alias("refs"), count(x["ends"], lambda t: t["end"] > x["target"]).alias("truth"), count(x["kept"], lambda t: t["end"] <= x["target"]).alias("prefix"),
+            prompt(x["ends"]).alias("full"), prompt(x["kept"]).alias("used"), count(x["ends"], lambda t: t["end"] <= x["low"]).alias("considered"),
+        )
+
+    def told(x: Column) -> Column:
+        over = lambda r: (r["low"] < x["from"]) & (x["from"] < r["high"])
+        gone = lambda r: (r["whole"] == 0) | (r["high"] <= x["from"]) | (r["meets"] == 0) & ~over(r)
+        part = lambda r: ~((r["whole"] == 0) | (r["high"] <= x["from"])) & over(r)
+        return F.struct(x.alias("x"), F.filter(x["refs"], lambda r: ~gone(r)).alias("used"), F.filter(x["refs"], gone).alias("omitted"), F.filter(x["refs"], part).alias("cut"))
+
+    whole = F.struct("ends", bounds.alias("b"), "prompt_length")
+    for step in (window, begun, counted, told):
+        whole = let(whole, step)
+    s = samples.select("sample_index", whole.alias("s_"))
+    x, used, omitted, cut = (F.col(f"s_.{c}") for c in ("x", "used", "omitted", "cut"))
+    first_cut, some_cut = F.try_element_at(cut, F.lit(1)), F.size(cut) > 0
+    of_references = x["prefix"] - x["used"]
     return s.select(
         "sample_index",
-        F.when((F.col("truth") == 0) | (F.col("truth") >= max_context), "invalid_groundtruth").otherwise("ok").alias("status"),
-        F.col("truth").alias("groundtruth_token_count"),
-        prefix.alias("prefix_token_count"),
-        prompt("ends").alias("prompt_token_count_full"),
-        prompt("kept").alias("prompt_token_count_used"),
-        (prefix - prompt("kept")).alias("reference_token_count"),
-        count("ends", lambda t: t["end"] <= F.col("prompt_low")).alias("reference_token_count_total_considered"),
+        F.when((x["truth"] == 0) | (x["truth"] >= max_context), "invalid_groundtruth").otherwise("ok").alias("status"),
+        x["truth"].alias("groundtruth_token_count"),
+        x["prefix"].alias("prefix_token_count"),
+        x["full"].alias("prompt_token_count_full"),
+        x["used"].alias("prompt_token_count_used"),
+        of_references.alias("reference_token_count"),
+        x["considered"].alias("reference_token_count_total_considered"),
         F.size(used).alias("reference_used_count"),
         F.size(omitted).alias("reference_omitted_count"),
-        ((F.size(used) > 0) | (prefix - prompt("kept") > 0)).alias("reference_applied"),
-        (F.size(cut) > 0).alias("reference_partially_truncated"),
+        ((F.size(used) > 0) | (of_references > 0)).alias("reference_applied"),
+        some_cut.alias("reference_partially_truncated"),
         first_cut["path"].alias("reference_truncated_path"),
-        F.when(F.size(cut) > 0, meets(first_cut)).otherwise(0).alias("reference_truncated_tokens_kept"),
-        F.when(F.size(cut) > 0, whole(first_cut)).otherwise(0).alias("reference_truncated_tokens_total"),
+        F.when(some_cut, first_cut["meets"]).otherwise(0).alias("reference_truncated_tokens_kept"),
+        F.when(some_cut, first_cut["whole"]).otherwise(0).alias("reference_truncated_tokens_total"),
         F.transform(used, lambda r: r["path"]).alias("used_reference_paths"),
         F.transform(omitted, lambda r: r["path"]).alias("omitted_reference_paths"),
-        (prompt("kept") < prompt("ends")).alias("prompt_was_truncated"),
+        (x["used"] < x["full"]).alias("prompt_was_truncated"),
     )
 
 

@@ -68,6 +68,19 @@ def test_left_truncation(spark):
     assert r[1].status == "invalid_groundtruth"
 
 
+def test_left_truncation_of_long_texts_takes_one_pass_a_reference(spark):
+    """One sample of 40 references of 50 tokens: looking for the cut reference at every token takes minutes."""
+    import time
+
+    schema = "sample_index long, ends array<struct<start: int, end: int>>, references array<struct<path: string, length: int>>, prompt_length int"
+    df = spark.createDataFrame([(0, [(i, i + 1) for i in range(2030)], [(f"p{i}", 50) for i in range(40)], 20)], schema)
+    began = time.monotonic()
+    r = E.left_truncated_regions(df, 1505).first()
+    assert time.monotonic() - began < 30
+    assert (r.status, r.groundtruth_token_count, r.reference_used_count, r.reference_omitted_count) == ("ok", 10, 30, 10)
+    assert (r.reference_truncated_path, r.reference_truncated_tokens_kept, r.reference_truncated_tokens_total) == ("p10", 25, 50) and r.used_reference_paths[0] == "p10"
+
+
 def test_calibration(spark):
     rows = [("a", "strict", "greedy", 0.5, 0.5, 0.2), ("b", "plus_local16", "beam", 0.5, 0.5, 0.2), ("c", "strict", "beam", 0.6, 0.1, 0.3), ("d", "strict", "greedy", None, None, None)]
     df = spark.createDataFrame(rows, "run_dir string, prompt_builder string, decode_policy string, mean_em_no_reference double, mean_es_no_reference double, empty_prediction_rate_no_reference double")
