@@ -198,6 +198,29 @@ def test_frequent_fingerprints_are_probed_for_live_candidates(spark, tmp_path, m
     assert 10 * rare < every
 
 
+def test_an_upsert_leaves_no_copy_of_texts_beside_the_table(spark, tmp_path):
+    """Texts and fingerprints are written aside once, as 8 bytes a value, and dropped when the version is there."""
+    import pyarrow.parquet as pq
+
+    from codeloom.tables import shared_folder
+
+    at = shared_folder(spark).removeprefix("file://")
+    held = lambda: {f for f in glob.glob(f"{at}/*/*.parquet") if {"text", "text_fingerprint"} & set(pq.read_schema(f).names)}
+    before = held()
+    kb = small(spark, tmp_path)
+    kb.upsert(frame(spark, [record("r", f"p{i}", "f", f"int f{i} ( )") for i in range(20)]))
+    kb.upsert(frame(spark, [record("r", f"p{i}", "f", f"int g{i} ( )") for i in range(10)]))
+    assert held() <= before and kb.load().count() == 20
+
+
+def test_fingerprints_are_packed_and_told_again(spark):
+    from codeloom.functions.text import packed, unpacked
+
+    rows = [["0123456789abcdef", "ffffffffffffffff", "0000000000000000"], [], None, ["0123456789ABCDEF"], ["a"], ["0123456789abcde", "0123456789abcdef0"], ["0123456789abcdef", None]]
+    got = [(r.n, r.back) for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i long, fp array<string>").select("i", packed("fp").alias("p")).selectExpr("i", "p").select("i", (unpacked("p")).alias("back"), "p").selectExpr("i", "octet_length(p) n", "back").orderBy("i").collect()]
+    assert got == [(24, rows[0]), (0, []), *[(None, None)] * 5]
+
+
 def test_write_makes_a_version_of_just_these(spark, tmp_path):
     kb = small(spark, tmp_path)
     kb.upsert(frame(spark, [record("r", "a", "a", "int a"), record("r", "b", "b", "int b")]))
