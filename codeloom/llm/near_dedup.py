@@ -216,12 +216,12 @@ def _parted(rows: DataFrame, block: int, weight: int) -> tuple[DataFrame, DataFr
     """
     fits = (F.col("n_rows") <= block) & (F.col("n_weight") <= weight)
     rows = rows.withColumn("part", F.col("key")).withColumn("whole", F.lit(False))
-    done, rest = rows.where(fits), rows.where(~fits)
+    done, rest = rows.where(fits), saved(rows.where(~fits))
     if rest.isEmpty():
         return done, None
     over = saved(rest.select("key").distinct())
     for depth in DEPTHS:
-        rest = saved(rest.drop("n_rows", "n_weight").withColumn("part", F.xxhash64("key", F.substring("ord", 1, depth))))
+        rest = rest.drop("n_rows", "n_weight").withColumn("part", F.xxhash64("key", F.substring("ord", 1, depth)))
         sizes = rest.groupBy("part").agg(F.count("*").alias("n_rows"), F.sum("w").alias("n_weight"))
         rest = saved(join_hot(rest, sizes, ["part"], "n_rows"))
         done, rest = done.unionByName(rest.where(fits), allowMissingColumns=True), rest.where(~fits)
@@ -285,18 +285,17 @@ def _candidate_families(reps: DataFrame, depth: int, least_agree: int) -> DataFr
     joined = connected_components(near.unionByName(equal))
     rows = met.join(maybe_broadcast(over, over.count()), "key", "left_semi").select("key", "rep", "w", "ord")
     more = _dealt(_across(rows, joined, REGION_BLOCK, REGION_BLOCK), "ord").mapInArrow(seek, "u long, v long")
-    stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    return connected_components(stars.unionByName(more))
+    return connected_components(more, joined)
 
 
-def _links(rows: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """rows (key, rep, w, ord, shingles), key being the family -> (u, v): a spanning forest of exact links."""
+def _linked(rows: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """rows (key, rep, w, ord, shingles), key being the family -> (node, component) of exact links."""
     confirm = partial(_confirmed, numerator=numerator, denominator=denominator)
     sizes = rows.groupBy("key").agg(F.count("*").alias("n_rows"), F.sum("w").alias("n_weight"))
     parts, over = _parted(join_hot(rows, sizes, ["key"], "n_rows"), FAMILY_BLOCK, FAMILY_SHINGLES)
     links = _dealt(_within(parts.where("not whole")), "shingles").mapInArrow(confirm, "u long, v long")
     if over is None:
-        return links
+        return connected_components(links)
     # equal signatures, different sets: pieces that share the least row
     same = parts.where("whole").withColumn("pieces", F.greatest(F.ceil(F.col("n_rows") / FAMILY_BLOCK), F.ceil(F.col("n_weight") / FAMILY_SHINGLES)).cast("int"))
     same = saved(same)
@@ -304,10 +303,10 @@ def _links(rows: DataFrame, numerator: int, denominator: int) -> DataFrame:
     same = join_hot(same, saved(least), ["part"], "n")
     piece = F.when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")))
     pieces = _within(same).withColumn("i", F.explode(piece))
-    found = saved(links.unionByName(_dealt(pieces, "shingles").mapInArrow(confirm, "u long, v long")))
+    joined = connected_components(links.unionByName(_dealt(pieces, "shingles").mapInArrow(confirm, "u long, v long")))
     rows = rows.join(maybe_broadcast(over, over.count()), "key", "left_semi")
-    more = _dealt(_across(rows, connected_components(found), FAMILY_BLOCK, FAMILY_SHINGLES), "shingles").mapInArrow(confirm, "u long, v long")
-    return found.unionByName(more)
+    more = _dealt(_across(rows, joined, FAMILY_BLOCK, FAMILY_SHINGLES), "shingles").mapInArrow(confirm, "u long, v long")
+    return connected_components(more, joined)
 
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), shingle: int = 5) -> DataFrame:
@@ -347,7 +346,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), shi
     wanted = maybe_broadcast(held.select(F.col("rep").alias("doc_id")), held.count())
     sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, k=shingle), "doc_id long, d1 long, d2 long, n_shingles long, shingles binary")
     sets = saved(held.join(sets.withColumnRenamed("doc_id", "rep"), ["rep", *alike]).dropDuplicates(["rep"]).select("key", "rep", F.col("n_shingles").alias("w"), "ord", "shingles"))
-    found = connected_components(_links(sets, top, bottom)).select(F.col("node").alias("rep"), "component")
+    found = _linked(sets, top, bottom).select(F.col("node").alias("rep"), "component")
 
     told = saved(classes.join(found, "rep", "left").select(*alike, "n_members", F.coalesce("component", "rep").alias("component")))
     out = join_hot(rows.select("doc_id", *alike), told, alike, "n_members", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -177,6 +177,22 @@ def test_components(spark, monkeypatch, split):
     assert got == {**{i: 0 for i in range(31)}, 40: 40, 50: 40, 60: 40, **{100 + i: 100 for i in range(50)}}
 
 
+def test_components_of_few_edges_take_two_shuffles_a_round(spark):
+    """Each further round of the steps costs its stages on every partition, so on small edge tables their number is what counts."""
+    e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(50)], "u long, v long")
+    context, group = spark.sparkContext, "few edges"
+    context.setJobGroup(group, group)
+    known = connected_components(e)
+    tracker = context.statusTracker()
+    jobs = tracker.getJobIdsForGroup(group)
+    stages = {s for j in jobs for s in tracker.getJobInfo(j).stageIds}
+    context.setJobGroup("", "")
+    assert len(stages) <= 60
+    assert connected_components(e.limit(0), known) is known
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame([(100, 30)], "u long, v long"), known).collect()}
+    assert got == {**{i: 0 for i in range(31)}, **{100 + i: 0 for i in range(50)}}
+
+
 def contamination_model(rows, items, n=10):
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(low))
