@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.text import ngram_fingerprint
 from ..parsing import structure_fingerprint, units_of
 from ..parsing.outline import is_valid
-from ..parsing.structure import fold
+from ..parsing.structure import folds
 from ..schema import RECORD
 
 _UNIT = T.StructType([f for f in RECORD if f.name != "text_fingerprint"] + [T.StructField("position", T.IntegerType()), T.StructField("error", T.StringType())])
@@ -33,8 +33,10 @@ def _rows_of(file: dict, min_lines: int) -> list[tuple]:
     place = (file["repository"], file["relative_path"], file["file_extension"], file["language"])
     try:
         rows = []
-        for k, u in enumerate(units_of(file["content"], file["language"], min_lines)):
-            shape = fold(u.node) if u.node is not None else structure_fingerprint(u.text, file["language"])
+        units = units_of(file["content"], file["language"], min_lines)
+        shapes = folds([u.node for u in units if u.node is not None])
+        for k, u in enumerate(units):
+            shape = next(shapes) if u.node is not None else structure_fingerprint(u.text, file["language"])
             rows.append((*place, u.kind, u.node_type, u.symbol_name, u.qualified_name, u.parent_qualified_name, u.start_line, u.end_line, u.text, shape, k, None))
         return rows
     except Exception as e:  # one bad file is one row

@@ -129,3 +129,18 @@ def test_identifiers_are_abstracted():
     assert a == structure_fingerprint("int g(int y) { int total = y + 1; return total; }", "C")
     assert a != structure_fingerprint("int g(int y) { int total = y - 1; return total; }", "C")
     assert structure_fingerprint("", "C") and structure_fingerprint(None, "C") is None and structure_fingerprint("x", "Perl") is None
+
+
+def test_nested_units_are_folded_once(monkeypatch):
+    """The tree below a type is folded with it: its methods' fingerprints are stretches of its own, not folded anew."""
+    from codeloom.operators import ingest
+    from codeloom.parsing import structure
+
+    code = "class A {\n" + "".join(f"  class B{i} {{\n    int f{i}() {{ return {i}; }}\n  }}\n" for i in range(20)) + "}\n"
+    units = [u for u in units_of(code, "Java") if u.node is not None]
+    assert len(units) == 41
+    runs, plain = [], structure._fold
+    monkeypatch.setattr(structure, "_fold", lambda root, held: runs.append(root) or plain(root, held))
+    rows = ingest._rows_of({"repository": "r", "relative_path": "A.java", "file_extension": ".java", "language": "Java", "content": code}, 0)
+    assert len(runs) == 1
+    assert sorted(r[12] for r in rows) == sorted(structure.fold(u.node) for u in units)

@@ -2,7 +2,9 @@
 
 import zipfile
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom import KNOWLEDGE, KnowledgeBase, KnowledgeTable, by_ids, scan, search, stats, upsert
 from codeloom.cli import main
@@ -192,3 +194,20 @@ def test_streaming_ingest(spark, tmp_path):
     (tmp_path / "in/b.c").write_text("int only;\n")
     stream_ingest(spark, str(tmp_path / "in"), table, str(tmp_path / "ck"), "r").awaitTermination()
     assert stats_dict(stats(table.load()))["total"] == 3
+
+
+def test_filters_hold_the_windows_of_every_text(spark, tmp_path):
+    """Windows are told apart once a file and batch, so units inside others add no rows; their hashes are those that a keyword is looked up by."""
+    from codeloom.operators import grams
+
+    texts = ["ABCabc", "int f() { return 1; }" * 3, "x", "", None, "ab", "Ünï🙂c🙂🙂o", "a\x00b\nc", "return 1; }"]
+    spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).write.parquet(f"{tmp_path}/data")
+    grams.write_filters(spark, f"{tmp_path}/data", f"{tmp_path}/filters")
+    windows = [r for b in grams._distinct_windows(iter([pa.RecordBatch.from_pydict({"file": ["f"] * len(texts), "text": texts})])) for r in b.column(1).to_pylist()]
+    assert len(windows) == len(set(windows))
+    got = {r.x for r in spark.createDataFrame([(w,) for w in windows], "w string").select(F.explode(grams.gram_hashes("w")).alias("x")).collect()}
+    want = {r.x for r in spark.createDataFrame([(t,) for t in texts], "text string").select(F.explode(grams.gram_hashes("text")).alias("x")).collect()}
+    assert got == want
+    filters = spark.read.schema(grams.FILTER).parquet(f"{tmp_path}/filters")
+    assert all(not grams.files_without(filters, k).count() for k in ("abcABC", "🙂C🙂", "a\x00B\n", "RETURN 1"))
+    assert grams.files_without(filters, "zzzq").count() == 1
