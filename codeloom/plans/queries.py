@@ -34,7 +34,7 @@ def _joined(fp: Column | str) -> Column:
 
 def text_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", X.ngram_fingerprint("text").alias("fp"), X.ngram_fingerprint("text", 3).alias("fp3"))
-    return d.select("doc_id", F.size("fp").cast("long").alias("n"), _joined("fp").alias("digest"), _joined("fp3").alias("digest3"))
+    return d.select("doc_id", F.coalesce(F.size("fp"), F.lit(-1)).cast("long").alias("n"), _joined("fp").alias("digest"), _joined("fp3").alias("digest3"))
 
 
 def search_substring(spark: SparkSession, sf: str) -> DataFrame:

@@ -72,3 +72,13 @@ def test_upsert_takes_every_document(spark, sf_dir, db):
     got = entry.queries()["upsert_whole_table"](spark, sf_dir).collect()
     want = {(f"doc_{i}", None if i % 3 == 0 else "change 1") for i in ids} | {(f"new_doc_{i}", "change 1") for i in ids if i % 3 == 0}
     assert {(r.qualified_name, r.new_text) for r in got} == want and len({r.id for r in got}) == len(got) == len(want)
+
+
+def test_fingerprints_of_texts_without_words(spark, tmp_path):
+    """Texts without words, empty ones and nulls count -1, as the SQL has it."""
+    texts = ["one", "two words", "three small words", "", None, "!!! ...", "äöü ß", "a\x00b c", "é1 2_3 _ __ z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got, want = queries.text_fingerprint(spark, str(tmp_path)).toPandas(), c.execute(ORACLES["text_fingerprint"]).fetchdf()
+    assert rows(got) == rows(want) and list(got.set_index("doc_id").loc[[3, 4, 5], "n"]) == [-1, -1, -1]
