@@ -235,3 +235,21 @@ def test_empty_tables(spark, tmp_path):
     assert kb.load().count() == 0 and kb.load().columns == KNOWLEDGE.names and kb.search("abc").count() == 0 and kb.version() is None
     q = spark.createDataFrame([(0, ["a"])], "query_id long, fingerprint array<string>")
     assert R.retrieve(q, kb.index("text_fingerprint"), shots=2).count() == 0 and stats_dict(kb.stats())["total"] == 0
+
+
+def test_many_rows_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """What is too much to be broadcast isn't broadcast by Spark either, whose estimate goes by the size of files."""
+    kb = small(spark, tmp_path)
+    kb.upsert(frame(spark, [record("r", f"p{i}", f"f{i}", f"int f{i} ( )") for i in range(40)]))
+    plans = []
+    commit = kb._commit
+
+    def seen(m, rows, gained, *more):
+        plans.extend(d._jdf.queryExecution().executedPlan().toString() for d in (rows, *gained.values()))
+        return commit(m, rows, gained, *more)
+
+    monkeypatch.setattr(kb, "_commit", seen)
+    monkeypatch.setattr(store, "few", lambda *a: False)
+    kb.upsert(frame(spark, [record("r", f"p{i}", f"f{i}", "int changed ( )") for i in range(30)]), replace=True)
+    assert len(plans) == 3 and not [p for p in plans if "Broadcast" in p]
+    assert kb.load().count() == 40 and kb.load().where("text = 'int changed ( )'").count() == 30
