@@ -1,14 +1,19 @@
 """The stored table: which files an upsert touches, writers at once, and what is kept beside the units."""
 
 import glob
+import hashlib
 import json
 import os
 import random
 
+import pyarrow as pa
 import pytest
 
 from codeloom import KNOWLEDGE, KnowledgeTable, search, stats
-from codeloom.functions.text import ngram_fingerprint
+from codeloom.functions import packed as packed_functions
+from codeloom.functions.packed import packed_ngrams, signed_postings
+from codeloom.functions.text import ngram_fingerprint, packed
+from codeloom.operators import grams
 from codeloom.operators import index as index_module
 from codeloom.operators import retrieve as R
 from codeloom.operators import store
@@ -253,3 +258,64 @@ def test_many_rows_are_not_broadcast(spark, tmp_path, monkeypatch):
     kb.upsert(frame(spark, [record("r", f"p{i}", f"f{i}", "int changed ( )") for i in range(30)]), replace=True)
     assert len(plans) == 3 and not [p for p in plans if "Broadcast" in p]
     assert kb.load().count() == 40 and kb.load().where("text = 'int changed ( )'").count() == 30
+
+
+def test_packed_fingerprints_are_told_in_batches(spark, monkeypatch):
+    """packed_ngrams() is the packed form of ngram_fingerprint()."""
+    texts = ["one", "two words", "a b a b a b", "", None, "!!! ...", "é1 2_3 _ __ z", "a\x00b c\x00d", *(" ".join(f"w{(i * k) % 97}" for k in range(400)) for i in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    for n in (2, 3):
+        both = df.select("text", packed_ngrams("text", n).alias("a"), packed(ngram_fingerprint("text", n)).alias("b"))
+        assert [r.text for r in both.collect() if r.a != r.b] == [] and both.where("a is null").count() == 3
+    for size in (1, 54, 55, 56, 63, 64, 65, 200):  # of a gram, about the end of md5's block
+        assert packed_functions._packed_of([b"ab", b"x" * (size - 3) + b" yz" if size > 3 else b"x", None, b""], 2)[:2] == [hashlib.md5(t).digest()[:8] for t in (b"ab", b"x" * (size - 3) + b" yz" if size > 3 else b"x")]
+    told = [t.encode() if t is not None else None for t in texts]
+    monkeypatch.setattr(packed_functions, "TEXTS", 30)
+    monkeypatch.setattr(packed_functions, "GRAMS", 7)
+    assert list(packed_functions._all_packed(told, 2)) == [x for t in told for x in packed_functions._packed_of([t], 2)]
+
+
+def test_postings_are_what_is_gained_and_lost(spark):
+    value = lambda c: c * 8
+    odd = ["x", "0" * 16, "A" * 16]
+    rows = [
+        (1, "C", "r", None, value(b"a") + value(b"b") + value(b"a"), "C", "r", None, value(b"b") + value(b"c"), True),
+        (2, "C", "r", None, value(b"a") + value(b"b"), "C", "q", None, value(b"b"), False),
+        (3, "C", "r", None, value(b"d") * 3, None, None, None, None, False),
+        (4, "C", "r", odd, None, "C", "r", None, bytes(8) + value(b"e"), True),
+        (5, "C", "r", None, None, "C", "r", None, None, True),
+        (6, "C", "r", None, b"", "C", "r", None, value(b"f"), True),
+    ]
+    units = spark.createDataFrame(rows, "id long, language string, repository string, now array<string>, now_ binary, was_language string, was_repository string, had array<string>, had_ binary, still boolean").coalesce(1)
+    got = sorted((r.id, r.sign, bytes(r.h), r.language, r.repository) for r in signed_postings(units).collect())
+    want = [(1, 1, value(b"a"), "C", "r"), (1, -1, value(b"c"), "C", "r"), (2, 1, value(b"a"), "C", "r"), (2, 1, value(b"b"), "C", "r"), (2, -1, value(b"b"), "C", "q"), (3, 1, value(b"d"), "C", "r")]
+    want += [(4, 1, bytes(9) + b"x", "C", "r"), (4, 1, bytes(9) + b"A" * 16, "C", "r"), (4, -1, value(b"e"), "C", "r"), (6, -1, value(b"f"), "C", "r")]
+    assert got == sorted(want)
+
+
+def test_windows_of_latin_and_other_texts(monkeypatch):
+    """Each window of a file's texts, none over the end of a text, by sorting or by a map."""
+    texts = ["Abc aBC", "ab", "naïve ÀÉ", "日本語 abc", "🙂xy z", None, "", "ÿþA" * 50, "the end"]
+    want = {(f"f{i % 2}", "".join(c.lower() if "A" <= c <= "Z" else c for c in t[k : k + 3])) for i, t in enumerate(texts) if t for k in range(len(t) - 2)}
+    batch = pa.RecordBatch.from_pydict({"file": [f"f{i % 2}" for i in range(len(texts))], "text": texts})
+    for few, stretch in ((1 << 17, 1 << 19), (0, 1 << 19), (0, 5)):
+        monkeypatch.setattr(grams, "FEW", few)
+        monkeypatch.setattr(grams, "STRETCH", stretch)
+        got = [w for b in grams._distinct_windows(iter([batch])) for w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert set(got) == want
+
+
+def test_earlier_files_without_packed_fingerprints_are_read(spark, tmp_path):
+    """Units of files that hold arrays only, beside such with packed ones, load and take part in upserts."""
+    kb = small(spark, tmp_path, buckets=1)
+    kb.upsert(frame(spark, [record("r", f"p{i}", f"f{i}", f"int f{i} ( )") for i in range(5)]))
+    before = {r.id: (r.text_fingerprint, r.structure_fingerprint) for r in kb.load().collect()}
+    at = f"{tmp_path}/{next(iter(kb.manifest()['data'].values()))}"
+    old = kb.load().localCheckpoint()
+    old.write.mode("overwrite").parquet(at)
+    assert {r.id: (r.text_fingerprint, r.structure_fingerprint) for r in kb.load().collect()} == before and all(a and b for a, b in before.values())
+    kb.upsert(frame(spark, [record("r", "p1", "f1", "int other ( )")]))
+    after = {r.id: (r.text_fingerprint, r.structure_fingerprint) for r in kb.load().collect()}
+    assert len(after) == 5 and sorted(i for i in after if after[i] != before[i]) == [2]
+    asked = spark.createDataFrame([(0, "int f3 ( )")], "query_id long, text string").select("query_id", ngram_fingerprint("text").alias("fingerprint"))
+    assert [r.qualified_name for r in R.retrieve(asked, kb.index("text_fingerprint"), "text_fingerprint", 1).collect()] == ["f3"]
